@@ -11,14 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors see.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session
-    that has none gets a temporary folder; a cluster without one is an error,
-    because a folder on one machine is not visible to the others.
+    It is the session's ``spark.checkpoint.dir``. Only a local session that has
+    none gets a temporary folder; a cluster without one is an error, because a
+    folder on one machine is not visible to the others.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = context.getConf().get("spark.checkpoint.dir")
@@ -27,4 +26,10 @@ def settle(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="platterlake-checkpoint-")
         context.setCheckpointDir(shared)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and cut its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

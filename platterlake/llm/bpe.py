@@ -216,6 +216,19 @@ def encode_decode(docs: DataFrame, files: tuple[str, str, str], id_col: str = "d
     return docs.select(F.col(id_col).alias("id"), _each(files, _DIGEST, _digest)(F.col(text_col)).alias("d")).select("id", "d.*")
 
 
+def _tokens(own: Codec, texts: pa.Array) -> pa.Array:
+    ids = [own.encode(t.as_py() or "") for t in texts]
+    exact = [own.decode(i.tolist()) == (t.as_py() or "") for i, t in zip(ids, texts, strict=True)]
+    return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], names=["ids", "exact"])
+
+
+def tokenize(docs: DataFrame, files: tuple[str, str, str], text_col: str = "text") -> DataFrame:
+    """(row, ids, exact): the row as it was, its text's ids, and whether they decode to it."""
+    packed = docs.select(F.struct("*").alias("row"))
+    kind = "struct<ids: array<int>, exact: boolean>"
+    return packed.select("row", _each(files, kind, _tokens)(packed["row"].getField(text_col)).alias("t")).select("row", "t.*")
+
+
 def public_files(name: str = "byte_bpe_50k") -> tuple[str, str, str]:
     """The installed vocabulary files of a public byte-level tokenizer."""
     import public_tokenizers

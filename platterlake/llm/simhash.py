@@ -62,8 +62,8 @@ def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row; fp is the fingerprint as a signed long."""
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), _fingerprints(F.col(text_col)).alias("fp"))
+    """(id, text_hash, fp) of every row; fp is the fingerprint as a signed long."""
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("text_hash"), _fingerprints(F.col(text_col)).alias("fp"))
 
 
 def _spanning(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> list[tuple[int, int]]:
@@ -145,7 +145,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(id, fp, component_id) of every row of ``docs``.
+    """(id, text_hash, fp, component_id) of every row of ``docs``.
 
     ``component_id`` is the smallest id that chains of links reach from the row,
     its own included. A null text counts as one without words: fingerprint zero,
@@ -158,4 +158,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = settle(member.join(lowest, "root").select(F.col("fp").alias("named_fp"), "component_id"))
-    return rows.join(named, rows.fp == named.named_fp).select("id", "fp", "component_id")
+    return rows.join(named, rows.fp == named.named_fp).select("id", "text_hash", "fp", "component_id")

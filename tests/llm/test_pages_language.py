@@ -79,11 +79,11 @@ def test_held_out_accuracy_and_spans(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     model = language.train(docs)
     assert model.languages == ["ru", "xx", "yy"]
-    mixed = text("xx", 40) + " 12, " + text("yy", 30) + " — " + text("ru", 20)
+    mixed = text("xx", 40) + " 12, " + text("yy", 18) + " — " + text("ru", 20)
     extra = [(900, mixed, None, None, None), (901, None, "xx", None, None), (902, "123 !? ²", None, None, None), (903, "İ " + rows[0][1], None, None, None), (904, "z" * 100_000, None, None, None), (905, "", None, None, None)]
     got = {r.row.doc_id: r.found for r in language.identify(spark.createDataFrame(rows + extra, SCHEMA), model).collect()}
     assert sum(got[r[0]].lang == r[2] for r in rows) >= 0.98 * len(rows)
-    assert [(s.lang, mixed[s.start : s.end].split()[0], len(re.findall(r"[^\W\d]+", mixed[s.start : s.end]))) for s in got[900].spans] == [("xx", mixed.split()[0], 40), ("yy", mixed.split()[41], 30), ("ru", mixed.split()[72], 20)]
+    assert [(s.lang, mixed[s.start : s.end].split()[0], len(re.findall(r"[^\W\d]+", mixed[s.start : s.end]))) for s in got[900].spans] == [("xx", mixed.split()[0], 40), ("yy", mixed.split()[41], 18), ("ru", mixed.split()[60], 20)]
     assert got[900].lang == "xx" and 0 < got[900].score < 1
     assert [(got[i].lang, got[i].score) for i in (901, 902, 905)] == [("und", 0.0)] * 3
     assert got[903].lang == rows[0][2] and got[904].lang in model.languages
