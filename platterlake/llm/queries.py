@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_text, language, pii, secrets, shards, simhash
+from . import bpe, decontaminate, exact_dedup, html_text, language, line_dedup, pii, secrets, shards, simhash
 from ._common import table
 
 
@@ -37,6 +37,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.by_document(line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select(F.col("doc").alias("doc_id"), "n_lines", "n_kept", "n_links", F.sha2(F.array_join(F.transform("kept_lines", lambda i: i.cast("string")), ","), 256).alias("kept_sha256"), "match_docs")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.public_files())
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", "exact")
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_language": op6_language,
     "op7_pii": op7_pii,
