@@ -56,6 +56,10 @@ class Block:
     def __init__(self, path: tuple[str, ...], text: str, linked: int, never: bool, main: int):
         self.path, self.text, self.linked, self.never, self.main = path, text, linked, never, main
 
+    @property
+    def in_article(self) -> bool:
+        return any(step.split(".")[0] == "article" for step in self.path)
+
 
 def _marked(tag: str) -> tuple[str, bool]:
     """A step's label (its first class or id) and whether it names itself as no article."""
@@ -186,6 +190,9 @@ def main_text(page: str | None) -> str:
     found = [b for b in blocks(page) if not b.never]
     if any(b.main for b in found):
         inside = [b for b in found if b.main]
+        articles = [b for b in inside if b.in_article]
+        if 2 * sum(len(b.text) for b in articles) >= sum(len(b.text) for b in inside):
+            inside = articles  # what else the main element holds is beside the article
         own: dict[tuple[str, ...], int] = {}  # characters outside links, by path
         for b in inside:
             own[b.path] = own.get(b.path, 0) + max(0, len(b.text) - b.linked)

@@ -32,6 +32,12 @@ def test_furniture_inside_the_article():
     assert html_text.main_text(page) == WANT
 
 
+def test_article_in_main():
+    page = f"<main><div class='crumbs'>Home, here</div><article>{ARTICLE}</article><div><p>Read on, please.</p></div></main>"
+    assert html_text.main_text(page) == WANT
+    assert html_text.main_text(f"<main><div>{ARTICLE}</div><article><p>A teaser.</p></article></main>").startswith(WANT)
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<script>", "<!--", "&", "<nav>x</nav>", "</p></p>", "<b>" * 3000])
 def test_no_article(page):
     assert html_text.main_text(page) in ("", "<", "&")
