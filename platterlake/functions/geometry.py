@@ -66,6 +66,14 @@ def profile(name: str) -> Profile:
     return Profile(key, CODES[key], scale, label_px, inner_px, RIM_PX - 1 - lead_in_px, lead_in_px, lock)
 
 
+def programme_floor(name: str, revision: int) -> int:
+    """The radius the programme stays outside of: the lock, the least lead-out, two silent turns of two pixels."""
+    p = profile(name)
+    if revision >= 4:
+        return math.ceil(p.lock_radius + LEAST_LEAD_OUT_MM * p.px_per_mm + 4.0 + 2.0)
+    return math.ceil(p.label_radius + p.px_per_mm + 5.0 + 4.0)
+
+
 def profiles(spark: SparkSession) -> DataFrame:
     """The four profiles, to be broadcast against records."""
     return spark.createDataFrame([profile(n) for n in MILLIMETRES], "profile string, code int, px_per_mm double, label_radius int, inner_radius int, outer_radius int, lead_in_px int, lock_radius double")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions import geometry
+from ..functions import geometry, palettes
 from ..functions.wire import WireError
 from . import descriptors
 
@@ -151,23 +151,40 @@ def find_descriptor(data: bytes, raw_magic: bytes | None = None) -> bytes:
 
 def direct_bytes(image: np.ndarray, band: tuple[int, ...], length: int) -> bytes:
     """Payload of the direct encoding: three bytes a pixel up to the first clear one."""
-    px = image.reshape(-1, 4)[np.array(band)]
-    clear = np.flatnonzero(px[:, 3] == 0)
-    data = px[: clear[0] if len(clear) else len(px), :3].tobytes()
+    data = lifted(image, band)[:, :3].tobytes()
     if len(data) < length:
         raise WireError("groove holds fewer bytes than the stream's length")
     return data[:length]
 
 
-def record_descriptors(files: DataFrame, path: str = "path", content: str = "content", raw_magic: bytes | None = None) -> DataFrame:
-    """(path, content, error): each image's descriptor bytes, ready for their parser; the groove is not read."""
+def lifted(image: np.ndarray, band: tuple[int, ...]) -> np.ndarray:
+    """Pixels along a band up to the first clear one."""
+    px = image.reshape(-1, 4)[np.array(band)]
+    clear = np.flatnonzero(px[:, 3] == 0)
+    return px[: clear[0] if len(clear) else len(px)]
+
+
+def stream_bytes(data: bytes, raw_magic: bytes | None = None) -> bytes:
+    """The payload stream of a record image with a constant pitch, direct or toned by spans."""
+    image, d = pixels(data, raw_magic), descriptors.parse(find_descriptor(data, raw_magic))
+    parts = {s["type"]: s["payload"] for s in d["segments"]}
+    if d["payload_encoding"] == "toned-v2" or 30 in parts:
+        raise WireError("tone wheels and varied pitch are not read yet")
+    floor = geometry.programme_floor(d["record_profile"], d["lead_out_revision"])
+    band = geometry.programme(d["record_profile"], d["b_value"], floor, d["clockwise"], image.shape[1])
+    length = d["stream_byte_length"]
+    if d["payload_encoding"] == "rgb":
+        return direct_bytes(image, band, length)
+    return palettes.toned_bytes(lifted(image, band), palettes.read_spans(parts[descriptors.SPANS], length))
 
+
+def _extracted(files: DataFrame, path: str, content: str, extract: Callable[[bytes], bytes]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, errors = [], []
             for data in batch.column(1):
                 try:
-                    found.append(find_descriptor(data.as_py() or b"", raw_magic))
+                    found.append(extract(data.as_py() or b""))
                     errors.append(None)
                 except WireError as e:
                     found.append(None)
@@ -175,3 +192,13 @@ def record_descriptors(files: DataFrame, path: str = "path", content: str = "con
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(errors, pa.string())], names=["path", "content", "error"])
 
     return files.select(path, content).mapInArrow(run, "path string, content binary, error string")
+
+
+def record_descriptors(files: DataFrame, path: str = "path", content: str = "content", raw_magic: bytes | None = None) -> DataFrame:
+    """(path, content, error): each image's descriptor bytes, ready for their parser; the groove is not read."""
+    return _extracted(files, path, content, lambda data: find_descriptor(data, raw_magic))
+
+
+def record_streams(files: DataFrame, path: str = "path", content: str = "content", raw_magic: bytes | None = None) -> DataFrame:
+    """(path, content, error): each image's payload stream, ready for its parser."""
+    return _extracted(files, path, content, lambda data: stream_bytes(data, raw_magic))

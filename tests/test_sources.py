@@ -8,7 +8,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 
-from platterlake.functions import columns, geometry, wire
+from platterlake.functions import columns, geometry, palettes, wire
 from platterlake.functions.wire import Cursor, WireError, quiet_filler, read_varuint, write_varuint
 from platterlake.sources import descriptors, images, packages, streams
 from platterlake.streaming import ingest
@@ -186,6 +186,38 @@ def test_descriptor_scan(spark):
     assert images.direct_bytes(image, band, 299) == rnd[:299]
 
 
+def drawn(data, extra, pixels_of):
+    """A synthetic image: descriptor on the grey ladder, stream along the programme."""
+    d = descriptor(extra, stream_len=len(data), encoding=1 if extra else 0)
+    image = np.zeros((576, 576, 4), np.uint8)
+    flat = image.reshape(-1, 4)
+    bits = np.unpackbits(np.frombuffer(d, np.uint8))
+    level = np.concatenate((bits, np.zeros(-len(bits) % 6, np.uint8))).reshape(-1, 6) @ np.array([32, 16, 8, 4, 2, 1])
+    flat[np.array(geometry.lead_in("lp")[: len(level)])] = np.stack([level + 96] * 3 + [np.full(len(level), 255)], axis=1)
+    px = pixels_of(data)
+    band = geometry.programme("lp", 0.4, geometry.programme_floor("lp", 0))
+    flat[np.array(band[: len(px)])] = np.column_stack((px, np.full(len(px), 255)))
+    return png(image, 6)
+
+
+def test_full_scan(spark):
+    s = stream()
+    direct = lambda d: np.frombuffer(d + bytes(-len(d) % 3), np.uint8).reshape(-1, 3)
+    tone = palettes.Tone((90, 80, 70), 2, 8, "base")
+    wire_map = bytes([1]) + struct.pack(">H", 1) + write_varuint(len(s)) + bytes([90, 80, 70, 2, 8, 0])
+
+    def toned(d):
+        c = palettes.palette(tone)[np.frombuffer(d, np.uint8)]
+        return np.stack((c >> 16, c >> 8 & 255, c & 255), axis=1)
+
+    found = images.record_streams(files(spark, drawn(s, (), direct), drawn(s, [(22, wire_map)], toned), drawn(s, [(22, wire_map)], direct))).cache()
+    rows = found.orderBy("path").collect()
+    assert [r.error for r in rows][:2] == [None, None] and rows[2].error
+    assert [bytes(r.content) for r in rows[:2]] == [s, s]
+    assert streams.regions(streams.parsed(found.where("error is null"))).count() == 6
+    assert [geometry.programme_floor(n, 4) for n in ("single45", "single45vintage", "ten", "lp")] == [175, 175, 135, 113]
+
+
 def test_digests(spark):
     rid, a, b = bytes(range(16)), bytes(32), bytes([7]) * 32
     df = spark.createDataFrame([(bytearray(rid), 3, bytearray(a), bytearray(b))], "r binary, i int, a binary, b binary")
