@@ -32,7 +32,7 @@ def gap_turns(seconds: Column, profile: Column) -> Column:
 def gap_bytes(seconds: Column, profile: Column, pixels_a_turn: Column) -> Column:
     """Payload bytes of a gap of that width, its header at least."""
     pixels = F.round(gap_turns(seconds, profile) * pixels_a_turn)
-    return F.greatest(pixels * BYTES_A_PIXEL, F.lit(GAP_HEADER_BYTES)).cast("bigint")
+    return F.when(pixels.isNotNull(), F.greatest(pixels * BYTES_A_PIXEL, F.lit(GAP_HEADER_BYTES)).cast("bigint"))
 
 
 def whole_turns(samples: Column, stride: Column) -> Column:
