@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +35,21 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def shelve(df: DataFrame) -> DataFrame:
+    """As ``settle``, in Parquet: smaller, and later reads take only the columns they need."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are done and not referred to any more.
+
+    Spark deletes them when its driver collects its garbage, by default every half
+    hour; an operator of many steps would hold all of them at once until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,9 +5,11 @@ A line is the set of its words; two lines match at a Jaccard similarity of
 Words are ordered by rarity: occurrences over all documents are counted in
 ``BUCKETS`` hash buckets (a table of fixed size), and a word's place is the
 frequency class of its bucket, then its hash. A class is probed by the prefix of its ordered words
-that any match must touch. Pairs that share a prefix word pass a length filter and
-a positional filter, and what is left is verified on the words themselves, which
-are fetched again for the lines concerned.
+that any match must touch. Pairs that share a prefix word pass a length filter, a
+positional filter and a filter on parity signatures (64 bits, each the parity of
+the words that hash to it: two sets differ in at least as many words as their
+signatures differ in bits). What is left is verified on the words themselves,
+which are fetched again for the lines concerned.
 
 To fetch them, all lines are scanned once more; a bitmap of fixed size, broadcast,
 keeps most others out of the shuffle, and the join decides.
@@ -21,18 +23,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import settle
+from ._common import release, shelve
 
 #: Least similarity, as a fraction.
 THRESHOLD = (4, 5)
-BUCKETS = 65_536
+BUCKETS = 1 << 22
+#: Buckets of one row of the table while it is built.
+_PART = 4096
 #: Bits of the bitmap over lines to fetch: 2 MB.
 BITMAP_BITS = 1 << 24
 _KEY_BITS = 56
 
 
+def _spaced(line: Column) -> Column:
+    """A line whose blanks are all spaces, so that one fast split finds the words."""
+    odd = F.lit(False)
+    for blank in "\t\r\x0b\f":
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.when(odd, F.regexp_replace(line, "[\t\r\x0b\f]", " ")).otherwise(line)
+
+
 def _words(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(line, r"\s+"), lambda w: w != ""))
+    return F.array_remove(F.array_distinct(F.split(_spaced(line), " ")), "")
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,47 +56,62 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def rarity(docs: DataFrame, text_col: str = "text") -> bytes:
     """For each word bucket its frequency class, rare first: quarter octaves of its count, 0 to 127."""
-    bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")
-    seen = docs.select(F.explode(F.split(F.col(text_col).cast("string"), r"\s+")).alias("w")).where("w <> ''").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    whole = F.replace(F.col(text_col).cast("string"), F.lit("\n"), F.lit(" "))
+    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    seen = docs.select(F.explode(F.split(whole, " ")).alias("w")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.floor(4 * F.log2("n")), F.lit(127)).cast("int")
+    place = F.struct((F.col("bucket") % _PART).alias("at"), level.alias("level"))
+    parts = seen.groupBy(F.floor(F.col("bucket") / _PART).cast("int").alias("part")).agg(F.collect_list(place).alias("p"))
+    listed = parts.select("part", F.array_join(F.transform("p", lambda x: x["at"].cast("string")), ",").alias("at"), F.array_join(F.transform("p", lambda x: F.chr(x["level"])), "").alias("levels"))
     out = bytearray(BUCKETS)
-    for r in seen.select("bucket", level.alias("level")).toLocalIterator():  # BUCKETS rows at most
-        out[r.bucket] = r.level
+    for r in listed.toLocalIterator():  # BUCKETS / _PART rows of at most _PART places
+        for at, one in zip(map(int, r["at"].split(",")), r.levels.encode(), strict=True):
+            out[r.part * _PART + at] = one
     return bytes(out)
 
 
 def keyed(each: DataFrame, levels: bytes) -> DataFrame:
-    """Lines with their class (x1, x2), size and prefix."""
+    """Lines with their class (x1, x2), size, parity signature and prefix."""
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        level = F.ascii(F.substring(F.lit(levels), F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
+    def key(h: Column) -> Column:
+        level = F.ascii(F.substring(F.lit(levels), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
         return F.shiftleft(level.cast("bigint"), _KEY_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _KEY_BITS))
 
-    sets = each.withColumn("keys", F.sort_array(F.transform(_words(F.col("line")), key)))
+    hashed = F.array_distinct(F.transform(F.split(_spaced(F.col("line")), " "), lambda w: F.xxhash64(w)))
+    sets = each.withColumn("keys", F.sort_array(F.transform(F.array_remove(hashed, F.xxhash64(F.lit(""))), key)))
     size = F.size("keys")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
+    signature = F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(bit(k)))
     num, den = THRESHOLD
     prefix = size - F.floor((size * num + den - 1) / den).cast("int") + 1
-    return sets.select("doc", "doc_hash", "line_no", F.xxhash64("line").alias("text_hash"), F.xxhash64("keys").alias("x1"), F.hash("keys").alias("x2"), size.alias("size"), F.transform(F.slice("keys", 1, F.greatest(prefix, F.lit(0))), lambda k: F.hash(k)).alias("prefix"))
+    return sets.select("doc", "doc_hash", "line_no", F.xxhash64("keys").alias("x1"), F.hash("keys").alias("x2"), size.alias("size"), signature.alias("sig"), F.transform(F.slice("keys", 1, F.greatest(prefix, F.lit(0))), lambda k: F.hash(k)).alias("prefix"))
 
 
 def classes(keyed_lines: DataFrame) -> DataFrame:
     """One row for each set of words: its first line, and its prefix."""
-    first = F.min(F.struct("doc", "line_no", "text_hash")).alias("at")
-    return keyed_lines.where("size > 0").groupBy("x1", "x2").agg(first, F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    first = F.min(F.struct("doc", "line_no", "doc_hash")).alias("at")
+    return keyed_lines.where("size > 0").groupBy("x1", "x2").agg(first, F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """Pairs of classes (a, b) that share a prefix word and pass both filters."""
+    """Pairs of classes (a1, b1, by x1) that share a prefix word and pass the filters.
+
+    Two classes with one x1 are told apart when their words are compared.
+    """
     num, den = THRESHOLD
-    probe = found.select(F.struct("x1", "x2").alias("id"), "at", "size", F.posexplode("prefix").alias("pos", "token"))
-    a, b = probe.alias("a"), probe.alias("b")
-    ordered = (F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.id") < F.col("b.id")))
-    length = den * F.col("a.size") >= num * F.col("b.size")
-    reach = F.least("a.pos", "b.pos") + 1 + F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos")) - 1
-    position = (num + den) * reach >= num * (F.col("a.size") + F.col("b.size"))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & ordered & length & position)
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.at").alias("a_at"), F.col("b.at").alias("b_at")).distinct()
+    probe = found.select("x1", "size", "sig", F.posexplode("prefix").alias("pos", "token"))
+    packed = probe.select("token", "x1", "sig", F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR(F.col("pos").cast("bigint")).alias("at"))
+    a, b = packed.alias("a"), packed.alias("b")
+    (a_size, a_pos), (b_size, b_pos) = ((F.shiftright(f"{s}.at", 32), F.col(f"{s}.at").bitwiseAND(F.lit(0xFFFFFFFF))) for s in "ab")
+    ordered = (a_size < b_size) | ((a_size == b_size) & (F.col("a.x1") <= F.col("b.x1")))
+    length = den * a_size >= num * b_size
+    reach = F.least(a_pos, b_pos) + F.least(a_size - a_pos, b_size - b_pos)
+    position = (num + den) * reach >= num * (a_size + b_size)
+    apart = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig")))
+    close = (num + den) * apart <= (den - num) * (a_size + b_size)
+    itself = (F.col("a.x1") == F.col("b.x1")) & (F.col("a.at") == F.col("b.at"))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & ordered & length & position & close & ~itself)
+    return pairs.select(F.col("a.x1").alias("a1"), F.col("b.x1").alias("b1")).distinct()
 
 
 def _bit(doc: Column, line_no: Column) -> Column:
@@ -92,7 +119,7 @@ def _bit(doc: Column, line_no: Column) -> Column:
 
 
 def fetch(each: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(at, words) of the lines whose places ``wanted`` (at) holds."""
+    """(at, line) of the lines whose places ``wanted`` (at) holds."""
     bit = _bit(F.col("at.doc"), F.col("at.line_no"))
     # BITMAP_BITS / 32,768 rows of 4 KB at most
     bitmap = wanted.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
@@ -100,21 +127,29 @@ def fetch(each: DataFrame, wanted: DataFrame) -> DataFrame:
     placed = each.where("line_no is not null").withColumn("part", F.bitmap_bucket_number(own)).withColumn("pos", F.bitmap_bit_position(own).cast("int"))
     byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("pos") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     likely = placed.join(F.broadcast(bitmap), "part").where(byte.bitwiseAND(F.expr("shiftleft(1, pos % 8)")) != 0)
-    rows = likely.select(F.struct("doc", "line_no", F.xxhash64("line").alias("text_hash")).alias("at"), "line")
-    got = rows.join(wanted, (rows["at.doc"].eqNullSafe(wanted["at.doc"])) & (rows["at.line_no"] == wanted["at.line_no"]) & (rows["at.text_hash"] == wanted["at.text_hash"]), "left_semi")
-    return got.groupBy("at").agg(F.first("line").alias("line")).select("at", _words(F.col("line")).alias("words"))
+    rows = likely.select(F.struct("doc", "line_no", "doc_hash").alias("at"), "line")
+    same = rows["at.doc"].eqNullSafe(wanted["at.doc"]) & (rows["at.line_no"] == wanted["at.line_no"]) & rows["at.doc_hash"].eqNullSafe(wanted["at.doc_hash"])
+    return rows.join(wanted, same, "left_semi")
 
 
 def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified pairs of classes: (a, b, a_at, b_at), each once."""
+    """Verified pairs of classes (a1, a2, b1, b2) with their first lines (a_at, b_at), each once."""
     num, den = THRESHOLD
-    pairs = settle(candidates(found))
+    pairs = candidates(found)
+    for s in "ab":
+        named = found.select(F.col("x1").alias(f"{s}1"), F.col("x2").alias(f"{s}2"), F.col("at").alias(f"{s}_at"))
+        pairs = pairs.join(named, f"{s}1")
+    pairs = shelve(pairs)
+    release(docs.sparkSession)
     wanted = pairs.select(F.col("a_at").alias("at")).union(pairs.select("b_at")).distinct()
-    words = settle(fetch(lines(docs, id_col, text_col), wanted))
-    left, right = words.select(F.col("at").alias("l_at"), F.col("words").alias("l")), words.select(F.col("at").alias("r_at"), F.col("words").alias("r"))
+    text = shelve(fetch(lines(docs, id_col, text_col), wanted))
+    release(docs.sparkSession)
+    left, right = text.select(F.col("at").alias("l_at"), F.col("line").alias("l")), text.select(F.col("at").alias("r_at"), F.col("line").alias("r"))
     both = pairs.join(left, F.col("a_at") == F.col("l_at")).join(right, F.col("b_at") == F.col("r_at"))
+    both = both.select("a1", "a2", "b1", "b2", "a_at", "b_at", _words(F.col("l")).alias("l"), _words(F.col("r")).alias("r"))
     common = F.size(F.array_intersect("l", "r"))
-    return both.where(den * common >= num * (F.size("l") + F.size("r") - common)).select("a", "b", "a_at", "b_at")
+    right_pairs = both.where(den * common >= num * (F.size("l") + F.size("r") - common))
+    return right_pairs.select("a1", "a2", "b1", "b2", "a_at", "b_at").distinct()  # rows that repeat a document repeat its lines
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,15 +161,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id sorts before all others. A row that repeats an id and its text repeats its
     lines' places, so both fare alike. An empty table gives an empty result.
     """
-    each = keyed(lines(docs, id_col, text_col), rarity(docs, text_col))
-    found = settle(classes(each))
-    pairs = settle(links(docs, found, id_col, text_col))
-    ends = pairs.select(F.col("a").alias("id"), F.col("a_at").alias("own"), F.col("b_at").alias("other")).union(pairs.select("b", "b_at", "a_at"))
+    spark = docs.sparkSession
+    each = shelve(keyed(lines(docs, id_col, text_col), rarity(docs, text_col)))
+    release(spark)
+    found = shelve(classes(each))
+    release(spark)
+    pairs = shelve(links(docs, found, id_col, text_col))
+    release(spark)
+    ends = pairs.select(F.col("a1").alias("l1"), F.col("a2").alias("l2"), F.col("a_at").alias("own"), F.col("b_at").alias("other")).union(pairs.select("b1", "b2", "b_at", "a_at"))
     earlier = F.min(F.when(F.col("other") < F.col("own"), F.col("other")))
-    linked = ends.groupBy(F.col("id.x1").alias("l1"), F.col("id.x2").alias("l2")).agg(F.count(F.lit(1)).alias("links"), earlier.alias("earlier"))
+    linked = ends.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("links"), earlier.alias("earlier"))
     fate = found.join(linked, (F.col("x1") == F.col("l1")) & (F.col("x2") == F.col("l2")), "left").select(F.col("x1").alias("c1"), F.col("x2").alias("c2"), "at", F.coalesce("links", F.lit(0)).alias("links"), "earlier")
     placed = each.join(fate, (F.col("x1") == F.col("c1")) & (F.col("x2") == F.col("c2")), "left")
-    first = F.col("at.doc").eqNullSafe(F.col("doc")) & (F.col("at.line_no") == F.col("line_no")) & (F.col("at.text_hash") == F.col("text_hash"))
+    first = F.col("at.doc").eqNullSafe(F.col("doc")) & (F.col("at.line_no") == F.col("line_no")) & F.col("at.doc_hash").eqNullSafe(F.col("doc_hash"))
     kept = F.col("line_no").isNull() | F.col("at").isNull() | (first & F.col("earlier").isNull())
     match = F.when(~kept, F.coalesce("earlier", "at"))
     return placed.select("doc", "doc_hash", "line_no", kept.alias("kept"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), match["doc"].alias("match_doc"))
@@ -146,7 +185,7 @@ def by_document(decided: DataFrame) -> DataFrame:
     return decided.groupBy("doc", "doc_hash").agg(
         F.count_distinct("line_no").alias("n_lines"),
         F.array_sort(F.collect_set(F.when(F.col("kept") & ~no_line, F.col("line_no")))).alias("kept_lines"),
-        F.max("links").alias("n_links"),
+        F.sum("links").alias("n_links"),
         F.array_sort(F.collect_set("match_doc")).alias("match_docs"),
     ).select("doc", "doc_hash", "n_lines", F.size("kept_lines").cast("bigint").alias("n_kept"), "n_links", "kept_lines", "match_docs")
 
