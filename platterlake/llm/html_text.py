@@ -40,7 +40,9 @@ MARKS = set("ad ads adv advert advertisement advertising adverts alert announcem
 #: Of these, the ones that do not count for a heading element inside the article.
 HEADING = re.compile(r"h[1-6]$")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*>?|<|[^<]+", re.S)
+# In a tag a quote opens a value right after "=" only; anywhere else it is a character like others.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/<>]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>][^\s<>]*+)|[^<>])*+>?|<|[^<]+", re.S)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARK = re.compile(r"(?:\s|[\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
@@ -82,7 +84,7 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # name, label, not text, main elements around
     text: list[str] = []
-    linked, links, raw = 0, 0, ""
+    linked, links = 0, 0
     where: tuple = stack[-1]
     path: tuple[str, ...] = ()
 
@@ -99,13 +101,9 @@ def blocks(page: str | None) -> list[Block]:
         links -= sum(1 for s in stack[k:] if s[0] == "a")
         del stack[k:]
 
-    for m in _TOKEN.finditer(page or ""):
-        t = m[0]
-        if raw:
-            if t.startswith("</") and (n := _NAME.match(t)) and n[1].lower() == raw:
-                raw = ""
-            elif raw:
-                continue
+    page, at = page or "", 0
+    while m := _TOKEN.match(page, at):
+        t, at = m[0], m.end()
         if t[0] != "<" or t == "<" or t.startswith("<![CDATA["):
             piece = html.unescape(t)
             if not text:
@@ -150,7 +148,7 @@ def blocks(page: str | None) -> list[Block]:
                     break
         if name == "br":
             text.append(" ")
-        if name in VOID or t.endswith("/>") and name not in BLOCK | RAW | {"a", "b", "i", "span"}:
+        if name in VOID or t.endswith("/>") and (name not in BLOCK | RAW | {"a", "b", "i", "span"} or name in RAW and any(s[0] in ("svg", "math") for s in stack)):
             continue
         label, bad = _marked(t) if "=" in t or "hidden" in t else ("", False)
         above = stack[-1]
@@ -160,9 +158,10 @@ def blocks(page: str | None) -> list[Block]:
         stack.append((name, label, above[2] or bad, main))
         links += name == "a"
         if name in RAW:
-            raw = name
             if text and name not in BLOCK:
                 text.append(" ")
+            end = _RAW_END[name].search(page, at)
+            at = end.start() if end else len(page)
     flush()
     return out
 

@@ -43,6 +43,28 @@ def test_no_article(page):
     assert html_text.main_text(page) in ("", "<", "&")
 
 
+@pytest.mark.parametrize(
+    "beside",
+    [
+        "<script>for(i=0;i<n;i++){} // don't\n</script>",
+        "<script>var s='<!--';</script>",
+        "<SCRIPT>if (a<b) x='</p>'</SCRIPT >",
+        "<style>a:after{content:'<'}</style>",
+        "<textarea><b it's</textarea>",
+        "<svg><title/><style/></svg>",
+        "<!-->",
+    ],
+)
+def test_raw_text_does_not_swallow_the_page(beside):
+    body = "<article><p>Body text. It's here.</p><p>More of it, isn't it.</p></article>"
+    assert html_text.main_text(beside + body) == "Body text. It's here.\n\nMore of it, isn't it."
+
+
+def test_quotes_open_values_only():
+    page = "<article><p>One, <img alt=Bob's src=x> two three.</p><p title = 'a > b' lang=\"x>y\">Four, it's five.</p><p ' \">Six, isn't it.</p></article>"
+    assert html_text.main_text(page) == "One, two three.\n\nFour, it's five.\n\nSix, isn't it."
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "<p>Some words, here.</p>", None, None, "f"), (1, None, None, None, None), (None, "", None, None, None)]
     got = html_text.extract(spark.createDataFrame(rows, SCHEMA), "text").collect()
