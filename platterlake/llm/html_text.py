@@ -37,6 +37,14 @@ BOUNDARY = {"ul", "ol", "dl", "table", "select", "menu", "body", "article", "sec
 NO_P = BLOCK - {"body", "caption", "dd", "dt", "html", "li", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr"} | {"li", "dd", "dt"}
 # Words in a class, an id or a role that mark what is not the article.
 MARKS = set("ad ads adv advert advertisement advertising adverts alert announcement banner breadcrumb breadcrumbs byline-share comment comments commentlist consent contentinfo cookie cookies disclaimer discussion disqus dialog feedback footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination paywall popup privacy promo promoted promotion recommended related replies reply respond rss search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription tags teaser toolbar topbar warning widget complementary".split())
+# What may stand beside such words in a name; any other part, as in has-sidebar or comments-open, makes it another name.
+PARTS = set("area bar block body box button buttons container content count group inner item items label link links list message outer panel placeholder post posts section site slot slots text thread title top unit wrap wrapper zone".split())
+#: Elements of NEVER that show no text of their own, whatever they hold.
+CODE = NEVER - {"aside", "dialog", "fieldset", "footer", "form", "label", "menu", "nav", "noscript"}
+#: Elements that end a head whose end tag is left out are all but these.
+IN_HEAD = {"base", "link", "meta", "title", "style", "script", "noscript", "template", "head", "html"}
+#: Share of the page's text beyond which an element is the page and not something beside it.
+MOST = 0.5
 #: Of these, the ones that do not count for a heading element inside the article.
 HEADING = re.compile(r"h[1-6]$")
 
@@ -44,7 +52,7 @@ HEADING = re.compile(r"h[1-6]$")
 _TOKEN = re.compile(r"<!--(?:-?>|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/<>]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>][^\s<>]*+)|[^<>])*+>?|<|[^<]+", re.S)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_MARK = re.compile(r"(?:\s|[\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
 #: Weights of a block's neighbours when ratios are smoothed.
 SMOOTH = (0.25, 0.5, 0.25)
@@ -52,39 +60,82 @@ SMOOTH = (0.25, 0.5, 0.25)
 THRESHOLD = 0.8
 
 
+class Suspect:
+    """An element that names itself as no article, and what it turns out to hold."""
+
+    __slots__ = ("articles", "chars", "code", "prose")
+
+    def __init__(self, code: bool):
+        self.code, self.chars, self.prose, self.articles = code, 0, False, set()
+
+
 class Block:
-    __slots__ = ("linked", "main", "never", "path", "text")
+    __slots__ = ("articles", "linked", "main", "never", "path", "suspects", "text")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int, never: bool, main: int):
-        self.path, self.text, self.linked, self.never, self.main = path, text, linked, never, main
+    def __init__(self, path: tuple[str, ...], text: str, linked: int, suspects: tuple[Suspect, ...], main: int, articles: tuple[int, ...]):
+        self.path, self.text, self.linked, self.suspects, self.main, self.articles = path, text, linked, suspects, main, articles
+        self.never = bool(suspects)
 
     @property
     def in_article(self) -> bool:
         return any(step.split(".")[0] == "article" for step in self.path)
 
 
-def _marked(tag: str) -> tuple[str, bool]:
-    """A step's label (its first class or id) and whether it names itself as no article."""
-    label, bad = "", False
-    for m in _MARK.finditer(tag):
-        key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            bad = True
-            continue
-        names = value.split()
-        label = label or (names[0] if names else "")
-        for name in names:
-            parts = re.split(r"[-_:]+", name)
-            bad = bad or name in MARKS or any(p in MARKS for p in parts)
+def attributes(tag: str) -> dict[str, str]:
+    """A start tag's attributes; of equal names the first counts."""
+    out: dict[str, str] = {}
+    at = _NAME.match(tag).end()
+    while m := _ATTRIBUTE.match(tag, at):
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+        at = m.end()
+    return out
+
+
+def names_no_article(name: str) -> bool:
+    """Whether a whole class, id or role is such a word, or such words with parts that only describe a box."""
+    if name in MARKS:
+        return True
+    parts = [p for p in re.split(r"[-_:]+", name) if p and not p.isdecimal()]
+    return any(p in MARKS for p in parts) and all(p in MARKS or p in PARTS for p in parts)
+
+
+def _marked(own: dict[str, str]) -> tuple[str, bool]:
+    """A step's label (its first class, id or role as written) and whether it names itself as no article."""
+    label, bad = "", "hidden" in own and own["hidden"].lower() != "until-found" or own.get("aria-hidden", "").strip().lower() == "true"
+    for key, value in own.items():
+        if key in ("class", "id", "role"):
+            names = value.lower().split()
+            label = label or (names[0] if names else "")
+            bad = bad or any(map(names_no_article, names))
     return label, bad
 
 
+def _settle(found: list[Block]) -> None:
+    """Take back the suspicion of what holds most of the page's prose, or its main article."""
+    held: dict[int, int] = {}  # characters outside links, by article
+    total = 0
+    for b in found:
+        if any(s.code for s in b.suspects):
+            continue
+        n = max(0, len(b.text) - b.linked)
+        total += n
+        for k in b.articles:
+            held[k] = held.get(k, 0) + n
+        for s in b.suspects:
+            s.chars += n
+            s.prose = s.prose or n > 0 and bool(_PUNCT.search(b.text))
+    chief = max(held, key=held.get) if held and max(held.values()) > 0 else None
+    for b in found:
+        if b.suspects:
+            b.never = any(s.code or chief not in s.articles and not (s.prose and s.chars > MOST * total) for s in b.suspects)
+
+
 def blocks(page: str | None) -> list[Block]:
     """Blocks of text in page order, with their tag paths."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # name, label, not text, main elements around
+    stack: list[tuple[str, str, tuple[Suspect, ...], int, tuple[int, ...]]] = [("", "", (), 0, ())]  # name, label, suspects, main elements and articles around
     text: list[str] = []
-    linked, links = 0, 0
+    linked, links, n_articles = 0, 0, 0
     where: tuple = stack[-1]
     path: tuple[str, ...] = ()
 
@@ -92,7 +143,7 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         whole = " ".join("".join(text).split())
         if whole:
-            out.append(Block(path, whole, linked, where[2], where[3]))
+            out.append(Block(path, whole, linked, *where[2:]))
         text.clear()
         linked = 0
 
@@ -109,7 +160,7 @@ def blocks(page: str | None) -> list[Block]:
             if not text:
                 where = stack[-1]
                 path = tuple(f"{s[0]}.{s[1]}" if s[1] else s[0] for s in stack[1:] if s[0] in BLOCK)
-            elif where[2] != stack[-1][2]:
+            elif where[2] is not stack[-1][2]:
                 flush()
                 where = stack[-1]
                 path = tuple(f"{s[0]}.{s[1]}" if s[1] else s[0] for s in stack[1:] if s[0] in BLOCK)
@@ -130,6 +181,8 @@ def blocks(page: str | None) -> list[Block]:
                     close(k)
                     break
             continue
+        if name not in IN_HEAD and len(stack) > 1 and stack[-1][0] == "head":
+            close(len(stack) - 1)
         if name in BLOCK:
             flush()
             if name in NO_P:
@@ -150,12 +203,20 @@ def blocks(page: str | None) -> list[Block]:
             text.append(" ")
         if name in VOID or t.endswith("/>") and (name not in BLOCK | RAW | {"a", "b", "i", "span"} or name in RAW and any(s[0] in ("svg", "math") for s in stack)):
             continue
-        label, bad = _marked(t) if "=" in t or "hidden" in t else ("", False)
+        own = attributes(t) if "=" in t or "hidden" in t.lower() else {}
+        label, bad = _marked(own)
         above = stack[-1]
-        main = above[3] + (name in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?(?:main|article)\b", t, re.I)))
+        role = own.get("role", "").lower().split()[:1]
+        main = above[3] + (name in ("article", "main") or role in (["main"], ["article"]))
         bad = bad and not (name in ("html", "body", "article", "main") or HEADING.match(name))
         bad = bad or name in NEVER or name == "header" and not above[3]
-        stack.append((name, label, above[2] or bad, main))
+        articles = above[4]
+        if main > above[3]:
+            n_articles += 1
+            articles = (*articles, n_articles)
+            for s in above[2]:
+                s.articles.add(n_articles)
+        stack.append((name, label, (*above[2], Suspect(name in CODE)) if bad else above[2], main, articles))
         links += name == "a"
         if name in RAW:
             if text and name not in BLOCK:
@@ -163,6 +224,7 @@ def blocks(page: str | None) -> list[Block]:
             end = _RAW_END[name].search(page, at)
             at = end.start() if end else len(page)
     flush()
+    _settle(out)
     return out
 
 

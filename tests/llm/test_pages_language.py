@@ -65,6 +65,33 @@ def test_quotes_open_values_only():
     assert html_text.main_text(page) == "One, two three.\n\nFour, it's five.\n\nSix, isn't it."
 
 
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div style="overflow: hidden">{}</div>',
+        '<div title="now hidden" data-x=\' hidden class="nav"\'>{}</div>',
+        '<div class="layout has-sidebar">{}</div>',
+        '<div class="no-sidebar comments-open search-result">{}</div>',
+        '<div id="form-of-government">{}</div>',
+        '<div class="widget">{}</div>',
+        '<form id=aspnet>{}</form>',
+        '<div hidden>{}</div>',
+        '<html><head><title>A</title><meta name=x><body>{}',
+    ],
+)
+@pytest.mark.parametrize("shell", ["<article>{}</article>", "<div id=story>{}</div>"])
+def test_loose_marks_do_not_cut_the_article(around, shell):
+    assert html_text.main_text(around.format(shell.format(ARTICLE))) == WANT
+    assert html_text.main_text(FURNITURE + around.format(shell.format(ARTICLE)) + AFTER) == WANT
+
+
+def test_names_that_mark():
+    yes, no = "ad comments ad-slot cookie-notice share_bar site-footer comment-12 related-posts nav-list".split(), "has-sidebar no-sidebar with-nav comments-open search-result form-of-government adverb header-image sidebar-left".split()
+    assert [n for n in yes + no if html_text.names_no_article(n)] == yes
+    assert html_text.attributes("<a b='c d' B=x hidden e = f/g h=\"i>j\"/>") == {"b": "c d", "hidden": "", "e": "f/g", "h": "i>j"}
+    assert html_text.main_text(f"<article>{ARTICLE}<div hidden><p>Not seen, at all.</p></div><div aria-hidden=true>Nor this.</div></article>") == WANT
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "<p>Some words, here.</p>", None, None, "f"), (1, None, None, None, None), (None, "", None, None, None)]
     got = html_text.extract(spark.createDataFrame(rows, SCHEMA), "text").collect()
