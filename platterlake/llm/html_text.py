@@ -7,11 +7,12 @@ path. Along the page, each ratio is smoothed over neighbouring blocks and the tw
 are fused into one score. Paths whose fused score reaches a share of the page's
 spread are content, and so are headings, lists and quotes that stand among them.
 
-What a page says about itself is used first: elements that are never main text
-(navigation, forms, scripts, asides) and elements whose class, id or role names
-them as such are cut off, and where there is an article or main element, the
-paths are judged inside it, where only a path whose text is all links is left
-out. The ratios decide where the page says nothing.
+The ratios run on every page. What a page says about itself is evidence in their
+score: where article or main elements hold a share of the prose, their blocks gain
+and all others lose in that proportion, and blocks in an element whose class, id or
+role names it as no article lose most of theirs. Elements that are never main text
+(navigation, forms, scripts, asides, hidden ones) are no blocks at all, unless they
+hold most of the page's prose or its main article.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ MARKS = set("ad ads adv advert advertisement advertising adverts alert announcem
 PARTS = set("area bar block body box button buttons container content count group inner item items label link links list message outer panel placeholder post posts section site slot slots text thread title top unit wrap wrapper zone".split())
 #: Elements of NEVER that show no text of their own, whatever they hold.
 CODE = NEVER - {"aside", "dialog", "fieldset", "footer", "form", "label", "menu", "nav", "noscript"}
+#: Elements of NEVER that pages are wrapped in; beside an article, the others stay out even if they are longer.
+WRAPPERS = {"fieldset", "form", "noscript"}
 #: Elements that end a head whose end tag is left out are all but these.
 IN_HEAD = {"base", "link", "meta", "title", "style", "script", "noscript", "template", "head", "html"}
 #: Share of the page's text beyond which an element is the page and not something beside it.
@@ -54,27 +57,36 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
+_BESIDE = re.compile(r"(?:h[1-6]|p|li|blockquote|pre|td|th|dd|dt|figcaption)(?:\.|$)")
 #: Weights of a block's neighbours when ratios are smoothed.
 SMOOTH = (0.25, 0.5, 0.25)
 #: Share of the standard deviation of the fused scores that content must reach.
 THRESHOLD = 0.8
+#: What is left of the score of a block whose surroundings name it as no article.
+MARKED = 0.1
 
 
 class Suspect:
     """An element that names itself as no article, and what it turns out to hold."""
 
-    __slots__ = ("articles", "chars", "code", "prose")
+    __slots__ = ("articles", "chars", "code", "cuts", "prose", "wraps")
 
-    def __init__(self, code: bool):
-        self.code, self.chars, self.prose, self.articles = code, 0, False, set()
+    def __init__(self, name: str, cuts: bool):
+        self.code, self.cuts, self.wraps = name in CODE, cuts, not cuts or name in WRAPPERS
+        self.chars, self.prose, self.articles = 0, False, set()
+
+    def stands(self, chief: int | None, total: int) -> bool:
+        """Whether it is beside the article after all texts of the page are known."""
+        most = self.prose and self.chars > MOST * total and (self.wraps or chief is None)
+        return self.code or not most and chief not in self.articles
 
 
 class Block:
-    __slots__ = ("articles", "linked", "main", "never", "path", "suspects", "text")
+    __slots__ = ("articles", "linked", "main", "marked", "never", "path", "suspects", "text")
 
     def __init__(self, path: tuple[str, ...], text: str, linked: int, suspects: tuple[Suspect, ...], main: int, articles: tuple[int, ...]):
         self.path, self.text, self.linked, self.suspects, self.main, self.articles = path, text, linked, suspects, main, articles
-        self.never = bool(suspects)
+        self.never = self.marked = False
 
     @property
     def in_article(self) -> bool:
@@ -99,9 +111,13 @@ def names_no_article(name: str) -> bool:
     return any(p in MARKS for p in parts) and all(p in MARKS or p in PARTS for p in parts)
 
 
+def _hidden(own: dict[str, str]) -> bool:
+    return "hidden" in own and own["hidden"].lower() != "until-found" or own.get("aria-hidden", "").strip().lower() == "true"
+
+
 def _marked(own: dict[str, str]) -> tuple[str, bool]:
     """A step's label (its first class, id or role as written) and whether it names itself as no article."""
-    label, bad = "", "hidden" in own and own["hidden"].lower() != "until-found" or own.get("aria-hidden", "").strip().lower() == "true"
+    label, bad = "", False
     for key, value in own.items():
         if key in ("class", "id", "role"):
             names = value.lower().split()
@@ -126,8 +142,9 @@ def _settle(found: list[Block]) -> None:
             s.prose = s.prose or n > 0 and bool(_PUNCT.search(b.text))
     chief = max(held, key=held.get) if held and max(held.values()) > 0 else None
     for b in found:
-        if b.suspects:
-            b.never = any(s.code or chief not in s.articles and not (s.prose and s.chars > MOST * total) for s in b.suspects)
+        left = [s for s in b.suspects if s.stands(chief, total)]
+        b.never = any(s.cuts for s in left)
+        b.marked = bool(left)
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -208,15 +225,16 @@ def blocks(page: str | None) -> list[Block]:
         above = stack[-1]
         role = own.get("role", "").lower().split()[:1]
         main = above[3] + (name in ("article", "main") or role in (["main"], ["article"]))
-        bad = bad and not (name in ("html", "body", "article", "main") or HEADING.match(name))
-        bad = bad or name in NEVER or name == "header" and not above[3]
+        whole = name in ("html", "body", "main")
+        cuts = name in NEVER or name == "header" and not above[3] or _hidden(own) and not whole
+        bad = cuts or bad and not (whole or HEADING.match(name))
         articles = above[4]
         if main > above[3]:
             n_articles += 1
             articles = (*articles, n_articles)
             for s in above[2]:
                 s.articles.add(n_articles)
-        stack.append((name, label, (*above[2], Suspect(name in CODE)) if bad else above[2], main, articles))
+        stack.append((name, label, (*above[2], Suspect(name, cuts)) if bad else above[2], main, articles))
         links += name == "a"
         if name in RAW:
             if text and name not in BLOCK:
@@ -246,34 +264,41 @@ def ratios(found: list[Block]) -> list[float]:
     return [math.sqrt(a * (b + 0.1)) for a, b in zip(smooth(text), smooth(marks), strict=True)]
 
 
+def fused(found: list[Block]) -> list[float]:
+    """Score of each block: its ratios, weighed by what the page says about its surroundings."""
+    plain = [b for b in found if not b.marked]
+    prose = lambda bs: sum(max(0, len(b.text) - b.linked) for b in bs)
+    in_main, in_article = [b for b in plain if b.main], [b for b in plain if b.in_article]
+    # What else the main element holds is beside the article.
+    by_article = 2 * prose(in_article) >= prose(in_main)
+    share = prose(in_article if by_article else in_main) / max(1, prose(plain))
+    out = []
+    for b, s in zip(found, ratios(found), strict=True):
+        inside = b.in_article if by_article else b.main
+        out.append(s * (1 + share if inside else 1 - share) * (MARKED if b.marked else 1.0))
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by blank lines; empty for a page without any."""
     found = [b for b in blocks(page) if not b.never]
-    if any(b.main for b in found):
-        inside = [b for b in found if b.main]
-        articles = [b for b in inside if b.in_article]
-        if 2 * sum(len(b.text) for b in articles) >= sum(len(b.text) for b in inside):
-            inside = articles  # what else the main element holds is beside the article
-        own: dict[tuple[str, ...], int] = {}  # characters outside links, by path
-        for b in inside:
-            own[b.path] = own.get(b.path, 0) + max(0, len(b.text) - b.linked)
-        return "\n\n".join(b.text for b in inside if own[b.path] or HEADING.match(b.path[-1].split(".")[0]))
     if not found:
         return ""
-    scores = ratios(found)
+    scores = fused(found)
     mean = sum(scores) / len(scores)
-    spread = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
-    floor = THRESHOLD * spread if len(found) > 2 else 0.0
-    by_path: dict[tuple[str, ...], float] = {}
-    for b, s in zip(found, scores, strict=True):
-        by_path[b.path] = max(by_path.get(b.path, 0.0), s)
-    content = {p for p, s in by_path.items() if s >= floor and s > 0}
-    areas = {p[:-1] for p in content}
+    floor = THRESHOLD * math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
+    # A path inside the article and the same path outside are judged each by itself.
+    keys = [(b.path, b.main > 0, b.marked) for b in found]
+    best: dict[tuple, float] = {}
+    for k, s in zip(keys, scores, strict=True):
+        best[k] = max(best.get(k, 0.0), s)
+    content = {k for k, s in best.items() if s >= floor and s > 0}
+    areas = {(path[:-1], main) for path, main, marked in content if not marked}
     kept = []
-    for b in found:
+    for b, k in zip(found, keys, strict=True):
         free = 2 * b.linked <= len(b.text)
-        beside = any(b.path[: len(a)] == a for a in areas) and re.match(r"(?:h[1-6]|p|li|blockquote|pre|td|th|dd|dt|figcaption)(?:\.|$)", b.path[-1] if b.path else "")
-        if b.path in content and free or beside and free:
+        beside = not b.marked and _BESIDE.match(b.path[-1] if b.path else "") and any((b.path[:n], k[1]) in areas for n in range(len(b.path) + 1))
+        if (k in content or beside) and free:
             kept.append(b.text)
     return "\n\n".join(kept)
 

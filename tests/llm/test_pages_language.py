@@ -92,6 +92,23 @@ def test_names_that_mark():
     assert html_text.main_text(f"<article>{ARTICLE}<div hidden><p>Not seen, at all.</p></div><div aria-hidden=true>Nor this.</div></article>") == WANT
 
 
+STORY = "".join(f"<p>Sentence {i} of the story, which is long enough; it goes on, and on, for a while. Then it ends.</p>" for i in range(6))
+TOLD = "\n\n".join(f"Sentence {i} of the story, which is long enough; it goes on, and on, for a while. Then it ends." for i in range(6))
+
+
+@pytest.mark.parametrize("card", ["<article class=teaser><h3>More</h3><p>Read this, too.</p></article>", "<article class=comment><p>I disagree, strongly.</p></article>" * 3, "<article><p>A card, short.</p></article>", "<div role=article><p>A card, short.</p></div>"])
+@pytest.mark.parametrize("shell", ["<div class=story>{}</div>{}", "<form><div class=story>{}</div></form>{}", "<div class=story>{}{}</div>"])
+def test_a_card_set_as_article_does_not_hide_the_story(shell, card):
+    got = html_text.main_text(FURNITURE + shell.format(STORY, card) + AFTER)
+    assert got.startswith(TOLD) and "disagree" not in got and "Read this" not in got
+
+
+def test_ratios_decide_inside_an_article():
+    links = "<div class=x><a href=a>One</a> <a href=b>Two</a> or <a href=c>Three</a></div>"
+    assert html_text.main_text(f"<article><h1>Title</h1>{STORY}{links}</article>") == "Title\n\n" + TOLD
+    assert html_text.main_text(f"<div class=story>{STORY}</div><div class=comments>{STORY.replace('story', 'reply')}</div>") == TOLD
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "<p>Some words, here.</p>", None, None, "f"), (1, None, None, None, None), (None, "", None, None, None)]
     got = html_text.extract(spark.createDataFrame(rows, SCHEMA), "text").collect()
