@@ -35,6 +35,10 @@ SWITCH = 12.0
 MOST_GRAMS = 24
 #: A language is a candidate for a script that has this share of its letters.
 SCRIPT_SHARE = 0.01
+#: Share of labelled texts that may fit their languages worse than what the least fit is read from.
+ODD_SHARE = 0.001
+#: Fewer labelled texts than this say nothing about the least fit.
+LEAST_ROWS = 30
 #: Words of texts that go through Viterbi together.
 BATCH_WORDS = 1_000_000
 #: Words whose scores a worker keeps.
@@ -87,7 +91,8 @@ class Model:
         self.table = np.log((counts + 0.5) / (totals + 0.5 * TABLE)).astype(np.float32).T.copy() if languages else np.zeros((TABLE, 0), np.float32)
         share = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1)
         allowed = (share >= SCRIPT_SHARE).T  # by script and language
-        allowed[~allowed.any(axis=1)] = True
+        self.known = allowed.any(axis=1)  # scripts that some language was seen with
+        allowed[~self.known] = True
         self.shut = np.where(allowed, 0, -1000).astype(np.float32)
 
     def score(self, found: list[str]) -> np.ndarray:
@@ -137,6 +142,7 @@ class Labeler:
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.model.languages)), dtype=np.float32)
+        self.known = np.zeros(0, dtype=bool)
 
     def _ids(self, found: list[str]) -> np.ndarray:
         if len(self.places) > KEPT_WORDS:
@@ -144,12 +150,13 @@ class Labeler:
         fresh = list(dict.fromkeys(w for w in found if w not in self.places))
         if fresh:
             self.scores = np.concatenate((self.scores, *(self.model.score(fresh[i : i + 20_000]) for i in range(0, len(fresh), 20_000))))
+            self.known = np.concatenate((self.known, self.model.known[[script(w) for w in fresh]]))
             self.places.update(zip(fresh, range(len(self.places), len(self.places) + len(fresh)), strict=True))
         return np.fromiter(map(self.places.__getitem__, found), dtype=np.int64, count=len(found))
 
     def label(self, texts: list[str | None]) -> list[dict]:
-        """lang, score and spans of each text."""
-        out: list[dict] = [{"lang": UNKNOWN, "score": 0.0, "spans": []} for _ in texts]
+        """lang, score, spans, known, grams and fit of each text."""
+        out: list[dict] = [{"lang": UNKNOWN, "score": 0.0, "spans": [], "known": 0.0, "grams": 0, "fit": None} for _ in texts]
         if not self.model.languages:
             return out
         at = 0
@@ -174,12 +181,21 @@ class Labeler:
         labels = viterbi(self.scores, ids, sizes, self.penalty)
         letters = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
         n = len(self.model.languages)
-        share = np.bincount(np.repeat(np.arange(len(docs)), sizes) * n + labels, weights=letters, minlength=n * len(docs)).reshape(-1, n)
+        of = np.repeat(np.arange(len(docs)), sizes)
+        share = np.bincount(of * n + labels, weights=letters, minlength=n * len(docs)).reshape(-1, n)
         best = share.argmax(axis=1)
+        known = self.known[ids]
+        counted = np.minimum(4 * letters + 2, MOST_GRAMS) * known  # n-grams of one to four in a word with two ends
+        each = np.maximum(self.scores[ids, labels] / np.minimum(4 * letters + 2, MOST_GRAMS), -99.0)
+        seen, n_grams, total = (np.bincount(of, weights=x, minlength=len(docs)) for x in (letters * known, counted, counted * each))
+        order = np.argsort(of * 100.0 + each)  # by text, then by fit
+        upto = np.cumsum(counted[order])
+        middle = np.searchsorted(upto, np.cumsum(n_grams) - n_grams / 2)
+        fit = np.maximum(total / np.maximum(n_grams, 1), each[order[np.minimum(middle, len(order) - 1)]])
         stops = np.cumsum(sizes)
         for i, where in enumerate(kept):
             own = labels[stops[i] - sizes[i] : stops[i]]
-            out[where] = {"lang": self.model.languages[best[i]], "score": float(share[i, best[i]] / share[i].sum()), "spans": self._spans(texts[where], own)}
+            out[where] = {"lang": self.model.languages[best[i]], "score": float(share[i, best[i]] / share[i].sum()), "spans": self._spans(texts[where], own), "known": float(seen[i] / share[i].sum()), "grams": int(n_grams[i]), "fit": float(fit[i]) if n_grams[i] else None}
 
     def _spans(self, text: str, own: np.ndarray) -> list[dict]:
         changes = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
@@ -242,15 +258,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(languages, stacked[:, :TABLE], stacked[:, TABLE:])
 
 
-_FOUND = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
+_FOUND = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("known", T.DoubleType()), T.StructField("grams", T.LongType()), T.StructField("fit", T.DoubleType())])
 _SPAN = pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-_FOUND_ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(_SPAN))])
+_FOUND_ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(_SPAN)), ("known", pa.float64()), ("grams", pa.int64()), ("fit", pa.float64())])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = SWITCH) -> DataFrame:
-    """(row, found): the row as it was, and lang, score and spans of its text.
-
-    ``score`` is the share of the letters that the language's spans hold. A text
+    """(row, found): the row as it was, and lang, score, spans, known, grams and fit of its text.
+
+    ``score`` is the share of the letters that the language's spans hold. ``known``
+    is the share of the letters in scripts that some language was learned with;
+    ``grams`` is how many n-grams these letters give, and ``fit`` their mean
+    log-likelihood in the languages of their spans, or that of the middle word, with
+    half of the n-grams in words that fit no better, if it is more, so neither a few
+    odd words nor a foreign passage decide; null if there are none. A text
     that is null or has no letter is ``und`` with score 0 and no spans, as is any
     if no language was learned. Only the text is looked at. Nothing is shuffled.
     """
@@ -264,3 +285,25 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
 
     packed = docs.select(F.struct("*").alias("row"))
     return packed.select("row", run(packed["row"].getField(text_col).cast("string")).alias("found"))
+
+
+def least_fit(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = LABELLED_ROWS) -> float | None:
+    """The fit below which a text is in none of the languages, from about ``rows`` labelled rows kept from training.
+
+    As far below the fit that all but ODD_SHARE of them reach as that is below
+    their mean. None if there are fewer than LEAST_ROWS of them.
+    """
+    ready = docs.where(held_out(id_col) & F.col(lang_col).isin(model.languages) & F.col(text_col).isNotNull())
+    n = ready.select(lang_col).count()
+    if n < LEAST_ROWS:
+        return None
+    if n > rows:
+        ready = ready.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+    fit = F.col("found.fit")
+    got = identify(ready.select(text_col), model, text_col).agg(F.count(fit).alias("n"), F.avg(fit).alias("mean"), F.percentile(fit, F.lit(ODD_SHARE)).alias("low")).first()
+    return None if got.n < LEAST_ROWS else 2 * got.low - got.mean
+
+
+def fits(least: float | None, penalty: float = SWITCH) -> Column:
+    """Whether a text's shortfall of the least fit is not beyond what a change of language costs, so short texts get the benefit."""
+    return F.lit(True) if least is None else F.coalesce((F.lit(least) - F.col("found.fit")) * F.col("found.grams") <= penalty, F.lit(False))

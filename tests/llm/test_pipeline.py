@@ -1,6 +1,7 @@
 """The pipeline against brute force on a small fixture."""
 
 import os
+import random
 
 import corpus_pipeline
 from platterlake.llm import bpe, decontaminate, language, simhash
@@ -69,6 +70,22 @@ def test_stages_keep_columns_and_empty_tables(spark, tmp_path):
     assert corpus_pipeline.drop_copies(spark, nulls, str(tmp_path)).count() == 2
 
 
+def test_foreign_documents_are_rejected(spark):
+    rnd = random.Random(8)
+    parts = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["str", "ing", "orp", "elk"]}
+    text = lambda k, n: " ".join("".join(rnd.choice(parts[k]) for _ in range(3)) for _ in range(n))
+    rows = [(i, text(k := rnd.choice(list(parts)), rnd.randint(1, 60)), k) for i in range(400)]
+    han, cyrillic = "人人生而自由在尊严和权利上一律平等", "Все люди рождаются свободными и равными в своем достоинстве и правах"
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw"
+    foreign = {900: han, 901: cyrillic, 902: polish, 903: text("xx", 2) + " " + han, 904: text("yy", 3) + " " + polish}
+    own = {910: text("xx", 20) + " " + han, 911: text("yy", 40) + " " + polish[:16], 912: text("xx", 20) + " " + text("yy", 20), 913: "kalo", 914: text("xx", 9) + " 12 %% !!"}
+    extra = [(i, t, None) for i, t in (foreign | own).items()]
+    docs = spark.createDataFrame(rows + extra, "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert {r[0] for r in rows} <= kept
+    assert kept - {r[0] for r in rows} == set(own)
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_dedup", "decontaminate", "tokenize"]
     assert os.path.isfile(corpus_pipeline.__file__) and language.UNKNOWN == "und"
