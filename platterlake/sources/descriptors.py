@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import signatures
 from ..functions.wire import Cursor, WireError, plain_text
 from .streams import child, parsed
 
@@ -226,3 +227,20 @@ def signature_status(found: DataFrame, trusted: DataFrame) -> DataFrame:
     each = child(found, "signatures")
     named = each.join(trusted.select("key_id", "trusted"), "key_id", "left")
     return named.select("path", "role", "key_id", F.when(F.col("trusted").isNull(), "untrusted").when(F.col("trusted"), "unverified").otherwise("revoked").alias("status"))
+
+
+def verification(found: DataFrame, keys: DataFrame) -> DataFrame:
+    """(path, role, key_id, status) of every descriptor that parsed, against a table of (key_id, public_key, trusted).
+
+    A signature is Verified or Invalid by Ed25519 over its commitment,
+    UntrustedKey if its key is not in the table or a row there does not trust it,
+    and Unsupported if the key is not one of 32 bytes. A descriptor without a
+    release signature has a row that says Missing.
+    """
+    known = keys.groupBy("key_id").agg(F.min(F.coalesce("trusted", F.lit(False))).alias("trusted"), F.max("public_key").alias("public_key"))
+    each = child(found, "signatures").join(known, "key_id", "left")
+    status = F.when(~F.coalesce("trusted", F.lit(False)), "UntrustedKey").when(F.coalesce(F.octet_length("public_key"), F.lit(0)) != 32, "Unsupported").when(F.col("right"), "Verified").otherwise("Invalid")
+    right = signatures.verified(F.col("public_key"), F.col("commitment"), F.col("signature"))
+    signed = each.withColumn("right", right).select("path", "role", "key_id", status.alias("status"))
+    bare = found.where(F.col("error").isNull() & ~F.exists("signatures", lambda s: s["role"] == "release"))
+    return signed.unionByName(bare.select("path", F.lit("release").alias("role"), F.lit(None).cast("binary").alias("key_id"), F.lit("Missing").alias("status")))

@@ -3,12 +3,12 @@
 import random
 import struct
 import zlib
-from hashlib import sha256
+from hashlib import sha256, sha512
 
 import numpy as np
 import pytest
 
-from platterlake.functions import columns, geometry, palettes, wire
+from platterlake.functions import columns, geometry, palettes, signatures, wire
 from platterlake.functions.wire import Cursor, WireError, quiet_filler, read_varuint, write_varuint
 from platterlake.sources import descriptors, images, packages, streams
 from platterlake.streaming import ingest
@@ -117,6 +117,22 @@ def test_descriptors(spark):
     assert sorted((s.role, s.status) for s in descriptors.signature_status(found, trusted).collect()) == [("deferred", "untrusted"), ("release", "unverified")]
 
 
+def test_verification(spark):
+    def packed(point):
+        z = pow(point[2], signatures.P - 2, signatures.P)
+        return (point[1] * z % signatures.P | (point[0] * z % signatures.P & 1) << 255).to_bytes(32, "little")
+
+    secret, nonce, digest = 12345, 67890, b"d" * 32
+    public, r = packed(signatures._times(secret, signatures.BASE)), packed(signatures._times(nonce, signatures.BASE))
+    h = int.from_bytes(sha512(r + public + digest).digest(), "little")
+    good = r + ((nonce + h * secret) % signatures.ORDER).to_bytes(32, "little")
+    signed = lambda key, sig: descriptor([(16, bytes([2]) + digest + struct.pack(">H", len(key)) + key + sig)])
+    found = descriptors.descriptors(files(spark, signed(b"k", good), signed(b"k", good[:-1] + b"\x01"), signed(b"none", good), signed(b"old", good), signed(b"short", good), descriptor(), b"x"))
+    keys = spark.createDataFrame([(bytearray(k), bytearray(p), t) for k, p, t in ((b"k", public, True), (b"old", public, False), (b"short", b"p", True))], "key_id binary, public_key binary, trusted boolean")
+    got = sorted((r.path, r.status) for r in descriptors.verification(found, keys).collect())
+    assert got == [("f0", "Verified"), ("f1", "Invalid"), ("f2", "UntrustedKey"), ("f3", "UntrustedKey"), ("f4", "Unsupported"), ("f5", "Missing")]
+
+
 def test_packages(spark):
     s = stream()
     good = package(descriptor(stream_len=len(s)), s)
