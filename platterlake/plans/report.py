@@ -22,7 +22,7 @@ def stream_checks(found: DataFrame) -> DataFrame:
         "chunks lie inside entries": parsed & (F.col("encrypted") | F.col("crossed").isNull()),
         "entries add up to the payload": parsed & (F.col("encrypted") | (total("entries", "byte_length") == payload)),
         "every revolution is covered once": parsed & F.col("bare").isNull(),
-        "sample rate and channels are stated": parsed & F.exists("payload_descriptors", lambda d: d["sample_rate"] > 0) & F.exists("payload_descriptors", lambda d: d["channels"] > 0),
+        "sample rate and channels are stated": parsed & (F.size("payload_descriptors") > 0) & F.forall("payload_descriptors", lambda d: F.coalesce((d["sample_rate"] > 0) & (d["channels"] > 0), F.lit(False))),
         "stream parses": parsed,
     }
     return relational.checks(both, ["path"], predicates)

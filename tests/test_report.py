@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from platterlake.plans import report
 from platterlake.sources import descriptors, streams
 from tests.test_sources import descriptor, envelope, files, stream
@@ -22,3 +24,11 @@ def test_checks_and_json(spark):
     assert json.loads(report.descriptor_json(described).where("path = 'f0'").first()["json"])["title"] == "T"
     regions = json.loads(report.programme_json(found).where("path = 'f0'").first()["json"])
     assert [r["kind"] for r in regions] == ["track", "gap", "track"]
+
+
+def test_every_descriptor_states_rate_and_channels(spark):
+    found = streams.parsed(files(spark, stream()))
+    silent = F.transform("payload_descriptors", lambda d: d.withField("channels", F.lit(None).cast("int")))
+    part = found.withColumns({"path": F.lit("part"), "payload_descriptors": F.concat("payload_descriptors", silent)})
+    label = "sample rate and channels are stated"
+    assert {r.path: r.ok for r in report.stream_checks(found.unionByName(part)).where(F.col("label") == label).collect()} == {"f0": True, "part": False}
