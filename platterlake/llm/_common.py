@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -44,12 +43,3 @@ def shelve(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.parquet(path)
 
-
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of steps that are done and not referred to any more.
-
-    Spark deletes them when its driver collects its garbage, by default every half
-    hour; an operator of many steps would hold all of them at once until then.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

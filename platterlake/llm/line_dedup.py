@@ -4,15 +4,23 @@ A line is the set of its words; two lines match at a Jaccard similarity of
 ``THRESHOLD``. Lines with the same set are one class, and only classes are joined.
 Words are ordered by rarity: occurrences over all documents are counted in
 ``BUCKETS`` hash buckets (a table of fixed size), and a word's place is the
-frequency class of its bucket, then its hash. A class is probed by the prefix of its ordered words
-that any match must touch. Pairs that share a prefix word pass a length filter, a
-positional filter and a filter on parity signatures (64 bits, each the parity of
-the words that hash to it: two sets differ in at least as many words as their
-signatures differ in bits). What is left is verified on the words themselves,
-which are fetched again for the lines concerned.
-
-To fetch them, all lines are scanned once more; a bitmap of fixed size, broadcast,
-keeps most others out of the shuffle, and the join decides.
+frequency class of its bucket, then its hash. A class is probed by the prefix of its
+ordered words that any match must touch, without words that occur once in all. The
+join is done twice over:
+
+1. By prefix word, on narrow rows. A row is a candidate if some other class shares
+   the word and passes the length filter, the positional filter and a filter on
+   parity signatures (64 bits, 128 for long lines; each bit is the parity of the
+   words that hash to it, so two sets differ in at least as many words as their
+   signatures differ in bits). This is a semi-join: it makes no pairs.
+2. The words of the candidates' lines are fetched (all lines are scanned once more;
+   a bitmap of fixed size, broadcast, keeps most others out of the shuffle, and the
+   join decides), and the candidate rows are joined by prefix word again, now with
+   the words in them, so that similarity is verified where two classes meet and is
+   counted there. No pair is stored or shuffled.
+
+Two classes that share several prefix words are matched at one of them: at the
+first word of both prefixes if that is the same, and else at their rarest common one.
 
 A line goes if an earlier line, by document and place, matches it, whether that
 one stays or not. Blank lines stay.
@@ -20,18 +28,22 @@ one stays or not. Blank lines stay.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import release, shelve
+from ._common import shelve
 
 #: Least similarity, as a fraction.
 THRESHOLD = (4, 5)
 BUCKETS = 1 << 22
 #: Buckets of one row of the table while it is built.
 _PART = 4096
-#: Bits of the bitmap over lines to fetch: 2 MB.
+#: Bits of a bitmap that keeps rows out of a shuffle: 2 MB.
 BITMAP_BITS = 1 << 24
+#: Lines of so many words have the second half of the signature.
+LONG_LINE = 80
 _KEY_BITS = 56
 
 
@@ -43,10 +55,6 @@ def _spaced(line: Column) -> Column:
     return F.when(odd, F.regexp_replace(line, "[\t\r\x0b\f]", " ")).otherwise(line)
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(_spaced(line), " ")), "")
-
-
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, doc_hash, line_no, line) of every line; a null text gives one row without a line."""
     text = F.col(text_col).cast("string")
@@ -55,8 +63,8 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> bytes:
-    """For each word bucket its frequency class, rare first: quarter octaves of its count, 0 to 127."""
-    whole = F.replace(F.col(text_col).cast("string"), F.lit("\n"), F.lit(" "))
+    """For each word bucket its frequency class, rare first: quarter octaves of its count, 0 to 127; 0 is one occurrence at most."""
+    whole = F.replace(_spaced(F.col(text_col).cast("string")), F.lit("\n"), F.lit(" "))
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     seen = docs.select(F.explode(F.split(whole, " ")).alias("w")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.floor(4 * F.log2("n")), F.lit(127)).cast("int")
@@ -70,86 +78,119 @@ def rarity(docs: DataFrame, text_col: str = "text") -> bytes:
     return bytes(out)
 
 
-def keyed(each: DataFrame, levels: bytes) -> DataFrame:
-    """Lines with their class (x1, x2), size, parity signature and prefix."""
+def ordered(each: DataFrame, levels: bytes) -> DataFrame:
+    """``each`` with ``keys``: the line's words as 64-bit keys, rare ones first."""
 
     def key(h: Column) -> Column:
         level = F.ascii(F.substring(F.lit(levels), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
         return F.shiftleft(level.cast("bigint"), _KEY_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _KEY_BITS))
 
     hashed = F.array_distinct(F.transform(F.split(_spaced(F.col("line")), " "), lambda w: F.xxhash64(w)))
-    sets = each.withColumn("keys", F.sort_array(F.transform(F.array_remove(hashed, F.xxhash64(F.lit(""))), key)))
+    return each.withColumn("keys", F.sort_array(F.transform(F.array_remove(hashed, F.xxhash64(F.lit(""))), key)))
+
+
+def token(key: Column) -> Column:
+    """A prefix word as the joins know it; words that agree in it only cost a comparison."""
+    return F.hash(key)
+
+
+def keyed(each: DataFrame, levels: bytes) -> DataFrame:
+    """Lines with their class (x, sig), size, second signature, and prefix from its first word that occurs twice."""
+    sets = ordered(each, levels)
     size = F.size("keys")
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))
-    signature = F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(bit(k)))
+    one = F.lit(1).cast("bigint")
+    bit = lambda k: F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))
+    high = lambda k: F.call_function("shiftleft", F.shiftrightunsigned(k, 6).bitwiseAND(one), k.bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda of: F.aggregate("keys", F.lit(0).cast("bigint"), lambda s, k: s.bitwiseXOR(of(k)))
     num, den = THRESHOLD
-    prefix = size - F.floor((size * num + den - 1) / den).cast("int") + 1
-    return sets.select("doc", "doc_hash", "line_no", F.xxhash64("keys").alias("x1"), F.hash("keys").alias("x2"), size.alias("size"), signature.alias("sig"), F.transform(F.slice("keys", 1, F.greatest(prefix, F.lit(0))), lambda k: F.hash(k)).alias("prefix"))
+    prefix = F.slice("keys", 1, F.greatest(size - F.floor((size * num + den - 1) / den).cast("int") + 1, F.lit(0)))
+    cut = sets.select("doc", "doc_hash", "line_no", F.xxhash64("keys").alias("x"), size.alias("size"), parity(bit).alias("sig"), F.when(size >= LONG_LINE, parity(high)).otherwise(F.lit(0)).alias("sig2"), prefix.alias("prefix"))
+    once = F.size(F.filter("prefix", lambda k: k < F.lit(1 << _KEY_BITS)))
+    return cut.withColumn("skip", F.when(F.col("size") > 0, once).otherwise(F.lit(0))).withColumn("prefix", F.transform(F.slice("prefix", F.col("skip") + 1, F.size("prefix")), token))
 
 
 def classes(keyed_lines: DataFrame) -> DataFrame:
-    """One row for each set of words: its first line, and its prefix."""
+    """One row for each set of words: its first line, how many lines have it, and its prefix."""
     first = F.min(F.struct("doc", "line_no", "doc_hash")).alias("at")
-    return keyed_lines.where("size > 0").groupBy("x1", "x2").agg(first, F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
+    return keyed_lines.where("size > 0").groupBy("x", "sig").agg(first, F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("size", "sig2", "skip", "prefix")))
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """Pairs of classes (a1, b1, by x1) that share a prefix word and pass the filters.
+def _first() -> Column:
+    return F.try_element_at("prefix", F.lit(1))
+
+
+def _meet() -> Column:
+    """Whether two rows with a common prefix word are at the one where they are to be matched, as far as their first words tell."""
+    return (F.col("a.first") != F.col("b.first")) | (F.col("a.token") == F.col("a.first"))
+
 
-    Two classes with one x1 are told apart when their words are compared.
+def _near(s: str, t: str) -> Column:
+    """Whether two rows with a common prefix word pass the length, positional and signature filters.
+
+    The positional filter takes the common word for the rarest common one: what is
+    before it then adds nothing to the overlap.
     """
     num, den = THRESHOLD
-    probe = found.select("x1", "size", "sig", F.posexplode("prefix").alias("pos", "token"))
-    packed = probe.select("token", "x1", "sig", F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR(F.col("pos").cast("bigint")).alias("at"))
-    a, b = packed.alias("a"), packed.alias("b")
-    (a_size, a_pos), (b_size, b_pos) = ((F.shiftright(f"{s}.at", 32), F.col(f"{s}.at").bitwiseAND(F.lit(0xFFFFFFFF))) for s in "ab")
-    ordered = (a_size < b_size) | ((a_size == b_size) & (F.col("a.x1") <= F.col("b.x1")))
-    length = den * a_size >= num * b_size
-    reach = F.least(a_pos, b_pos) + F.least(a_size - a_pos, b_size - b_pos)
-    position = (num + den) * reach >= num * (a_size + b_size)
-    apart = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig")))
-    close = (num + den) * apart <= (den - num) * (a_size + b_size)
-    itself = (F.col("a.x1") == F.col("b.x1")) & (F.col("a.at") == F.col("b.at"))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & ordered & length & position & close & ~itself)
-    return pairs.select(F.col("a.x1").alias("a1"), F.col("b.x1").alias("b1")).distinct()
-
-
-def _bit(doc: Column, line_no: Column) -> Column:
-    return F.pmod(F.xxhash64(doc, line_no), F.lit(BITMAP_BITS))
-
-
-def fetch(each: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(at, line) of the lines whose places ``wanted`` (at) holds."""
-    bit = _bit(F.col("at.doc"), F.col("at.line_no"))
-    # BITMAP_BITS / 32,768 rows of 4 KB at most
-    bitmap = wanted.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    own = _bit(F.col("doc"), F.col("line_no"))
-    placed = each.where("line_no is not null").withColumn("part", F.bitmap_bucket_number(own)).withColumn("pos", F.bitmap_bit_position(own).cast("int"))
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("pos") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    likely = placed.join(F.broadcast(bitmap), "part").where(byte.bitwiseAND(F.expr("shiftleft(1, pos % 8)")) != 0)
-    rows = likely.select(F.struct("doc", "line_no", "doc_hash").alias("at"), "line")
-    same = rows["at.doc"].eqNullSafe(wanted["at.doc"]) & (rows["at.line_no"] == wanted["at.line_no"]) & rows["at.doc_hash"].eqNullSafe(wanted["at.doc_hash"])
-    return rows.join(wanted, same, "left_semi")
-
-
-def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified pairs of classes (a1, a2, b1, b2) with their first lines (a_at, b_at), each once."""
+    a = {c: F.col(f"{s}.{c}") for c in ("size", "pos", "sig", "sig2")}
+    b = {c: F.col(f"{t}.{c}") for c in ("size", "pos", "sig", "sig2")}
+    both = a["size"] + b["size"]
+    length = (den * a["size"] >= num * b["size"]) & (den * b["size"] >= num * a["size"])
+    position = (num + den) * F.least(a["size"] - a["pos"], b["size"] - b["pos"]) >= num * both
+    one, two = a["sig"].bitwiseXOR(b["sig"]), a["sig2"].bitwiseXOR(b["sig2"])
+    long = F.least(a["size"], b["size"]) >= LONG_LINE
+    apart = F.when(long, F.bit_count(one.bitwiseXOR(two)) + F.bit_count(two)).otherwise(F.bit_count(one))
+    return length & position & ((num + den) * apart <= (den - num) * both)
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """(token, sig, first) of the prefix words at which a class with that signature has another class to be compared with."""
+    named = found.withColumn("own", F.hash("x"))
+    probe = named.select(_first().alias("first"), "size", "skip", "sig", "sig2", "own", F.posexplode("prefix").alias("i", "token"))
+    rows = probe.select("token", "first", "size", (F.col("skip") + F.col("i")).alias("pos"), "sig", "sig2", "own")
+    a, b = rows.alias("a"), rows.alias("b")
+    other = reduce(lambda p, q: p | q, (F.col(f"a.{c}") != F.col(f"b.{c}") for c in ("sig", "size", "own")))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & _meet() & other & _near("a", "b"), "left_semi").select("token", "sig").distinct()
+    # Classes that these three columns can't tell apart are all compared.
+    alike = named.groupBy("sig", "size", "own").count().where("count > 1").select("sig").distinct()
+    return met.union(likely(found, alike, "sig").join(alike, "sig", "left_semi").select(F.explode("prefix").alias("token"), "sig")).distinct()
+
+
+def likely(df: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """Rows of ``df`` whose key may be in ``wanted``: a bitmap of BITMAP_BITS / 32,768 rows of 4 KB at most."""
+    spot = F.pmod(F.xxhash64(*key), F.lit(BITMAP_BITS))
+    bitmap = wanted.groupBy(F.bitmap_bucket_number(spot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
+    placed = df.withColumn("part", F.bitmap_bucket_number(spot)).withColumn("spot", F.bitmap_bit_position(spot).cast("int"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("spot") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.join(F.broadcast(bitmap), "part").where(byte.bitwiseAND(F.expr("shiftleft(1, spot % 8)")) != 0).drop("part", "spot", "bits")
+
+
+def words_of(docs: DataFrame, wanted: DataFrame, levels: bytes, id_col: str, text_col: str) -> DataFrame:
+    """``wanted`` (with ``at``, the place of a line) and the keys of that line's words."""
+    place = wanted.select("at.doc", "at.line_no", "at.doc_hash")
+    each = likely(lines(docs, id_col, text_col).where("line_no is not null"), place, "doc", "line_no", "doc_hash")
+    rows = each.select("doc", "line_no", "doc_hash", "line")
+    same = rows["doc"].eqNullSafe(wanted["at.doc"]) & (rows["line_no"] == wanted["at.line_no"]) & rows["doc_hash"].eqNullSafe(wanted["at.doc_hash"])
+    kept = ordered(rows.join(wanted, same), levels).select("x", "sig", "at", "size", "first", "keys")
+    return kept.repartition("sig").dropDuplicates(["x", "sig"])  # rows that repeat a document repeat its lines
+
+
+def links(docs: DataFrame, found: DataFrame, levels: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(x, sig, at, links, earlier) of each class with matches: its first line, how many other classes, and the earliest line of one."""
     num, den = THRESHOLD
-    pairs = candidates(found)
-    for s in "ab":
-        named = found.select(F.col("x1").alias(f"{s}1"), F.col("x2").alias(f"{s}2"), F.col("at").alias(f"{s}_at"))
-        pairs = pairs.join(named, f"{s}1")
-    pairs = shelve(pairs)
-    release(docs.sparkSession)
-    wanted = pairs.select(F.col("a_at").alias("at")).union(pairs.select("b_at")).distinct()
-    text = shelve(fetch(lines(docs, id_col, text_col), wanted))
-    release(docs.sparkSession)
-    left, right = text.select(F.col("at").alias("l_at"), F.col("line").alias("l")), text.select(F.col("at").alias("r_at"), F.col("line").alias("r"))
-    both = pairs.join(left, F.col("a_at") == F.col("l_at")).join(right, F.col("b_at") == F.col("r_at"))
-    both = both.select("a1", "a2", "b1", "b2", "a_at", "b_at", _words(F.col("l")).alias("l"), _words(F.col("r")).alias("r"))
-    common = F.size(F.array_intersect("l", "r"))
-    right_pairs = both.where(den * common >= num * (F.size("l") + F.size("r") - common))
-    return right_pairs.select("a1", "a2", "b1", "b2", "a_at", "b_at").distinct()  # rows that repeat a document repeat its lines
+    points = shelve(candidates(found))
+    ends = points.select("sig").distinct()
+    wanted = likely(found, ends, "sig").join(ends, "sig", "left_semi").select("x", "sig", "at", "size", _first().alias("first"))
+    rows = words_of(docs, shelve(wanted), levels, id_col, text_col).join(points, "sig")
+    a, b = rows.alias("a"), rows.alias("b")
+    order = (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.sig") < F.col("b.sig")))
+    both = F.col("a.size") + F.col("b.size")
+    length = (den * F.col("a.size") >= num * F.col("b.size")) & (den * F.col("b.size") >= num * F.col("a.size"))
+    common = F.array_intersect("a.keys", "b.keys")
+    similar = (num + den) * F.size(common) >= num * both
+    here = F.when(F.col("a.first") == F.col("b.first"), F.col("a.token") == F.col("a.first")).otherwise(F.col("a.token") == token(F.array_min(common)))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & order & length & _meet() & similar & here)
+    side = lambda s, t: F.struct(F.col(f"{s}.x").alias("x"), F.col(f"{s}.sig").alias("sig"), F.col(f"{s}.at").alias("at"), F.when(F.col(f"{t}.at") < F.col(f"{s}.at"), F.col(f"{t}.at")).alias("earlier"))
+    return pairs.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("e")).groupBy("e.x", "e.sig").agg(F.min("e.at").alias("at"), F.count(F.lit(1)).alias("links"), F.min("e.earlier").alias("earlier"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,22 +198,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     ``links`` counts the other classes that the line's class matches; ``match_doc``
     is the document of the earliest match of a line that goes. A null text gives
-    one row without a line number; blank lines are kept and match nothing. A null
-    id sorts before all others. A row that repeats an id and its text repeats its
-    lines' places, so both fare alike. An empty table gives an empty result.
+    one row without a line number; blank lines are kept and match nothing. Ids are
+    integers; a null id sorts before all others. A row that repeats an id and its
+    text repeats its lines' places, so both fare alike. Other columns are not
+    looked at. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    each = shelve(keyed(lines(docs, id_col, text_col), rarity(docs, text_col)))
-    release(spark)
+    levels = rarity(docs, text_col)
+    each = shelve(keyed(lines(docs, id_col, text_col), levels))
     found = shelve(classes(each))
-    release(spark)
-    pairs = shelve(links(docs, found, id_col, text_col))
-    release(spark)
-    ends = pairs.select(F.col("a1").alias("l1"), F.col("a2").alias("l2"), F.col("a_at").alias("own"), F.col("b_at").alias("other")).union(pairs.select("b1", "b2", "b_at", "a_at"))
-    earlier = F.min(F.when(F.col("other") < F.col("own"), F.col("other")))
-    linked = ends.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("links"), earlier.alias("earlier"))
-    fate = found.join(linked, (F.col("x1") == F.col("l1")) & (F.col("x2") == F.col("l2")), "left").select(F.col("x1").alias("c1"), F.col("x2").alias("c2"), "at", F.coalesce("links", F.lit(0)).alias("links"), "earlier")
-    placed = each.join(fate, (F.col("x1") == F.col("c1")) & (F.col("x2") == F.col("c2")), "left")
+    linked = links(docs, found, levels, id_col, text_col)
+    # A line that has its class to itself, without a match, needs none of this.
+    shared = found.where("n > 1").select("x", "sig", "at", F.lit(0).cast("bigint").alias("links"), F.lit(None).cast(linked.schema["earlier"].dataType).alias("earlier"))
+    fate = linked.union(shared).groupBy(F.col("x").alias("c1"), F.col("sig").alias("c2")).agg(F.min("at").alias("at"), F.max("links").alias("links"), F.min("earlier").alias("earlier"))
+    placed = each.join(fate, (F.col("x") == F.col("c1")) & (F.col("sig") == F.col("c2")), "left")
     first = F.col("at.doc").eqNullSafe(F.col("doc")) & (F.col("at.line_no") == F.col("line_no")) & F.col("at.doc_hash").eqNullSafe(F.col("doc_hash"))
     kept = F.col("line_no").isNull() | F.col("at").isNull() | (first & F.col("earlier").isNull())
     match = F.when(~kept, F.coalesce("earlier", "at"))

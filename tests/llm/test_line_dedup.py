@@ -17,6 +17,14 @@ def slow(texts):
     return out
 
 
+def slow_links(texts):
+    """(doc, line_no) to how many other sets of words match the line's, by comparing all."""
+    found = {(i, n): frozenset(x.split()) for i, t in enumerate(texts) if t is not None for n, x in enumerate(t.split("\n"))}
+    sets = set(found.values()) - {frozenset()}
+    many = {s: sum(5 * len(s & u) >= 4 * len(s | u) for u in sets) - 1 for s in sets}
+    return {k: many.get(s, 0) for k, s in found.items()}
+
+
 def texts():
     rnd = random.Random(9)
     vocab = [f"w{i}" for i in range(40)] + ["the"] * 30 + ["of", "é", "日本"]
@@ -31,7 +39,7 @@ def texts():
         return "  ".join(words)
 
     docs = ["\n".join(line() for _ in range(rnd.randint(1, 12))) for _ in range(60)]
-    return [*docs, None, "", "\n\n", " ", "a\n\na", " ".join(f"u{i}" for i in range(20_000)), docs[3], "the of " * 3000]
+    return [*docs, None, "", "\n\n", " ", "a\n\na", " ".join(f"u{i}" for i in range(20_000)), docs[3], "the of " * 3000, "a\tb c\rd", *(" ".join([*(f"v{i}" for i in range(150)), f"x{j % 7}", f"y{j % 3}"]) for j in range(20))]
 
 
 def test_line_dedup_brute_force(spark):
@@ -40,6 +48,7 @@ def test_line_dedup_brute_force(spark):
     decided = line_dedup.line_dedup(docs)
     got = {(r.doc, r.line_no): r.kept for r in decided.collect() if r.line_no is not None}
     assert got == slow(rows)
+    assert {(r.doc, r.line_no): r.links for r in decided.collect() if r.line_no is not None} == slow_links(rows)
     documents = line_dedup.by_document(decided)
     whole = {r.doc: r for r in documents.collect()}
     assert set(whole) == set(range(len(rows)))
