@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import shelve
+from ._common import drop, shelve
 
 #: Least similarity, as a fraction.
 THRESHOLD = (4, 5)
@@ -164,14 +164,13 @@ def likely(df: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
     return placed.join(F.broadcast(bitmap), "part").where(byte.bitwiseAND(F.expr("shiftleft(1, spot % 8)")) != 0).drop("part", "spot", "bits")
 
 
-def words_of(docs: DataFrame, wanted: DataFrame, levels: bytes, id_col: str, text_col: str) -> DataFrame:
-    """``wanted`` (with ``at``, the place of a line) and the keys of that line's words."""
+def fetch(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``wanted`` (with ``at``, the place of a line) and that line."""
     place = wanted.select("at.doc", "at.line_no", "at.doc_hash")
     each = likely(lines(docs, id_col, text_col).where("line_no is not null"), place, "doc", "line_no", "doc_hash")
     rows = each.select("doc", "line_no", "doc_hash", "line")
     same = rows["doc"].eqNullSafe(wanted["at.doc"]) & (rows["line_no"] == wanted["at.line_no"]) & rows["doc_hash"].eqNullSafe(wanted["at.doc_hash"])
-    kept = ordered(rows.join(wanted, same), levels).select("x", "sig", "at", "size", "first", "keys")
-    return kept.repartition("sig").dropDuplicates(["x", "sig"])  # rows that repeat a document repeat its lines
+    return rows.join(wanted, same)
 
 
 def links(docs: DataFrame, found: DataFrame, levels: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,7 +179,13 @@ def links(docs: DataFrame, found: DataFrame, levels: bytes, id_col: str = "doc_i
     points = shelve(candidates(found))
     ends = points.select("sig").distinct()
     wanted = likely(found, ends, "sig").join(ends, "sig", "left_semi").select("x", "sig", "at", "size", _first().alias("first"))
-    rows = words_of(docs, shelve(wanted), levels, id_col, text_col).join(points, "sig")
+    wanted = shelve(wanted)
+    text = shelve(fetch(docs, wanted, id_col, text_col))
+    # The rarity table stands in this one plan, which has no exchange and so is not planned over and over.
+    words = shelve(ordered(text, levels).select("x", "sig", "at", "size", "first", "keys"))
+    drop(wanted, text)
+    # rows that repeat a document repeat its lines
+    rows = words.repartition("sig").dropDuplicates(["x", "sig"]).join(points, "sig")
     a, b = rows.alias("a"), rows.alias("b")
     order = (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.sig") < F.col("b.sig")))
     both = F.col("a.size") + F.col("b.size")
