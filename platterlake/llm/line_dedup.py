@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop, shelve
+from ._common import shelve
 
 #: Least similarity, as a fraction.
 THRESHOLD = (4, 5)
@@ -65,7 +65,7 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def rarity(docs: DataFrame, text_col: str = "text") -> bytes:
     """For each word bucket its frequency class, rare first: quarter octaves of its count, 0 to 127; 0 is one occurrence at most."""
     whole = F.replace(_spaced(F.col(text_col).cast("string")), F.lit("\n"), F.lit(" "))
-    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - _KEY_BITS).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     seen = docs.select(F.explode(F.split(whole, " ")).alias("w")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.floor(4 * F.log2("n")), F.lit(127)).cast("int")
     place = F.struct((F.col("bucket") % _PART).alias("at"), level.alias("level"))
@@ -78,25 +78,25 @@ def rarity(docs: DataFrame, text_col: str = "text") -> bytes:
     return bytes(out)
 
 
-def ordered(each: DataFrame, levels: bytes) -> DataFrame:
-    """``each`` with ``keys``: the line's words as 64-bit keys, rare ones first."""
-
-    def key(h: Column) -> Column:
-        level = F.ascii(F.substring(F.lit(levels), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("bigint"), _KEY_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _KEY_BITS))
-
-    hashed = F.array_distinct(F.transform(F.split(_spaced(F.col("line")), " "), lambda w: F.xxhash64(w)))
-    return each.withColumn("keys", F.sort_array(F.transform(F.array_remove(hashed, F.xxhash64(F.lit(""))), key)))
+def hashed(line: Column) -> Column:
+    """The line's distinct words as 56-bit numbers."""
+    each = F.array_distinct(F.transform(F.split(_spaced(line), " "), lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - _KEY_BITS)))
+    return F.array_remove(each, F.shiftrightunsigned(F.xxhash64(F.lit("")), 64 - _KEY_BITS))
 
 
 def token(key: Column) -> Column:
-    """A prefix word as the joins know it; words that agree in it only cost a comparison."""
-    return F.hash(key)
+    """A word as the joins know it, from its number or key; words that agree in it only cost a comparison."""
+    return F.hash(key.bitwiseAND(F.lit((1 << _KEY_BITS) - 1)))
 
 
 def keyed(each: DataFrame, levels: bytes) -> DataFrame:
     """Lines with their class (x, sig), size, second signature, and prefix from its first word that occurs twice."""
-    sets = ordered(each, levels)
+
+    def key(h: Column) -> Column:
+        level = F.ascii(F.substring(F.lit(levels), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(level.cast("bigint"), _KEY_BITS).bitwiseOR(h)
+
+    sets = each.withColumn("keys", F.sort_array(F.transform(hashed(F.col("line")), key)))
     size = F.size("keys")
     one = F.lit(1).cast("bigint")
     bit = lambda k: F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))
@@ -173,17 +173,14 @@ def fetch(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     return rows.join(wanted, same)
 
 
-def links(docs: DataFrame, found: DataFrame, levels: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(x, sig, at, links, earlier) of each class with matches: its first line, how many other classes, and the earliest line of one."""
     num, den = THRESHOLD
     points = shelve(candidates(found))
     ends = points.select("sig").distinct()
-    wanted = likely(found, ends, "sig").join(ends, "sig", "left_semi").select("x", "sig", "at", "size", _first().alias("first"))
+    wanted = likely(found, ends, "sig").join(ends, "sig", "left_semi").select("x", "sig", "at", "size", "prefix")
     wanted = shelve(wanted)
-    text = shelve(fetch(docs, wanted, id_col, text_col))
-    # The rarity table stands in this one plan, which has no exchange and so is not planned over and over.
-    words = shelve(ordered(text, levels).select("x", "sig", "at", "size", "first", "keys"))
-    drop(wanted, text)
+    words = fetch(docs, wanted, id_col, text_col).select("x", "sig", "at", "size", "prefix", _first().alias("first"), hashed(F.col("line")).alias("keys"))
     # rows that repeat a document repeat its lines
     rows = words.repartition("sig").dropDuplicates(["x", "sig"]).join(points, "sig")
     a, b = rows.alias("a"), rows.alias("b")
@@ -192,7 +189,7 @@ def links(docs: DataFrame, found: DataFrame, levels: bytes, id_col: str = "doc_i
     length = (den * F.col("a.size") >= num * F.col("b.size")) & (den * F.col("b.size") >= num * F.col("a.size"))
     common = F.array_intersect("a.keys", "b.keys")
     similar = (num + den) * F.size(common) >= num * both
-    here = F.when(F.col("a.first") == F.col("b.first"), F.col("a.token") == F.col("a.first")).otherwise(F.col("a.token") == token(F.array_min(common)))
+    here = F.when(F.col("a.first") == F.col("b.first"), F.col("a.token") == F.col("a.first")).otherwise(F.col("a.token") == F.try_element_at(F.array_intersect("a.prefix", F.transform(common, token)), F.lit(1)))
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & order & length & _meet() & similar & here)
     side = lambda s, t: F.struct(F.col(f"{s}.x").alias("x"), F.col(f"{s}.sig").alias("sig"), F.col(f"{s}.at").alias("at"), F.when(F.col(f"{t}.at") < F.col(f"{s}.at"), F.col(f"{t}.at")).alias("earlier"))
     return pairs.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("e")).groupBy("e.x", "e.sig").agg(F.min("e.at").alias("at"), F.count(F.lit(1)).alias("links"), F.min("e.earlier").alias("earlier"))
@@ -208,10 +205,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text repeats its lines' places, so both fare alike. Other columns are not
     looked at. An empty table gives an empty result.
     """
-    levels = rarity(docs, text_col)
-    each = shelve(keyed(lines(docs, id_col, text_col), levels))
+    each = shelve(keyed(lines(docs, id_col, text_col), rarity(docs, text_col)))
     found = shelve(classes(each))
-    linked = links(docs, found, levels, id_col, text_col)
+    linked = links(docs, found, id_col, text_col)
     # A line that has its class to itself, without a match, needs none of this.
     shared = found.where("n > 1").select("x", "sig", "at", F.lit(0).cast("bigint").alias("links"), F.lit(None).cast(linked.schema["earlier"].dataType).alias("earlier"))
     fate = linked.union(shared).groupBy(F.col("x").alias("c1"), F.col("sig").alias("c2")).agg(F.min("at").alias("at"), F.max("links").alias("links"), F.min("earlier").alias("earlier"))
