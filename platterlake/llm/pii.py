@@ -4,8 +4,8 @@ Candidates are spans of regular expressions. Three labelers vote on each (yes,
 no, or abstain): the form of the span itself, a gazetteer of words before it, and
 its context (what touches it). Votes fall into a bounded number of patterns, so
 the corpus is reduced to one small table of pattern counts, over all documents.
-Expectation-maximisation on that table estimates each labeler's reliability and
-the share of true spans, without labels. Its posteriors then train the final span
+Expectation-maximisation on that table estimates each labeler's reliability on each
+kind and the share of true spans, without labels. Its posteriors then train the final span
 classifier, a logistic regression over the kind, the votes and the length, whose
 score is an SQL expression again.
 
@@ -16,12 +16,13 @@ where the classifier says yes and it touches no base span.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spans import SPAN, listed, matches
+from ._spans import SPAN, listed, matches, running
 
 # Patterns of the base kinds, as possessive equivalents that do not
 # retry inside a run of their own first class.
@@ -45,11 +46,12 @@ COUNTER_CUES = ("build", "chapter", "isbn", "issue", "license", "page", "part",
 BASE = ("email", "ip", "card", "phone")
 KINDS = BASE + tuple(ADDED)
 LABELERS = ("form", "gazetteer", "context")
-#: Characters before a span that the labelers read.
-REACH = 24
+#: What all kinds together say about a labeler counts as much as so many spans of one kind.
+POOLED_SPANS = 20.0
 #: Lengths of a span fall into this many classes of this width.
 LENGTHS, LENGTH_STEP = 4, 8
-_VOTED = "array<struct<k: int, kind: string, start: int, end: int, form: int, gazetteer: int, context: int, long: int>>"
+_REST = "form: int, gazetteer: int, context: int, long: int"
+_VOTED = f"array<struct<k: int, kind: string, start: int, end: int, {_REST}>>"
 
 
 def _luhn(m: Column) -> Column:
@@ -87,13 +89,11 @@ def _form(kind: str, m: Column) -> Column:
     return F.when(plain.get(kind, F.lit(True)), 1).otherwise(-1)
 
 
-def _votes(kind: str, text: Column, spans: Column) -> Column:
+def _votes(kind: str, spans: Column) -> Column:
     """Spans of one kind with the labelers' votes: 1 yes, -1 no, 0 abstain."""
 
     def vote(s: Column) -> Column:
-        low = F.greatest(s["start"] - REACH, F.lit(0))
-        before = F.lower(F.substring(text, low + 1, s["start"] - low))
-        after = F.substring(text, s["end"] + 1, 1)
+        before, after = F.lower(s["before"]), s["after"]
         cue = F.regexp_like(before, F.lit(rf"(?:^|[^a-z])(?:{'|'.join(CUES)})[^a-z]*$"))
         counter = F.regexp_like(before, F.lit(rf"(?:^|[^a-z])(?:{'|'.join(COUNTER_CUES)})[^a-z]*$"))
         touched = F.regexp_like(F.substring(before, -1, 1), F.lit(r"[\p{L}0-9_/=#]")) | F.regexp_like(after, F.lit(r"[\p{L}0-9_/=#]"))
@@ -110,13 +110,14 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = packed["row"].getField(text_col)
     found = base_spans(text) | {k: matches(text, p) for k, p in ADDED.items()}
     trimmed = {k: F.transform(s, _without_edge) if k == "phone_local" else s for k, s in found.items()}
-    return packed.select("row", F.coalesce(F.flatten(F.array(*(_votes(k, text, s) for k, s in trimmed.items()))), F.array().cast(_VOTED)).alias("voted"))
+    return packed.select("row", F.coalesce(F.flatten(F.array(*(_votes(k, s) for k, s in trimmed.items()))), F.array().cast(_VOTED)).alias("voted"))
 
 
 def _without_edge(s: Column) -> Column:
     """A span without a leading blank, which only served to see what is before it."""
     blank = F.length(s["m"]) - F.length(F.ltrim(s["m"]))
-    return F.struct((s["start"] + blank).alias("start"), s["end"].alias("end"), F.ltrim(s["m"]).alias("m"), s["g"].alias("g"))
+    before = F.when(blank > 0, F.concat(s["before"], F.lit(" "))).otherwise(s["before"])
+    return F.struct((s["start"] + blank).alias("start"), s["end"].alias("end"), F.ltrim(s["m"]).alias("m"), s["g"].alias("g"), before.alias("before"), s["after"].alias("after"))
 
 
 class Pattern(NamedTuple):
@@ -135,28 +136,54 @@ def patterns(voted: DataFrame) -> list[Pattern]:
     return sorted(Pattern(r.kind, tuple(r[x] for x in LABELERS), r.long, r.n) for r in rows)
 
 
-def reliabilities(table: list[Pattern], rounds: int = 50) -> tuple[float, list[float], list[float]]:
-    """EM over the patterns: the share of true spans, each labeler's reliability, and a posterior for each pattern.
+class Fit(NamedTuple):
+    """What expectation-maximisation found: by kind the share of true spans and each labeler's reliability, both over all kinds too, and a posterior for each pattern."""
 
-    A labeler that speaks is right with its reliability, whatever the truth is;
-    one that abstains says nothing. Both start from ``0.8`` and are smoothed by
-    one span's worth of that, so an empty table keeps them.
+    share: dict[str, float]
+    right: dict[str, list[float]]
+    pooled_share: float
+    pooled: list[float]
+    post: list[float]
+
+
+def reliabilities(table: list[Pattern], rounds: int = 50) -> Fit:
+    """EM over the patterns.
+
+    A labeler that speaks is right with its reliability on that kind, whatever the
+    truth is; one that abstains says nothing. Each starts from ``0.8``. What is
+    found over all kinds is smoothed by one span's worth of that, and what is found
+    on one kind by ``POOLED_SPANS`` of all kinds, so rare kinds lean on the others
+    and an empty table keeps the start.
     """
-    share, right, post = 0.8, [0.8] * len(LABELERS), [0.8] * len(table)
+    kinds = sorted({p.kind for p in table})
+    pooled_share, pooled = 0.8, [0.8] * len(LABELERS)
+    share, right = dict.fromkeys(kinds, 0.8), {k: [0.8] * len(LABELERS) for k in kinds}
+    post = [0.8] * len(table)
+
+    def told(rows: list[tuple[Pattern, float]], j: int) -> tuple[float, int]:
+        spoke = [(q if p.votes[j] > 0 else 1 - q, p.n) for p, q in rows if p.votes[j]]
+        return sum(q * n for q, n in spoke), sum(n for _, n in spoke)
+
     for _ in range(rounds):
         for i, p in enumerate(table):
-            yes, no = math.log(share), math.log(1 - share)
-            for r, v in zip(right, p.votes, strict=True):
+            yes, no = math.log(share[p.kind]), math.log(1 - share[p.kind])
+            for r, v in zip(right[p.kind], p.votes, strict=True):
                 if v:
                     yes += math.log(r if v > 0 else 1 - r)
                     no += math.log(1 - r if v > 0 else r)
             post[i] = 1 / (1 + math.exp(min(50.0, no - yes)))
-        total = sum(p.n for p in table)
-        share = min(0.99, (0.8 + sum(q * p.n for q, p in zip(post, table, strict=True))) / (1 + total))
-        for j in range(len(right)):
-            spoke = [(q if p.votes[j] > 0 else 1 - q, p.n) for q, p in zip(post, table, strict=True) if p.votes[j]]
-            right[j] = min(0.99, max(0.51, (0.8 + sum(q * n for q, n in spoke)) / (1 + sum(n for _, n in spoke))))
-    return share, right, post
+        each = list(zip(table, post, strict=True))
+        pooled_share = min(0.99, (0.8 + sum(q * p.n for p, q in each)) / (1 + sum(p.n for p in table)))
+        for j in range(len(LABELERS)):
+            true, n = told(each, j)
+            pooled[j] = min(0.99, max(0.51, (0.8 + true) / (1 + n)))
+        for k in kinds:
+            own = [(p, q) for p, q in each if p.kind == k]
+            share[k] = min(0.99, max(0.01, (POOLED_SPANS * pooled_share + sum(q * p.n for p, q in own)) / (POOLED_SPANS + sum(p.n for p, _ in own))))
+            for j in range(len(LABELERS)):
+                true, n = told(own, j)
+                right[k][j] = min(0.99, max(0.51, (POOLED_SPANS * pooled[j] + true) / (POOLED_SPANS + n)))
+    return Fit(share, right, pooled_share, pooled, post)
 
 
 def _features(kind: str, votes: tuple[int, ...], long: int) -> list[float]:
@@ -189,24 +216,42 @@ def score(v: Column, weights: list[float]) -> Column:
     return out + F.element_at(F.array(*map(F.lit, by_length)), v["long"] + 1)
 
 
+def without_touching(voted: Column) -> Column:
+    """Voted spans in order of kind and start, less the added ones that share a character with a base one.
+
+    In order of their starts, a span meets an earlier base span if one of those
+    ends beyond its start, and a later one if the next of those starts before its
+    end: two walks along the sorted list.
+    """
+    n = len(BASE)
+    kind = f"struct<start: int, end: int, k: int, kind: string, {_REST}, near: boolean>"
+    names = ("form", "gazetteer", "context", "long")
+    by_start = F.array_sort(F.transform(voted, lambda v: F.struct(v["start"], v["end"], v["k"], v["kind"], *(v[x].alias(x) for x in names))))
+
+    def marked(spans: Column, zero: int, reach: Callable[[Column, Column], Column], met: Callable[[Column, Column], Column], before: bool) -> Column:
+        out = lambda s, v: F.struct(*(v[x].alias(x) for x in ("start", "end", "k", "kind", *names)), ((v["near"] if before else F.lit(False)) | (v["k"] >= n) & met(s, v)).alias("near"))
+        return running(spans, zero, lambda s, v: F.when(v["k"] < n, reach(s, v)).otherwise(s), out, kind)
+
+    ahead = marked(by_start, 0, lambda s, v: F.greatest(s, v["end"]), lambda s, v: s > v["start"], False)
+    both = marked(F.reverse(ahead), 2**31 - 1, lambda s, v: v["start"], lambda s, v: s < v["end"], True)
+    apart = F.transform(F.filter(both, lambda v: ~v["near"]), lambda v: F.struct(*(v[x].alias(x) for x in ("k", "kind", "start", "end", *names))))
+    return F.when(F.exists(voted, lambda v: v["k"] >= n), F.array_sort(apart)).otherwise(voted)
+
+
 def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(row, base_spans, spans) of every row; spans are voted structs in order of kind and start.
 
     The model is trained on all documents and used on all. A null or empty text
     has no spans. The row's other columns pass untouched, so clashing names, nulls
     and repeated rows there do not matter; an empty table gives an empty result.
+    The time for a text is linear in its length, and in its spans but for a sort.
     """
     voted = candidates(docs, text_col)
     table = patterns(voted)
-    _, _, post = reliabilities(table)
-    weights = train(table, post)
+    weights = train(table, reliabilities(table).post)
     base = F.filter("voted", lambda v: v["k"] < len(BASE))
-
-    def added(v: Column) -> Column:
-        apart = ~F.exists(base, lambda b: (b["start"] < v["end"]) & (v["start"] < b["end"]))
-        return (v["k"] < len(BASE)) | (apart & (score(v, weights) > 0))
-
-    return voted.select("row", base.alias("base_spans"), F.filter("voted", added).alias("spans"))
+    spans = F.filter(without_touching(F.col("voted")), lambda v: (v["k"] < len(BASE)) | (score(v, weights) > 0))
+    return voted.select("row", base.alias("base_spans"), spans.alias("spans"))
 
 
 __all__ = ["ADDED", "BASE", "KINDS", "candidates", "detect", "listed", "patterns", "reliabilities", "train"]

@@ -2,6 +2,9 @@
 
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from platterlake.llm import pii
 
@@ -65,8 +68,34 @@ def test_em_learns_reliability():
         votes = tuple((1 if (rnd.random() < r) == y else -1) if rnd.random() < 0.9 else 0 for r in true_rates)
         counts[votes] = counts.get(votes, 0) + 1
     table = [pii.Pattern("ip", v, 0, n) for v, n in counts.items()]
-    share, right, post = pii.reliabilities(table, 300)
-    assert abs(share - 0.6) < 0.1 and all(abs(a - b) < 0.08 for a, b in zip(right, true_rates, strict=True))
-    weights = pii.train(table, post)
+    fit = pii.reliabilities(table, 300)
+    assert abs(fit.share["ip"] - 0.6) < 0.1 and all(abs(a - b) < 0.08 for a, b in zip(fit.right["ip"], true_rates, strict=True))
+    weights = pii.train(table, fit.post)
     assert weights[1] > weights[2] > weights[3] > 0
-    assert pii.reliabilities([])[1] == [0.8] * 3
+    assert pii.reliabilities([]).pooled == [0.8] * 3
+    # The same labelers turned around on another kind are told apart.
+    table += [pii.Pattern("iban", tuple(-v for v in votes[:1]) + votes[1:], 0, n) for votes, n in counts.items()]
+    fit = pii.reliabilities(table, 300)
+    assert fit.right["ip"][0] > fit.right["iban"][0] + 0.2
+
+
+def test_many_spans_in_one_text(spark):
+    many = 100_000
+    text = " ".join(["1.2.3.4"] * many) + " ssn 123-45-6788"
+    began = time.monotonic()
+    row = pii.detect(frame(spark, [text])).select(F.size("base_spans").alias("n"), F.element_at("base_spans", -1).alias("last"), F.element_at("spans", -1).alias("added")).first()
+    assert (row.n, row.last.start, row.last.end) == (many, 8 * many - 8, 8 * many - 1)
+    assert (row.added.kind, row.added.start) == ("national_id", 8 * many + 4)
+    assert time.monotonic() - began < 60
+
+
+def test_added_spans_beside_base_ones(spark):
+    rnd = random.Random(5)
+    found = [(k, sorted(rnd.sample(range(60), 2))) for _ in range(200) for k in (rnd.randrange(len(pii.KINDS)),)]
+    rows = [sorted((k, a, b) for k, (a, b) in found[i : i + n]) for i in range(0, 200, 10) for n in (0, 1, 3, 10)]
+    kind = "array<struct<k: int, kind: string, start: int, end: int, form: int, gazetteer: int, context: int, long: int>>"
+    frame = spark.createDataFrame([(i, [(k, pii.KINDS[k], a, b, 1, 0, 1, 0) for k, a, b in r]) for i, r in enumerate(rows)], f"i int, voted {kind}")
+    got = {r.i: [(x.k, x.start, x.end) for x in r.v] for r in frame.select("i", pii.without_touching(F.col("voted")).alias("v")).collect()}
+    for i, r in enumerate(rows):
+        base = [(a, b) for k, a, b in r if k < len(pii.BASE)]
+        assert got[i] == [(k, a, b) for k, a, b in r if k < len(pii.BASE) or not any(x < b and a < y for x, y in base)]
