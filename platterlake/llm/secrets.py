@@ -2,21 +2,20 @@
 
 From each rule's regular expression a Boolean query over trigrams is derived: a
 run of literals needs all its trigrams, alternatives need one of theirs, and what
-can be left out or vary freely needs nothing. The index lists, for each document,
-which of the rules' trigrams its folded text holds: the posting lists laid out by
-document, so that intersecting them is local to a row and nothing is shuffled.
-``postings`` turns the same index around into lists by trigram and block, for an
-archive that is queried often.
-
-Only documents that satisfy a rule's query are verified with its expression. A
-rule without a mandatory trigram scans every text.
+can be left out or vary freely needs nothing. Texts fall into ``SLOTS`` slots by
+their hash. The index holds, for each trigram of the rules and each block of slots,
+the sorted list of slots with a text that has it, folded to lower case. A query in
+disjunctive form intersects the posting lists of each of its clauses and unites
+the clauses; what remains for a rule is a bitmap over the slots (2 MB at most).
+
+The bitmaps are broadcast, and only texts in a candidate slot are verified with
+the rule's expression; texts that share a slot by chance fail there. A rule without
+a mandatory trigram scans every text. Nothing but slots and trigrams is shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from functools import reduce
 from itertools import product
 from re import _constants as sre
 from re import _parser as parser
@@ -29,6 +28,8 @@ from ._spans import listed, matches
 
 #: Strings that a run of literals may stand for before it is cut.
 _MOST_STRINGS = 16
+#: Slots that texts fall into by hash, and slots of one block, which one posting list and one bitmap cover.
+SLOTS, BLOCK = 1 << 24, 1 << 15
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -130,51 +131,83 @@ def trigrams(query: Query) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*map(trigrams, query[1]))
 
 
-def holds(query: Query, has: Callable[[str], Column]) -> Column:
-    """The query over a test for one trigram."""
+def clauses(query: Query) -> list[frozenset[str]]:
+    """The query as alternatives, each a set of trigrams that it needs together; no trigram in one: always true."""
     if isinstance(query, str):
-        return has(query)
-    parts = [holds(x, has) for x in query[1]]
-    return reduce((lambda a, b: a & b) if query[0] == "all" else (lambda a, b: a | b), parts, F.lit(True) if query[0] == "all" else F.lit(False))
+        return [frozenset({query})]
+    parts = [clauses(x) for x in query[1]]
+    if query[0] == "any":
+        return list(dict.fromkeys(c for p in parts for c in p))
+    return list(dict.fromkeys(frozenset().union(*chosen) for chosen in product(*parts)))
 
 
-def index(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text_col: str = "text") -> DataFrame:
-    """(row, grams): the row as it was and the rules' trigrams its text holds."""
-    grams = sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
-    packed = docs.select(F.struct("*").alias("row"))
-    folded = F.translate(packed["row"].getField(text_col), _UPPER, _LOWER)
-    with_text = packed.withColumn("folded", folded)
-    return with_text.select("row", F.array_compact(F.array(*(F.when(F.contains("folded", F.lit(g)), F.lit(g)) for g in grams), F.lit(None).cast("string"))).alias("grams"))
+def _indexed(rules: tuple[Rule, ...]) -> dict[str, list[frozenset[str]]]:
+    """By kind, the clauses of the rules that the index can serve."""
+    found = {r.kind: clauses(trigram_query(r.pattern)) for r in rules}
+    return {k: c for k, c in found.items() if all(c)}
+
+
+def _slot(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(SLOTS))
+
 
+def postings(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text_col: str = "text") -> DataFrame:
+    """(gram, block, places): for each trigram of the rules and block of slots, the places in it, sorted, with a text that has it."""
+    grams = sorted(set().union(*(c for cs in _indexed(rules).values() for c in cs)))
+    text = F.col(text_col)
+    slotted = docs.select(_slot(text).alias("slot"), F.translate(text, _UPPER, _LOWER).alias("folded"))
+    held = F.array_compact(F.array(*(F.when(F.contains("folded", F.lit(g)), F.lit(g)) for g in grams), F.lit(None).cast("string")))
+    each = slotted.select("slot", F.explode(held).alias("gram")).select("gram", F.floor(F.col("slot") / BLOCK).cast("int").alias("block"), (F.col("slot") % BLOCK).cast("int").alias("place"))
+    return each.distinct().groupBy("gram", "block").agg(F.array_sort(F.collect_list("place")).alias("places"))
 
-def postings(indexed: DataFrame, id_col: str = "doc_id", blocks: int = 4096) -> DataFrame:
-    """(gram, block, ids): the index by trigram, in lists that a block bounds."""
-    each = indexed.select(F.explode("grams").alias("gram"), F.col("row").getField(id_col).alias("id"))
-    return each.groupBy("gram", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+def candidates(posted: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
+    """(block, bits): for each block of slots a map from kind to the bitmap of the slots that satisfy its query."""
+    table = [(g, kind, i, len(c)) for kind, cs in _indexed(rules).items() for i, c in enumerate(cs) for g in sorted(c)]
+    wanted = posted.sparkSession.createDataFrame(table, "gram string, kind string, clause int, needs int")
+    lists = posted.join(F.broadcast(wanted), "gram").groupBy("kind", "clause", "needs", "block").agg(F.collect_list("places").alias("lists")).where(F.size("lists") == F.col("needs"))
+    met = F.aggregate(F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(0))), F.element_at("lists", 1), F.array_intersect)
+    places = lists.select("kind", "block", F.explode(met).alias("place"))
+    maps = places.groupBy("kind", "block").agg(F.bitmap_construct_agg(F.col("place").cast("bigint")).alias("bits"))
+    return maps.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("kind", "bits"))).alias("bits"))
+
+
+def _candidate(bits: Column, kind: str, slot: Column) -> Column:
+    """Whether a slot's bit is set for a kind."""
+    place = slot % BLOCK
+    byte = F.substring(F.try_element_at(bits, F.lit(kind)), F.floor(place / 8).cast("int") + 1, F.lit(1))
+    bit = F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))
+    return F.coalesce(F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(bit) != 0, F.lit(False))
 
 
 def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...] = ADDED, text_col: str = "text") -> DataFrame:
-    """(row, base_spans, spans) of every row; spans are array<struct<kind, start, end>>.
+    """(row, base_spans, spans) of every row; spans are array<struct<start, k, kind, end>>.
 
     Base spans are in order of start, then of kind as listed. ``spans`` are the
     base ones and those of the added rules. Places count code points, ends are
-    exclusive. A null text has no spans; the row's other columns pass untouched,
-    so names, nulls and repeated rows there do not matter.
+    exclusive. A null or empty text has no spans; an empty table gives an empty
+    result. The row's other columns pass untouched, so names, nulls and repeated
+    rows there do not matter. The time for a text is linear in its length, and in
+    its spans but for a sort.
     """
     rules = base + added
-    indexed = index(docs, rules, text_col)
-    text = indexed["row"].getField(text_col)
+    served = _indexed(rules)
+    packed = docs.select(F.struct("*").alias("row"))
+    text = packed["row"].getField(text_col)
+    placed = packed.withColumn("slot", _slot(text)).withColumn("block", F.floor(F.col("slot") / BLOCK).cast("int"))
+    # at most SLOTS / BLOCK rows of 4 KB for each served rule
+    found = placed.join(F.broadcast(candidates(postings(docs, rules, text_col), rules)), "block", "left")
 
     def spans(rule: Rule) -> Column:
-        found = matches(text, rule.pattern, (lambda m, g: F.length(g) >= rule.least) if rule.least > 1 else None, rule.group)
-        tagged = F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rules.index(rule)).alias("k"), F.lit(rule.kind).alias("kind"), s["end"].alias("end")))
-        query = trigram_query(rule.pattern)
-        if not trigrams(query):
+        got = matches(text, rule.pattern, (lambda m, g: F.length(g) >= rule.least) if rule.least > 1 else None, rule.group)
+        tagged = F.transform(got, lambda s: F.struct(s["start"].alias("start"), F.lit(rules.index(rule)).alias("k"), F.lit(rule.kind).alias("kind"), s["end"].alias("end")))
+        if rule.kind not in served:
             return tagged
-        return F.when(holds(query, lambda g: F.array_contains("grams", g)), tagged).otherwise(F.array().cast("array<struct<start: int, k: int, kind: string, end: int>>"))
+        return F.when(_candidate(F.col("bits"), rule.kind, F.col("slot")), tagged).otherwise(F.array().cast("array<struct<start: int, k: int, kind: string, end: int>>"))
 
-    first = indexed.select("row", F.array_sort(F.flatten(F.array(*map(spans, base)))).alias("base_spans"), F.flatten(F.array(*map(spans, added))).alias("more"))
-    return first.select("row", "base_spans", F.array_sort(F.concat("base_spans", "more")).alias("spans"))
+    first = found.select("row", F.array_sort(F.flatten(F.array(*map(spans, base)))).alias("base_spans"), F.flatten(F.array(*map(spans, added))).alias("more"))
+    none = F.array().cast("array<struct<start: int, k: int, kind: string, end: int>>")
+    return first.select("row", F.coalesce("base_spans", none).alias("base_spans"), F.coalesce(F.array_sort(F.concat("base_spans", "more")), none).alias("spans"))
 
 
 def brute_force(text: str | None, rules: tuple[Rule, ...]) -> list[tuple[int, int, str, int]]:
@@ -183,4 +216,4 @@ def brute_force(text: str | None, rules: tuple[Rule, ...]) -> list[tuple[int, in
     return sorted(found)
 
 
-__all__ = ["ADDED", "BASE", "Rule", "brute_force", "index", "listed", "postings", "scan", "trigram_query"]
+__all__ = ["ADDED", "BASE", "Rule", "brute_force", "candidates", "clauses", "listed", "postings", "scan", "trigram_query"]

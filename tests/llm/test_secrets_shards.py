@@ -1,8 +1,11 @@
 """Secret scans and sharding against brute force."""
 
 import random
+import time
 import zlib
 
+from pyspark.sql import functions as F
+
 from platterlake.llm import secrets, shards
 
 SCHEMA = "doc_id bigint, text string, kind string, grams string"
@@ -43,9 +46,31 @@ def test_queries_are_necessary():
                 assert true(secrets.trigram_query(rule.pattern), t.lower())
 
 
-def test_postings(spark):
-    rows = secrets.postings(secrets.index(frame(spark, ["a token here", "tokens", "none", None])), blocks=1).collect()
-    assert {r.gram: r.ids for r in rows}["tok"] == [0, 1]
+def test_postings_are_intersected(spark):
+    rows = ["a token here", "tokens", "none", None, "Tok en", "oketo", "ghp_ " * 3, "gho_xxx", "ghp"]
+    docs = frame(spark, rows).withColumn("slot", secrets._slot(F.col("text")))
+    slot = {r.doc_id: r.slot for r in docs.collect()}
+    posted = secrets.postings(docs)
+    lists = {}
+    for r in posted.collect():
+        assert r.places == sorted(set(r.places))
+        lists.setdefault(r.gram, set()).update(r.block * secrets.BLOCK + p for p in r.places)
+    for gram, got in lists.items():
+        assert got == {slot[i] for i, t in enumerate(rows) if gram in (t or "").lower()}
+    assert lists["tok"] == {slot[0], slot[1], slot[4]} and lists["oke"] == {slot[0], slot[1], slot[5]}
+    kinds = {}
+    for r in secrets.candidates(posted).collect():
+        for kind, bits in r.bits.items():
+            kinds.setdefault(kind, set()).update(r.block * secrets.BLOCK + 8 * i + j for i, byte in enumerate(bits) for j in range(8) if byte >> j & 1)
+    assert kinds == {"assign": {slot[0], slot[1]}, "code_host": {slot[6], slot[7]}}
+
+
+def test_many_spans_in_one_text(spark):
+    text = "token=abcdefgh\n" * 50_000
+    began = time.monotonic()
+    row = secrets.scan(frame(spark, [text])).select(F.size("base_spans").alias("n"), F.element_at("spans", -1).alias("last")).first()
+    assert (row.n, row.last.start, row.last.end) == (50_000, 15 * 49_999, 15 * 50_000 - 1)
+    assert time.monotonic() - began < 60
 
 
 def capacity(sizes, n):
