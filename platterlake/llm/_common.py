@@ -40,14 +40,5 @@ def shelve(df: DataFrame) -> DataFrame:
     """As ``settle``, in Parquet: smaller, and later reads take only the columns they need."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete shelved tables that nothing reads any more."""
-    for df in tables:
-        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = hadoop(folder)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

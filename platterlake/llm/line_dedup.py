@@ -124,44 +124,60 @@ def _meet() -> Column:
     return (F.col("a.first") != F.col("b.first")) | (F.col("a.token") == F.col("a.first"))
 
 
-def _near(s: str, t: str) -> Column:
-    """Whether two rows with a common prefix word pass the length, positional and signature filters.
-
-    The positional filter takes the common word for the rarest common one: what is
-    before it then adds nothing to the overlap.
-    """
+def _near(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether two classes may match by their sizes and signatures."""
     num, den = THRESHOLD
-    a = {c: F.col(f"{s}.{c}") for c in ("size", "pos", "sig", "sig2")}
-    b = {c: F.col(f"{t}.{c}") for c in ("size", "pos", "sig", "sig2")}
     both = a["size"] + b["size"]
-    length = (den * a["size"] >= num * b["size"]) & (den * b["size"] >= num * a["size"])
-    position = (num + den) * F.least(a["size"] - a["pos"], b["size"] - b["pos"]) >= num * both
     one, two = a["sig"].bitwiseXOR(b["sig"]), a["sig2"].bitwiseXOR(b["sig2"])
     long = F.least(a["size"], b["size"]) >= LONG_LINE
     apart = F.when(long, F.bit_count(one.bitwiseXOR(two)) + F.bit_count(two)).otherwise(F.bit_count(one))
-    return length & position & ((num + den) * apart <= (den - num) * both)
+    return (den * a["size"] >= num * b["size"]) & (den * b["size"] >= num * a["size"]) & ((num + den) * apart <= (den - num) * both)
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """(token, sig, first) of the prefix words at which a class with that signature has another class to be compared with."""
+    """(token, sig) of the prefix words at which a class with that signature has another class to be compared with.
+
+    The positional filter takes a common word for the rarest common one: what is
+    before it then adds nothing to the overlap.
+    """
+    num, den = THRESHOLD
+    low = F.lit(0xFFFFFFFF)
+
+    def two(high: Column, low_: Column) -> Column:
+        return F.shiftleft(high.cast("bigint"), 32).bitwiseOR(low_.cast("bigint").bitwiseAND(low))
+
     named = found.withColumn("own", F.hash("x"))
     probe = named.select(_first().alias("first"), "size", "skip", "sig", "sig2", "own", F.posexplode("prefix").alias("i", "token"))
-    rows = probe.select("token", "first", "size", (F.col("skip") + F.col("i")).alias("pos"), "sig", "sig2", "own")
-    a, b = rows.alias("a"), rows.alias("b")
-    other = reduce(lambda p, q: p | q, (F.col(f"a.{c}") != F.col(f"b.{c}") for c in ("sig", "size", "own")))
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & _meet() & other & _near("a", "b"), "left_semi").select("token", "sig").distinct()
-    # Classes that these three columns can't tell apart are all compared.
+    # Few and full columns: this is the widest shuffle.
+    rows = probe.select(two(F.col("token"), F.col("first")).alias("words"), two(F.col("own"), F.col("size")).alias("names"), (F.col("skip") + F.col("i")).alias("pos"), "sig", "sig2")
+    sides = []
+    for s in "ab":
+        words, names = F.col(f"{s}.words"), F.col(f"{s}.names")
+        sides.append({"token": F.shiftright(words, 32), "first": words.bitwiseAND(low), "names": names, "size": names.bitwiseAND(low), "pos": F.col(f"{s}.pos"), "sig": F.col(f"{s}.sig"), "sig2": F.col(f"{s}.sig2")})
+    a, b = sides
+    meet = (a["first"] != b["first"]) | (a["token"].bitwiseAND(low) == a["first"])
+    position = (num + den) * F.least(a["size"] - a["pos"], b["size"] - b["pos"]) >= num * (a["size"] + b["size"])
+    other = (a["sig"] != b["sig"]) | (a["names"] != b["names"])
+    pairs = rows.alias("a").join(rows.alias("b"), (a["token"] == b["token"]) & meet & position & _near(a, b) & other, "left_semi")
+    met = pairs.select(F.shiftright("words", 32).cast("int").alias("token"), "sig").distinct()
+    # Classes that these columns can't tell apart are all compared.
     alike = named.groupBy("sig", "size", "own").count().where("count > 1").select("sig").distinct()
     return met.union(likely(found, alike, "sig").join(alike, "sig", "left_semi").select(F.explode("prefix").alias("token"), "sig")).distinct()
 
 
 def likely(df: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
-    """Rows of ``df`` whose key may be in ``wanted``: a bitmap of BITMAP_BITS / 32,768 rows of 4 KB at most."""
+    """Rows of ``df`` whose key may be in ``wanted``."""
+    return flagged(df, wanted, *key).where("likely").drop("likely")
+
+
+def flagged(df: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """``df`` and ``likely``, false only for keys that are not in ``wanted``: a bitmap of BITMAP_BITS / 32,768 rows of 4 KB at most is broadcast."""
     spot = F.pmod(F.xxhash64(*key), F.lit(BITMAP_BITS))
     bitmap = wanted.groupBy(F.bitmap_bucket_number(spot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
     placed = df.withColumn("part", F.bitmap_bucket_number(spot)).withColumn("spot", F.bitmap_bit_position(spot).cast("int"))
     byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("spot") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return placed.join(F.broadcast(bitmap), "part").where(byte.bitwiseAND(F.expr("shiftleft(1, spot % 8)")) != 0).drop("part", "spot", "bits")
+    bit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, spot % 8)")) != 0, F.lit(False))
+    return placed.join(F.broadcast(bitmap), "part", "left").withColumn("likely", bit).drop("part", "spot", "bits")
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -178,19 +194,18 @@ def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
     num, den = THRESHOLD
     points = shelve(candidates(found))
     ends = points.select("sig").distinct()
-    wanted = likely(found, ends, "sig").join(ends, "sig", "left_semi").select("x", "sig", "at", "size", "prefix")
+    wanted = likely(found, ends, "sig").join(ends, "sig", "left_semi").select("x", "sig", "at", "size", "sig2", "prefix")
     wanted = shelve(wanted)
-    words = fetch(docs, wanted, id_col, text_col).select("x", "sig", "at", "size", "prefix", _first().alias("first"), hashed(F.col("line")).alias("keys"))
+    words = fetch(docs, wanted, id_col, text_col).select("x", "sig", "at", "size", "sig2", "prefix", _first().alias("first"), hashed(F.col("line")).alias("keys"))
     # rows that repeat a document repeat its lines
     rows = words.repartition("sig").dropDuplicates(["x", "sig"]).join(points, "sig")
     a, b = rows.alias("a"), rows.alias("b")
     order = (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.sig") < F.col("b.sig")))
-    both = F.col("a.size") + F.col("b.size")
-    length = (den * F.col("a.size") >= num * F.col("b.size")) & (den * F.col("b.size") >= num * F.col("a.size"))
+    left, right = ({c: F.col(f"{s}.{c}") for c in ("size", "sig", "sig2")} for s in "ab")
     common = F.array_intersect("a.keys", "b.keys")
-    similar = (num + den) * F.size(common) >= num * both
+    similar = (num + den) * F.size(common) >= num * (left["size"] + right["size"])
     here = F.when(F.col("a.first") == F.col("b.first"), F.col("a.token") == F.col("a.first")).otherwise(F.col("a.token") == F.try_element_at(F.array_intersect("a.prefix", F.transform(common, token)), F.lit(1)))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & order & length & _meet() & similar & here)
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & order & _meet() & _near(left, right) & similar & here)
     side = lambda s, t: F.struct(F.col(f"{s}.x").alias("x"), F.col(f"{s}.sig").alias("sig"), F.col(f"{s}.at").alias("at"), F.when(F.col(f"{t}.at") < F.col(f"{s}.at"), F.col(f"{t}.at")).alias("earlier"))
     return pairs.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("e")).groupBy("e.x", "e.sig").agg(F.min("e.at").alias("at"), F.count(F.lit(1)).alias("links"), F.min("e.earlier").alias("earlier"))
 
@@ -211,11 +226,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # A line that has its class to itself, without a match, needs none of this.
     shared = found.where("n > 1").select("x", "sig", "at", F.lit(0).cast("bigint").alias("links"), F.lit(None).cast(linked.schema["earlier"].dataType).alias("earlier"))
     fate = linked.union(shared).groupBy(F.col("x").alias("c1"), F.col("sig").alias("c2")).agg(F.min("at").alias("at"), F.max("links").alias("links"), F.min("earlier").alias("earlier"))
-    placed = each.join(fate, (F.col("x") == F.col("c1")) & (F.col("sig") == F.col("c2")), "left")
+    fate = shelve(fate)
+    lined = flagged(each.select("doc", "doc_hash", "line_no", "x", "sig"), fate.select(F.col("c1").alias("x"), F.col("c2").alias("sig")), "x", "sig")
+    placed = lined.where("likely").join(fate, (F.col("x") == F.col("c1")) & (F.col("sig") == F.col("c2")), "left")
     first = F.col("at.doc").eqNullSafe(F.col("doc")) & (F.col("at.line_no") == F.col("line_no")) & F.col("at.doc_hash").eqNullSafe(F.col("doc_hash"))
     kept = F.col("line_no").isNull() | F.col("at").isNull() | (first & F.col("earlier").isNull())
     match = F.when(~kept, F.coalesce("earlier", "at"))
-    return placed.select("doc", "doc_hash", "line_no", kept.alias("kept"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), match["doc"].alias("match_doc"))
+    decided = placed.select("doc", "doc_hash", "line_no", kept.alias("kept"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), match["doc"].alias("match_doc"))
+    alone = lined.where(~F.col("likely")).select("doc", "doc_hash", "line_no", F.lit(True).alias("kept"), F.lit(0).cast("bigint").alias("links"), F.lit(None).cast("bigint").alias("match_doc"))
+    return decided.union(alone)
 
 
 def by_document(decided: DataFrame) -> DataFrame:
