@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The classifier is fitted on about so many labelled rows, chosen by a hash of their ids; whole texts.
+#: The classifier is fitted on about so many labelled rows, as many of each language, chosen by a hash; whole texts.
 LABELLED_ROWS = 10_000
 #: Hashed n-grams of a language.
 TABLE = 65_536
@@ -199,10 +199,9 @@ class Labeler:
 
     def _spans(self, text: str, own: np.ndarray) -> list[dict]:
         changes = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-        if len(text.lower()) != len(text):  # places of lower-cased words would not be the text's
-            found = [m.span() for m in _WORD.finditer(text)]
-            if len(found) != len(own):
-                return [{"lang": self.model.languages[own[0]], "start": 0, "end": len(text)}] if len(changes) == 2 else []
+        if len(text.lower()) != len(text):  # places of lower-cased words are not the text's
+            origin = [i for i, c in enumerate(text) for _ in c.lower()]
+            found = [(origin[a], origin[b - 1] + 1) for a, b in (m.span() for m in _WORD.finditer(text.lower()))]
         elif len(changes) == 2:
             end = len(text)
             while not text[end - 1].isalnum() or text[end - 1].isdecimal():
@@ -237,6 +236,21 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")) % 3 == 1
 
 
+def limits(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """By language, below which 63-bit hash a row is taken, so that about as many rows of each are: never none, however many there are."""
+    return {lang: 2**63 - 1 if n * len(counts) <= rows else max(1, 2**63 * rows // (n * len(counts))) for lang, n in counts.items()}
+
+
+def sample(ready: DataFrame, rows: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """About ``rows`` labelled rows, a language with few of them whole; a row is chosen by its id and text, so null ids do not fare alike."""
+    lang = F.col(lang_col).cast("string")
+    counts = {r.lang: r.n for r in ready.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    if not counts:
+        return ready
+    limit = F.create_map(*(F.lit(x) for pair in limits(counts, rows).items() for x in pair))
+    return ready.where(F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 1) < F.try_element_at(limit, lang))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = LABELLED_ROWS) -> Model:
     """Fit on at most about ``rows`` labelled rows that are not held out.
 
@@ -244,9 +258,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     table of fixed size for each language.
     """
     ready = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = ready.select(lang_col).count()
-    if n > rows:
-        ready = ready.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+    ready = sample(ready, rows, id_col, text_col, lang_col)
     counts = ready.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(_count, "lang string, place int, n bigint")
     found: dict[str, np.ndarray] = {}
     summed = counts.groupBy("lang", "place").agg(F.sum("n").alias("n"))
@@ -297,8 +309,7 @@ def least_fit(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     n = ready.select(lang_col).count()
     if n < LEAST_ROWS:
         return None
-    if n > rows:
-        ready = ready.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+    ready = sample(ready, rows, id_col, text_col, lang_col)
     fit = F.col("found.fit")
     got = identify(ready.select(text_col), model, text_col).agg(F.count(fit).alias("n"), F.avg(fit).alias("mean"), F.percentile(fit, F.lit(ODD_SHARE)).alias("low")).first()
     return None if got.n < LEAST_ROWS else 2 * got.low - got.mean

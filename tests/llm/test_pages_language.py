@@ -171,3 +171,20 @@ def test_held_out_accuracy_on_documents(spark):
     got = language.identify(docs.where(language.held_out()), language.train(docs))
     right, n = got.where("row.lang = found.lang").count(), got.where("row.lang is not null").count()
     assert n > 100 and right >= 0.97 * n
+
+
+def test_sampling_never_comes_to_nothing():
+    for n in (1, 2_500, 10**6, 10**12, 10**16):
+        found = language.limits({"aa": n, "bb": 3, "cc": 10**10, "dd": n}, 10_000)
+        assert found["bb"] == 2**63 - 1
+        assert 0.9 * min(n, 2_500) <= found["aa"] * n / 2**63 <= max(1.1 * 2_500, n if n <= 2_500 else 0)
+
+
+def test_spans_where_lower_case_is_longer(spark):
+    rows = [(i, "the small house is on the hill " * 3 if i % 2 else "das kleine Haus steht auf dem Berg " * 3, "en" if i % 2 else "de", None) for i in range(60)]
+    schema = "doc_id bigint, text string, lang string, found string"
+    model = language.train(spark.createDataFrame(rows, schema))
+    text = "İİ İstanbul " + "the small house is on the hill " * 5 + "das kleine Haus steht auf dem Berg " * 5
+    found = language.identify(spark.createDataFrame([(1, text, None, None)], schema), model).first().found
+    last = found.spans[-1]
+    assert len(found.spans) >= 2 and last.lang == "de" and text[last.start : last.start + 3] == "das" and text[: last.end] == text.rstrip()
