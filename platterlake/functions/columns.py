@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,3 +80,110 @@ def release_digest(domain: bytes, release_id: Column, profile_code: Column, enco
     code = lambda c: F.unhex(F.lpad(F.hex(c.cast("bigint")), 2, "0"))
     parts = [F.lit(domain), release_id, code(profile_code), code(encoding_code), stream_sha256]
     return F.unhex(F.sha2(F.concat(*parts, *([] if descriptor_sha256 is None else [descriptor_sha256]), count, joined), 256))
+
+
+def unsigned(value: Column, width: int) -> Column:
+    """Big-endian bytes of a number that fits in so many."""
+    return F.unhex(F.lpad(F.hex(value.cast("bigint")), 2 * width, "0"))
+
+
+def varuint(value: Column) -> Column:
+    """Canonical LEB128 of a number from 0 to 2**63 - 1."""
+    v = value.cast("bigint")
+    size = F.greatest(F.ceil(F.length(F.bin(v)) / 7), F.lit(1)).cast("int")
+    byte = lambda i: F.shiftrightunsigned(v, 7 * i).bitwiseAND(F.lit(127)) if isinstance(i, int) else F.call_function("shiftrightunsigned", v, 7 * i).bitwiseAND(F.lit(127))
+    each = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.lpad(F.hex(byte(i) + F.when(i < size - 1, 128).otherwise(0)), 2, "0"))
+    return F.unhex(F.array_join(each, ""))
+
+
+def varuint_at(data: Column, offset: Column | int = 0) -> Column:
+    """struct<value, next> of canonical LEB128 at a byte offset; null if it is cut off, overlong or beyond 63 bits."""
+    at = F.lit(offset) if isinstance(offset, int) else offset
+    codes = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.conv(F.hex(F.substring(data, (at + i).cast("int"), F.lit(1))), 16, 10).cast("bigint"))
+    last = F.array_position(F.transform(codes, lambda c: F.coalesce(c < 128, F.lit(False))), F.lit(True)).cast("int")
+    used = F.slice(codes, 1, F.greatest(last, F.lit(1)))
+    value = F.aggregate(F.reverse(used), F.lit(0).cast("bigint"), lambda s, c: F.shiftleft(s, 7).bitwiseOR(c.bitwiseAND(F.lit(127))))
+    good = (last > 0) & ((last == 1) | (F.try_element_at(codes, last) > 0)) & F.forall(used, lambda c: c.isNotNull())
+    return F.when(good, F.struct(value.alias("value"), (at + last).cast("bigint").alias("next")))
+
+
+def wire_text(text: Column) -> Column:
+    """UTF-8 after its length as a u16."""
+    data = F.encode(text, "UTF-8")
+    return F.concat(unsigned(F.octet_length(data), 2), data)
+
+
+def _symbols(value: Column, n: int) -> Column:
+    """The low 5 n bits of a number in Crockford's base 32."""
+    return F.concat(*(F.substring(F.lit(CROCKFORD), (F.shiftright(value, 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for i in range(n - 1, -1, -1)))
+
+
+def typed_id(prefix: str, millis: Column, entropy: Column) -> Column:
+    """A prefixed identifier from a time (48 bits) and ten bytes."""
+    half = lambda i: F.conv(F.hex(F.substring(entropy, i, 5)), 16, 10).cast("bigint")
+    return F.when(F.octet_length(entropy) == 10, F.concat(F.lit(f"{prefix}_"), _symbols(millis.bitwiseAND(F.lit(2**48 - 1)), 10), _symbols(half(1), 8), _symbols(half(6), 8)))
+
+
+def code_slug(code: Column) -> Column:
+    """A catalogue code of eleven symbols as five, five and one, in lower case."""
+    return F.lower(F.concat_ws("-", F.substring(code, 1, 5), F.substring(code, 6, 5), F.substring(code, 11, 1)))
+
+
+def code_label(code: Column, prefix: str, separator: str) -> Column:
+    """A catalogue code as it is printed."""
+    return F.concat(F.lit(f"{prefix} "), F.concat_ws(separator, F.substring(code, 1, 5), F.substring(code, 6, 5), F.substring(code, 11, 1)))
+
+
+#: Rec. 709 weights and chroma scales.
+LUMA, CHROMA = (0.2126, 0.7152, 0.0722), (1.8556, 1.5748)
+
+
+def luma(r: Column, g: Column, b: Column) -> Column:
+    return LUMA[0] * r + LUMA[1] * g + LUMA[2] * b
+
+
+def chroma(r: Column, g: Column, b: Column) -> Column:
+    """struct<blue, red>: how far a colour is from grey."""
+    y = luma(r, g, b)
+    return F.struct(((b - y) / CHROMA[0]).alias("blue"), ((r - y) / CHROMA[1]).alias("red"))
+
+
+def pixel_angle(x: Column, y: Column, centre: Column) -> Column:
+    """Clockwise angle of a pixel from twelve o'clock, 0 to 2 pi."""
+    return F.pmod(F.lit(math.pi / 2) - F.atan2(centre - y, x - centre), F.lit(2 * math.pi))
+
+
+def pixel_radius(x: Column, y: Column, centre: Column) -> Column:
+    """Distance of a pixel from the centre as a share of half the side."""
+    return F.hypot(x - centre, centre - y) / centre
+
+
+def _times(z: Column, by: int) -> Column:
+    """Product of two 64-bit numbers modulo 2**64, as a signed one; halves keep decimals from overflowing."""
+    c, word = F.lit(str(by)).cast("decimal(20,0)"), F.lit(2**32).cast("decimal(10,0)")
+    wide = lambda x: x.cast("decimal(10,0)")
+    low, high = wide(z.bitwiseAND(F.lit(2**32 - 1))), wide(F.shiftrightunsigned(z, 32))
+    two64 = F.lit(str(2**64)).cast("decimal(20,0)")
+    upper = ((high * c) % word).cast("decimal(10,0)")
+    lower = ((low * c) % two64).cast("decimal(20,0)")
+    whole = ((upper * word).cast("decimal(20,0)") + lower) % two64
+    return F.when(whole >= F.lit(str(2**63)).cast("decimal(20,0)"), whole - two64).otherwise(whole).cast("bigint")
+
+
+def splitmix64(state: Column) -> Column:
+    """The draw of the seeded generator that follows from an advanced state; see ``advanced``."""
+    z = _times(state.bitwiseXOR(F.shiftrightunsigned(state, 30)), 0xBF58476D1CE4E5B9)
+    z = _times(z.bitwiseXOR(F.shiftrightunsigned(z, 27)), 0x94D049BB133111EB)
+    return z.bitwiseXOR(F.shiftrightunsigned(z, 31))
+
+
+def advanced(seed: Column, steps: int) -> Column:
+    """The generator's state after so many steps, modulo 2**64."""
+    two64 = F.lit(str(2**64)).cast("decimal(20,0)")
+    whole = (seed.cast("decimal(20,0)") + F.lit(str(0x9E3779B97F4A7C15 * steps % 2**64)).cast("decimal(20,0)") + two64) % two64
+    return F.when(whole >= F.lit(str(2**63)).cast("decimal(20,0)"), whole - two64).otherwise(whole).cast("bigint")
+
+
+def unit(draw: Column) -> Column:
+    """A draw as a number from 0 to 1, by its upper 53 bits."""
+    return F.shiftrightunsigned(draw, 11).cast("double") / 2.0**53

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Diameters in millimetres (finished, margin, recorded outside and inside, label).
@@ -24,6 +24,8 @@ MILLIMETRES = {
 }
 #: Wire codes of the profiles.
 CODES = {"single45": 0, "lp": 1, "ten": 2, "single45vintage": 3}
+#: Fixed value: the least pitch of a spiral.
+LEAST_PITCH = 1e-7
 SIDE, RIM_PX, LEAD_IN_TURNS, START_ANGLE = 576, 287, 2.0, math.pi / 2
 #: Fixed values of the pressed lead-out: least pitch and the lock's radius in millimetres.
 LEAST_LEAD_OUT_MM, LOCK_7_MM, LOCK_10_12_MM = 3.2, 48.2, 52.8
@@ -79,11 +81,28 @@ def profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([profile(n) for n in MILLIMETRES], "profile string, code int, px_per_mm double, label_radius int, inner_radius int, outer_radius int, lead_in_px int, lock_radius double")
 
 
-def turns(inner: F.Column, outer: F.Column, pitch: F.Column) -> F.Column:
+def turns(inner: Column, outer: Column, pitch: Column) -> Column:
     """Turns of a band at a pitch; ``pitch`` is the spiral's b, a turn is 2 pi b wide."""
     return (outer - inner) / (2 * math.pi * pitch)
 
 
+def turn_width(pitch: Column) -> Column:
+    """Pixels between neighbouring turns."""
+    return 2 * math.pi * pitch
+
+
+def pitch_for_turns(inner: Column, outer: Column, n: Column) -> Column:
+    """The pitch at which a band holds so many turns, or null for none or fewer."""
+    return F.when(n > 0, F.greatest(F.greatest(outer - inner, F.lit(0.0)) / (2 * math.pi * n), F.lit(LEAST_PITCH)))
+
+
+def cut_inner_radius(inner: Column, outer: Column, floor_radius: Column, fraction: Column) -> Column:
+    """The radius at which a cut of a share of the band is laid out to stop; null for a share outside 0 to 1."""
+    low = F.greatest(F.least(floor_radius, inner), F.lit(1)).cast("double")
+    stop = F.floor(outer - F.greatest(outer - low, F.lit(0.0)) * fraction + 0.5)
+    return F.when((fraction > 0) & (fraction <= 1), F.greatest(stop, F.ceil(low))).cast("int")
+
+
 def chained(pixels: Iterable[int], width: int) -> list[int]:
     """A walk without the corners whose neighbours touch each other already."""
     kept: list[int] = []

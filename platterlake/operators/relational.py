@@ -49,8 +49,8 @@ def labelled(entries: DataFrame, intervals: DataFrame, key: str, slot: str, firs
     return entries.join(each, [key, slot], "left")
 
 
-def merged_regions(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, amount: str, apart: Column | None = None) -> DataFrame:
-    """Neighbouring rows of equal label as one region: (keys, ordinal, label, start, end, amount, n_rows).
+def merged_regions(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, amount: str, apart: Column | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """Neighbouring rows of equal label as one region: (keys, ordinal, label, start, end, amount, n_rows), and ``more`` aggregates of its rows.
 
     ``start`` and ``end`` are on the running clock of ``amount``; rows for which
     ``apart`` holds are regions of their own.
@@ -62,8 +62,8 @@ def merged_regions(df: DataFrame, keys: Sequence[str], order: Sequence[str], lab
     marked = df.withColumn("_cut", cut.cast("int"))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = marked.withColumn("_island", F.sum("_cut").over(whole)).withColumn("_end", F.sum(amount).over(whole))
-    grouped = placed.groupBy(*keys, F.col("_island").alias("ordinal")).agg(F.first(label).alias(label), F.min(F.col("_end") - F.col(amount)).alias("start"), F.max("_end").alias("end"), F.sum(amount).alias("amount"), F.count(F.lit(1)).alias("n_rows"))
-    return grouped.select(*keys, "ordinal", label, "start", "end", "amount", "n_rows")
+    grouped = placed.groupBy(*keys, F.col("_island").alias("ordinal")).agg(F.first(label).alias(label), F.min(F.col("_end") - F.col(amount)).alias("start"), F.max("_end").alias("end"), F.sum(amount).alias("amount"), F.count(F.lit(1)).alias("n_rows"), *(a.alias(n) for n, a in (more or {}).items()))
+    return grouped.select(*keys, "ordinal", label, "start", "end", "amount", "n_rows", *(more or {}))
 
 
 def merged_silences(df: DataFrame, keys: Sequence[str], order: Sequence[str], tracked: Column, amount: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns
@@ -61,16 +61,13 @@ def signature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.one_value(_table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_returnflag", "l_suppkey")
 
 
-def entry_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("entry_sha256"))
-    return docs.select("doc_id", "entry_sha256", F.sha2(F.concat(F.lit("revolution:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("entry_sha256")), 256).alias("revolution_sha256"))
-
-
 def barcode_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Barcodes as read: every third has a wrong check digit, every seventh a digit too few."""
     body = F.lpad(F.col("p_partkey").cast("string"), 11, "0")
-    full = F.concat(body, columns.check_digit(body).cast("string"))
-    parts = _table(spark, sf_dir, "part").select("p_partkey", full.alias("barcode"))
-    return parts.select("p_partkey", "barcode", columns.upc(F.col("barcode")).isNotNull().alias("valid"))
+    digit = (columns.check_digit(body) + F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 9 + 1).otherwise(0)) % 10
+    seen = F.when(F.col("p_partkey") % 7 == 0, body).otherwise(F.concat(body, F.lit("-"), digit.cast("string")))
+    parts = _table(spark, sf_dir, "part").select("p_partkey", seen.alias("barcode"))
+    return parts.select("p_partkey", "barcode", columns.upc(F.col("barcode")).alias("code"), columns.upc(F.col("barcode")).isNotNull().alias("valid"))
 
 
 def segment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,28 +81,11 @@ def spec_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("label").agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"))
 
 
-def profile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
-    named = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    counted = _table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_suppliers"))
-    return named.join(counted, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("r_name", "n_name", F.coalesce("n_suppliers", F.lit(0)).alias("n_suppliers"))
-
-
-def descriptor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", "url", F.sha2("html", 256).alias("html_sha256"), F.octet_length("html").cast("bigint").alias("n_bytes"))
-
-
-def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "lineitem")
-    return lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_entries"), F.count_distinct("l_partkey").alias("n_descriptors"), F.sum(F.col("l_quantity").cast("bigint")).alias("payload_bytes"), F.max(F.col("l_quantity").cast("bigint")).alias("longest"))
-
-
 def radial_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = entry_offsets(spark, sf_dir)
-    total = placed.groupBy("l_orderkey").agg(F.sum("byte_length").alias("total"))
+    placed = entry_offsets(spark, sf_dir).withColumn("total", F.sum("byte_length").over(Window.partitionBy("l_orderkey")))
     share = (F.col("byte_offset") / F.col("total")).cast("double")
     radius = columns.equal_area_radius(share, F.lit(115.0), F.lit(281.0))
-    return placed.join(total, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", F.floor(radius * 1e6 + 0.5).cast("bigint").alias("radial_micros"))
+    return placed.select("l_orderkey", "l_linenumber", "l_partkey", F.floor(radius * 1e6 + 0.5).cast("bigint").alias("radial_micros"))
 
 
 def track_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +99,7 @@ def track_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (entry_offsets, exact_once_coverage, chunks_across_entries, programme_regions, silence_spans, track_gap_interleave, signature_sets, entry_digests, barcode_checks, segment_plan, spec_checks, profile_lookup, descriptor_scan, stream_summary, radial_positions, track_labels)
+    for f in (entry_offsets, exact_once_coverage, chunks_across_entries, programme_regions, silence_spans, track_gap_interleave, signature_sets, barcode_checks, segment_plan, spec_checks, radial_positions, track_labels)
 }
 
 _OFFSETS = """SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS byte_length,
@@ -155,17 +135,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT o_custkey, CAST(row_number() OVER w AS INT) AS position, kind, CAST(sum(count) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) - count AS first, count
         FROM p WHERE count > 0 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey, side)""",
     "signature_sets": "SELECT l_orderkey, count(DISTINCT l_returnflag) = 1 AS one_value, count(l_suppkey) = count(DISTINCT l_suppkey) AS no_repeat FROM lineitem GROUP BY l_orderkey",
-    "entry_digests": "SELECT doc_id, sha256(coalesce(text, '')) AS entry_sha256, sha256('revolution:' || doc_id || ':' || sha256(coalesce(text, ''))) AS revolution_sha256 FROM documents",
     "barcode_checks": """WITH b AS (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 11, '0') AS body FROM part),
-        s AS (SELECT p_partkey, body, list_sum(list_transform(range(1, 12), lambda i: CAST(body[i] AS INT) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)) AS t FROM b)
-        SELECT p_partkey, body || CAST((10 - t % 10) % 10 AS VARCHAR) AS barcode, true AS valid FROM s""",
+        s AS (SELECT p_partkey, body, list_sum(list_transform(range(1, 12), lambda i: CAST(body[i] AS INT) * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)) AS t FROM b),
+        d AS (SELECT p_partkey, body, ((10 - t % 10) % 10 + CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 9 + 1 ELSE 0 END) % 10 AS digit, p_partkey % 7 = 0 AS short FROM s),
+        v AS (SELECT *, NOT short AND p_partkey % 3 <> 0 AS valid FROM d)
+        SELECT p_partkey, CASE WHEN short THEN body ELSE body || '-' || CAST(digit AS VARCHAR) END AS barcode, CASE WHEN valid THEN body || CAST(digit AS VARCHAR) END AS code, valid FROM v""",
     "segment_plan": "SELECT doc_id, CAST(start // 1000 AS INT) AS idx, start, least(1000, total - start) AS length FROM (SELECT doc_id, length(text) AS total, unnest(range(0, length(text), 1000)) AS start FROM documents)",
     "spec_checks": """WITH c AS (SELECT unnest([{'label': 'discount in range', 'ok': l_discount BETWEEN 0 AND 0.1}, {'label': 'quantity positive', 'ok': l_quantity > 0},
             {'label': 'returned lines filled', 'ok': l_returnflag <> 'R' OR l_linestatus = 'F'}, {'label': 'tax in range', 'ok': l_tax BETWEEN 0 AND 0.08}]) AS c FROM lineitem)
         SELECT c.label AS label, count(*) FILTER (WHERE c.ok) AS passed, count(*) FILTER (WHERE NOT c.ok OR c.ok IS NULL) AS failed FROM c GROUP BY ALL""",
-    "profile_lookup": "SELECT r_name, n_name, count(s_suppkey) AS n_suppliers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL",
-    "descriptor_scan": "SELECT page_id, url, sha256(html) AS html_sha256, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages",
-    "stream_summary": "SELECT l_orderkey, count(*) AS n_entries, count(DISTINCT l_partkey) AS n_descriptors, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS payload_bytes, max(CAST(l_quantity AS BIGINT)) AS longest FROM lineitem GROUP BY l_orderkey",
     "radial_positions": f"""WITH o AS ({_OFFSETS}), f AS (SELECT *, CAST(byte_offset AS DOUBLE) / sum(byte_length) OVER (PARTITION BY l_orderkey) AS f FROM o)
         SELECT l_orderkey, l_linenumber, l_partkey, CAST(floor(least(greatest((281.0 - sqrt(greatest(281.0::DOUBLE * 281.0 - f * (281.0::DOUBLE * 281.0 - 115.0::DOUBLE * 115.0), 0.0))) / (281.0 - 115.0), 0.0), 1.0) * 1e6 + 0.5) AS BIGINT) AS radial_micros FROM f""",
     "track_labels": """SELECT conv_id, CAST(turn AS INT) AS turn, turn // 4 + 1 AS track FROM conversations""",

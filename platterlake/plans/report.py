@@ -11,9 +11,8 @@ from ..sources import streams
 
 def stream_checks(found: DataFrame) -> DataFrame:
     """(path, label, ok) for every stream, whether it parsed or not."""
-    bare = streams.uncovered(found).select("path").distinct().withColumn("bare", F.lit(True))
     crossed = streams.chunks_outside(found).select("path").distinct().withColumn("crossed", F.lit(True))
-    both = found.join(bare, "path", "left").join(crossed, "path", "left")
+    both = found.join(crossed, "path", "left")
     parsed = F.col("error").isNull()
     total = lambda of, f: F.aggregate(of, F.lit(0).cast("bigint"), lambda s, x: s + x[f])
     payload = F.aggregate("chunks", F.lit(0).cast("bigint"), lambda s, c: s + c["payload_end"] - c["payload_start"])
@@ -21,8 +20,9 @@ def stream_checks(found: DataFrame) -> DataFrame:
         "chunk checksums agree": parsed & F.forall("chunks", lambda c: c["crc_ok"]),
         "chunks lie inside entries": parsed & (F.col("encrypted") | F.col("crossed").isNull()),
         "entries add up to the payload": parsed & (F.col("encrypted") | (total("entries", "byte_length") == payload)),
-        "every revolution is covered once": parsed & F.col("bare").isNull(),
+        "descriptors, tracks and gaps keep the rules": parsed & streams.fault().isNull(),
         "sample rate and channels are stated": parsed & (F.size("payload_descriptors") > 0) & F.forall("payload_descriptors", lambda d: F.coalesce((d["sample_rate"] > 0) & (d["channels"] > 0), F.lit(False))),
+        "programme has a map": parsed & streams.untimed().isNull(),
         "stream parses": parsed,
     }
     return relational.checks(both, ["path"], predicates)
@@ -30,11 +30,11 @@ def stream_checks(found: DataFrame) -> DataFrame:
 
 def record_checks(found: DataFrame, described: DataFrame) -> DataFrame:
     """(path, label, ok) of descriptors against their streams, by path."""
-    lengths = found.select("path", F.col("stream_len").alias("held"), F.size("entries").alias("n_entries"))
+    lengths = found.select("path", F.col("stream_len").alias("held"), F.size("tracks").alias("n_tracks"))
     both = described.join(lengths, "path", "left")
     parsed = F.col("error").isNull()
     predicates = {
-        "codes name tracks that exist": parsed & F.forall("isrcs", lambda i: i["track_index"] < F.col("n_entries")),
+        "codes name tracks that exist": parsed & F.forall("isrcs", lambda i: i["track_index"] < F.col("n_tracks")),
         "descriptor parses": parsed,
         "stream is as long as described": parsed & (F.col("stream_byte_length") == F.col("held")),
     }
@@ -74,9 +74,12 @@ def descriptor_json(described: DataFrame) -> DataFrame:
 
 
 def programme_json(found: DataFrame) -> DataFrame:
-    """(path, json): each programme's regions in order, on its sample clock."""
-    region = F.struct("ord", "kind", "number", "title", "start_sample", "end_sample")
-    return streams.regions(found).groupBy("path").agg(F.to_json(F.array_sort(F.collect_list(region))).alias("json"))
+    """(path, json): each programme's tracks and gaps in order, with samples, milliseconds and places, and its totals."""
+    millis = lambda c: (F.col(c) * 1000 / F.col("sample_rate")).alias(c.replace("_sample", "_ms"))
+    region = F.struct("ord", "number", "title", "start_sample", "end_sample", millis("start_sample"), millis("end_sample"), "share_start", "share_end", "radial_start", "radial_end")
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, region)))
+    whole = streams.regions(found).groupBy("path").agg(F.first("sample_rate").alias("sample_rate"), F.first("channels").alias("channels"), F.max("end_sample").alias("total_samples"), of("track").alias("tracks"), of("gap").alias("gaps"))
+    return whole.select("path", F.to_json(F.struct("sample_rate", "channels", "total_samples", "tracks", "gaps")).alias("json"))
 
 
 __all__ = ["descriptor_json", "programme_json", "record_checks", "signing_coverage", "stream_checks", "stream_json", "tally"]

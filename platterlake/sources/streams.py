@@ -11,9 +11,10 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns
 from ..functions.wire import Cursor, WireError, quiet_filler
 from ..operators import relational
 
@@ -22,6 +23,7 @@ MAGIC, METADATA_VERSION = b"BRS1", 2
 ENCRYPTED, DESCRIPTOR_INDEXES, TRACK_MAPPINGS, TRACK_GAPS = 1, 2, 4, 8
 CODEC, SAMPLE_RATE, CHANNELS, GEOMETRY, CODEC_METADATA = 1, 2, 4, 8, 16
 CONTAINERS = {1: "ECDC", 2: "MOSSNANO"}
+PLAYABLE = tuple(CONTAINERS.values())
 EXTENSION = 255
 NONCE_BYTES, MOST_CODEC_METADATA = 12, 65_536
 GAP_MAGIC, GAP_HEADER = b"GAP1", 28
@@ -166,7 +168,8 @@ def parse(data: bytes) -> dict:
         body, at = payload[at : at + e["byte_length"]], at + e["byte_length"]
         kind = out["payload_descriptors"][e["descriptor_idx"]]
         e["sha256"] = sha256(body).digest()
-        e["samples"] = gap_samples(body) if kind["container"].upper() == "GAP" else kind["output_samples"]
+        # What a container of another kind lasts is not known, whatever its descriptor says.
+        e["samples"] = gap_samples(body) if kind["container"].upper() == "GAP" else kind["output_samples"] if kind["container"].upper() in PLAYABLE else None
     return out
 
 
@@ -189,6 +192,44 @@ def parsed(files: DataFrame, parser: Callable[[bytes], dict] = parse, path: str
     return files.select(path, content).mapInArrow(run, schema)
 
 
+def _playable(e: Column) -> Column:
+    return F.upper(F.element_at("payload_descriptors", e["descriptor_idx"] + 1)["container"]).isin(*PLAYABLE)
+
+
+def _slots(ranges: str) -> Column:
+    """Every revolution that some ranges of a record hold, once for each time."""
+    return F.flatten(F.transform(ranges, lambda r: F.sequence(r["first_rev"], r["first_rev"] + r["rev_count"] - 1)))
+
+
+def fault() -> Column:
+    """What is wrong with a parsed record beyond its bytes, or null: work within the row, nothing is joined.
+
+    Each revolution of a playable container lies in one track or gap, tracks follow
+    one another, and neither holds an auxiliary revolution; a record without a
+    playable one is not asked. A payload of the first container states its codec,
+    rate, channels and codec metadata.
+    """
+    owned = F.concat(_slots("tracks"), _slots("track_gaps"))
+    wanted = F.transform(F.filter("entries", _playable), lambda e: e["idx"].cast("bigint"))
+    ends = F.transform("tracks", lambda t: t["first_rev"] + t["rev_count"])
+    late = F.exists(F.arrays_zip(F.transform(F.slice("tracks", 2, F.greatest(F.size("tracks") - 1, F.lit(0))), lambda t: t["first_rev"]).alias("first"), ends.alias("end")), lambda p: F.coalesce(p["first"] < p["end"], F.lit(False)))
+    stated = lambda d: (F.upper(d["codec"]) == "ECDC") & (d["sample_rate"] > 0) & (d["channels"] > 0) & d["codec_metadata"].isNotNull()
+    asked = F.size(wanted) > 0
+    return (
+        F.when(F.exists("payload_descriptors", lambda d: (F.upper(d["container"]) == "ECDC") & ~F.coalesce(stated(d), F.lit(False))), "a descriptor does not state codec, rate, channels and codec metadata")
+        .when(asked & late, "a track begins inside the one before it")
+        .when(asked & (F.size(F.array_except(owned, wanted)) > 0), "a track or gap holds an auxiliary revolution")
+        .when(asked & (F.size(F.array_distinct(owned)) < F.size(owned)), "a revolution is covered twice")
+        .when(asked & (F.size(F.array_except(wanted, owned)) > 0), "a revolution is not covered")
+    )
+
+
+def records(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """As ``parsed``, and a record that breaks a rule of ``fault`` has it as its error."""
+    found = parsed(files, path=path, content=content)
+    return found.withColumn("error", F.coalesce("error", F.when(F.col("error").isNull(), fault())))
+
+
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, content) of the files below a folder, one row each."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "content")
@@ -221,13 +262,37 @@ def chunks_outside(streams: DataFrame) -> DataFrame:
     return relational.contained(placed.select("path", "idx", "from", "to"), ranges, "path", "from", "to")
 
 
-def regions(streams: DataFrame) -> DataFrame:
-    """Timed regions of each programme: track entries merge with their neighbours, gap entries do not."""
-    tracks = child(streams, "tracks").select("path", "first_rev", "rev_count", F.struct(F.lit("track").alias("kind"), F.col("number"), "title").alias("owner"))
-    gaps = child(streams, "track_gaps").select("path", "first_rev", "rev_count", F.struct(F.lit("gap").alias("kind"), F.col("after_track").alias("number"), F.lit(None).cast("string").alias("title")).alias("owner"))
-    owned = relational.labelled(entries(streams), tracks.unionByName(gaps), "path", "idx", "first_rev", "rev_count", "owner")
-    merged = relational.merged_regions(owned, ["path"], ["idx"], "owner", "samples", F.col("owner.kind") == "gap")
-    return merged.select("path", F.col("ordinal").alias("ord"), "owner.kind", "owner.number", "owner.title", F.col("start").alias("start_sample"), F.col("end").alias("end_sample"))
+def untimed() -> Column:
+    """Why a record has no programme map, or null: an entry of unknown duration or under no track or gap, or no rate or channels."""
+    owned = F.concat(_slots("tracks"), _slots("track_gaps"))
+    return (
+        F.when(F.exists("entries", lambda e: e["samples"].isNull()), "an entry has no known duration")
+        .when(F.size(F.array_except(F.transform("entries", lambda e: e["idx"].cast("bigint")), owned)) > 0, "an entry is under no track or gap")
+        .when(~F.exists("payload_descriptors", lambda d: d["sample_rate"].isNotNull()) | ~F.exists("payload_descriptors", lambda d: d["channels"].isNotNull()), "no descriptor states a rate or channels")
+    )
+
+
+def regions(streams: DataFrame, inner: Column | None = None, outer: Column | None = None) -> DataFrame:
+    """Timed regions of each programme that has a map: track entries merge with their neighbours, gap entries do not.
+
+    Places are in samples, in seconds of the first stated rate, and as a share of
+    the payload's bytes; with the radii of the programme's band (constants, or
+    columns of ``streams``) also as a share of the band.
+    """
+    mapped = streams.where(F.col("error").isNull() & untimed().isNull())
+    stated = lambda f: F.element_at(F.filter(F.transform("payload_descriptors", lambda d: d[f]), lambda x: x.isNotNull()), 1)
+    total = F.aggregate("entries", F.lit(0).cast("bigint"), lambda s, e: s + e["byte_length"])
+    tracks = F.transform("tracks", lambda t: F.struct(t["first_rev"].alias("first_rev"), t["rev_count"].alias("rev_count"), F.struct(F.lit("track").alias("kind"), t["number"].alias("number"), t["title"].alias("title")).alias("owner")))
+    gaps = F.transform("track_gaps", lambda g: F.struct(g["first_rev"].alias("first_rev"), g["rev_count"].alias("rev_count"), F.struct(F.lit("gap").alias("kind"), g["after_track"].alias("number"), F.lit(None).cast("string").alias("title")).alias("owner")))
+    own = lambda e: F.element_at(F.filter(F.concat(tracks, gaps), lambda r: (e["idx"] >= r["first_rev"]) & (e["idx"] < r["first_rev"] + r["rev_count"])), 1)["owner"]
+    radii = [x.cast("double") if x is not None else F.lit(None).cast("double") for x in (inner, outer)]
+    head = mapped.select("path", stated("sample_rate").alias("sample_rate"), stated("channels").alias("channels"), total.alias("total"), radii[0].alias("inner"), radii[1].alias("outer"), F.explode(F.transform("entries", lambda e: F.struct(e["idx"].alias("idx"), e["byte_length"].alias("byte_length"), e["samples"].alias("samples"), own(e).alias("owner")))).alias("e"))
+    owned = relational.running_offsets(head.select("path", "sample_rate", "channels", "total", "inner", "outer", "e.*"), ["path"], ["idx"], "byte_length")
+    keys = ["path", "sample_rate", "channels", "total", "inner", "outer"]
+    merged = relational.merged_regions(owned, ["path"], ["idx"], "owner", "samples", F.col("owner.kind") == "gap", {**{k: F.first(k) for k in keys[1:]}, "byte_start": F.min("byte_offset"), "byte_end": F.max("byte_end")})
+    share = lambda c: F.col(c) / F.col("total")
+    radial = lambda c: F.when(F.col("outer").isNotNull(), columns.equal_area_radius(share(c), F.col("inner"), F.col("outer")))
+    return merged.select("path", F.col("ordinal").alias("ord"), "owner.kind", "owner.number", "owner.title", F.col("start").alias("start_sample"), F.col("end").alias("end_sample"), "sample_rate", "channels", "byte_start", "byte_end", share("byte_start").alias("share_start"), share("byte_end").alias("share_end"), radial("byte_start").alias("radial_start"), radial("byte_end").alias("radial_end"))
 
 
 def summary(streams: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def test_checks_and_json(spark):
     found = streams.parsed(files(spark, good, stream(cut=(6, 2, 4, 4, 4)), good[:-1])).cache()
     described = descriptors.descriptors(files(spark, descriptor([(5, b"T"), (16, envelope())], stream_len=len(good)), descriptor(stream_len=5), b"x")).cache()
     rows = {(r.path, r.label): r.ok for r in report.stream_checks(found).collect()}
-    assert len(rows) == 18 and all(ok for (p, _), ok in rows.items() if p == "f0") and not any(ok for (p, _), ok in rows.items() if p == "f2")
+    assert len(rows) == 21 and all(ok for (p, _), ok in rows.items() if p == "f0") and not any(ok for (p, _), ok in rows.items() if p == "f2")
     assert [k for k, ok in rows.items() if k[0] == "f1" and not ok] == [("f1", "chunks lie inside entries")]
     assert {r.label: (r.passed, r.failed) for r in report.tally(report.record_checks(found, described)).collect()}["stream is as long as described"] == (1, 2)
     cover = {r.field: (r.present, r.covered) for r in report.signing_coverage(described).where("path = 'f0'").collect()}
@@ -23,7 +23,8 @@ def test_checks_and_json(spark):
     assert one["tracks"][0]["title"] == "One" and len(one["entries"][0]["sha256"]) == 64
     assert json.loads(report.descriptor_json(described).where("path = 'f0'").first()["json"])["title"] == "T"
     regions = json.loads(report.programme_json(found).where("path = 'f0'").first()["json"])
-    assert [r["kind"] for r in regions] == ["track", "gap", "track"]
+    assert [r["ord"] for r in regions["tracks"]] == [1, 3] and [r["ord"] for r in regions["gaps"]] == [2]
+    assert (regions["sample_rate"], regions["total_samples"], regions["gaps"][0]["start_ms"]) == (48_000, 320_000, 128_000 / 48)
 
 
 def test_every_descriptor_states_rate_and_channels(spark):

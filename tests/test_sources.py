@@ -23,7 +23,7 @@ def chunk(payload, crc=None):
 
 
 def stream(lengths=(4, 4, 4, 4, 4), tracks=(("One", 0, 2), ("Two", 3, 2)), gaps=((2, 1, 0),), samples=64_000, cut=None, tail=b"", crc=None):
-    meta = bytes([2, 4 | (8 if gaps else 0), 1, 1, 1 | 2 | 4 | 8]) + text("codec") + struct.pack(">IBIII", 48_000, 2, samples + 10, 5, samples)
+    meta = bytes([2, 4 | (8 if gaps else 0), 1, 1, 31]) + text("ECDC") + struct.pack(">IBIIII", 48_000, 2, samples + 10, 5, samples, 2) + b"{}"
     meta += struct.pack(">H", len(lengths)) + b"".join(map(write_varuint, lengths))
     meta += struct.pack(">H", len(tracks)) + b"".join(text(t) + write_varuint(a) + write_varuint(n) for t, a, n in tracks)
     if gaps:
