@@ -19,8 +19,8 @@ join is done twice over:
    the words in them, so that similarity is verified where two classes meet and is
    counted there. No pair is stored or shuffled.
 
-Two classes that share several prefix words are matched at one of them: at the
-first word of both prefixes if that is the same, and else at their rarest common one.
+Two classes that share several prefix words are matched at the rarest one, before
+which their prefixes have nothing in common.
 
 A line goes if an earlier line, by document and place, matches it, whether that
 one stays or not. Blank lines stay.
@@ -37,7 +37,7 @@ from ._common import shelve
 
 #: Least similarity, as a fraction.
 THRESHOLD = (4, 5)
-BUCKETS = 1 << 22
+BUCKETS = 1 << 21
 #: Buckets of one row of the table while it is built.
 _PART = 4096
 #: Bits of a bitmap that keeps rows out of a shuffle: 2 MB.
@@ -119,11 +119,6 @@ def _first() -> Column:
     return F.try_element_at("prefix", F.lit(1))
 
 
-def _meet() -> Column:
-    """Whether two rows with a common prefix word are at the one where they are to be matched, as far as their first words tell."""
-    return (F.col("a.first") != F.col("b.first")) | (F.col("a.token") == F.col("a.first"))
-
-
 def _near(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Whether two classes may match by their sizes and signatures."""
     num, den = THRESHOLD
@@ -196,16 +191,17 @@ def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
     ends = points.select("sig").distinct()
     wanted = likely(found, ends, "sig").join(ends, "sig", "left_semi").select("x", "sig", "at", "size", "sig2", "prefix")
     wanted = shelve(wanted)
-    words = fetch(docs, wanted, id_col, text_col).select("x", "sig", "at", "size", "sig2", "prefix", _first().alias("first"), hashed(F.col("line")).alias("keys"))
+    words = fetch(docs, wanted, id_col, text_col).select("x", "sig", "at", "size", "sig2", "prefix", hashed(F.col("line")).alias("keys"))
     # rows that repeat a document repeat its lines
-    rows = words.repartition("sig").dropDuplicates(["x", "sig"]).join(points, "sig")
+    met = words.repartition("sig").dropDuplicates(["x", "sig"]).join(points, "sig")
+    place = F.array_position("prefix", F.col("token")).cast("int")
+    rows = met.where(place > 0).select("token", F.slice("prefix", 1, place - 1).alias("early"), "x", "sig", "sig2", "size", "at", "keys")
     a, b = rows.alias("a"), rows.alias("b")
     order = (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.sig") < F.col("b.sig")))
     left, right = ({c: F.col(f"{s}.{c}") for c in ("size", "sig", "sig2")} for s in "ab")
-    common = F.array_intersect("a.keys", "b.keys")
-    similar = (num + den) * F.size(common) >= num * (left["size"] + right["size"])
-    here = F.when(F.col("a.first") == F.col("b.first"), F.col("a.token") == F.col("a.first")).otherwise(F.col("a.token") == F.try_element_at(F.array_intersect("a.prefix", F.transform(common, token)), F.lit(1)))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & order & _meet() & _near(left, right) & similar & here)
+    rarest = ~F.arrays_overlap("a.early", "b.early")
+    similar = (num + den) * F.size(F.array_intersect("a.keys", "b.keys")) >= num * (left["size"] + right["size"])
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & order & _near(left, right) & rarest & similar)
     side = lambda s, t: F.struct(F.col(f"{s}.x").alias("x"), F.col(f"{s}.sig").alias("sig"), F.col(f"{s}.at").alias("at"), F.when(F.col(f"{t}.at") < F.col(f"{s}.at"), F.col(f"{t}.at")).alias("earlier"))
     return pairs.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("e")).groupBy("e.x", "e.sig").agg(F.min("e.at").alias("at"), F.count(F.lit(1)).alias("links"), F.min("e.earlier").alias("earlier"))
 
