@@ -7,10 +7,10 @@ import zlib
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import signatures
+from ..functions import columns, signatures, wheel
 from ..functions.wire import Cursor, WireError, plain_text
 from .streams import child, parsed
 
@@ -179,6 +179,8 @@ def parse(data: bytes) -> dict:
             raise WireError(f"{name} is missing")
     if (SPANS in seen) != (out["payload_encoding"] == "toned-v1") or (WHEEL in seen) != (out["payload_encoding"] == "toned-v2"):
         raise WireError("tone segments do not fit the payload encoding")
+    if WHEEL in seen:
+        wheel.read(seen[WHEEL][1], out["stream_byte_length"])
     _signed(out, seen)
     return out
 
@@ -214,6 +216,70 @@ def descriptors(files: DataFrame, path: str = "path", content: str = "content")
     return parsed(files, parse, path, content, ARROW, SCHEMA)
 
 
+def _segment(kind: int) -> Column:
+    return F.element_at(F.filter("segments", lambda s: s["type"] == kind), 1)["payload"]
+
+
+def _tagged(tag: int, value: Column) -> Column:
+    """A tag, a u32 length and the bytes; null is written as none."""
+    data = F.coalesce(value, F.unhex(F.lit("")))
+    return F.concat(columns.unsigned(F.lit(tag), 1), columns.unsigned(F.octet_length(data), 4), data)
+
+
+def identity(domain: bytes) -> Column:
+    """The canonical bytes a release signature covers, of a parsed descriptor under a domain.
+
+    Null for descriptors with tone spans, a cache key or a varied pitch, whose
+    parts the parser does not keep in canonical form.
+    """
+    text = lambda tag, name: _tagged(tag, F.encode(F.col(name), "UTF-8"))
+    named = ((3, "title"), (4, "artist")), ((6, "catalog_number"), (7, "label"), (8, "artwork_credit"), (9, "canonical_url"))
+    parts = [
+        F.lit(domain),
+        columns.unsigned(F.col("version"), 1),
+        columns.unsigned(F.lit(1), 1),
+        F.col("b_value_bits"),
+        text(1, "record_profile"),
+        columns.unsigned(F.col("stream_byte_length"), 8),
+        text(2, "payload_encoding"),
+        *(text(t, n) for t, n in named[0]),
+        _tagged(5, F.col("release_id")),
+        *(text(t, n) for t, n in named[1]),
+        _tagged(10, columns.unsigned(F.col("created_at"), 8)),
+        _tagged(11, _segment(21)),
+        _tagged(12, F.lit(None).cast("binary")),
+        _tagged(13, columns.unsigned(F.col("copyright_year"), 2)),
+        text(14, "copyright_holder"),
+        _tagged(15, F.lit(None).cast("binary")),
+        F.when(_segment(WHEEL).isNotNull(), _tagged(17, _segment(WHEEL))).otherwise(F.unhex(F.lit(""))),
+    ]
+    plain = F.col("error").isNull() & ~F.exists("segments", lambda s: s["type"].isin(SPANS, SECRET, 30))
+    return F.when(plain, F.concat(*parts))
+
+
+def deferred_identity(domain: bytes, release_domain: bytes) -> Column:
+    """The canonical bytes a deferred attestation covers: the release identity's digest, anchor, track codes and barcode."""
+    codes = F.transform("isrcs", lambda i: F.concat(columns.unsigned(i["track_index"], 2), F.encode(i["code"], "UTF-8")))
+    listed = F.concat(columns.unsigned(F.size("isrcs"), 2), F.unhex(F.array_join(F.transform(codes, lambda b: F.hex(b)), "")))
+    return F.concat(F.lit(domain), F.unhex(F.sha2(identity(release_domain), 256)), _tagged(1, _segment(ANCHOR)), _tagged(2, listed), _tagged(3, F.encode("upc", "UTF-8")))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Name of the first field in which two payload descriptors differ, or null."""
+    fields = ("container", "codec", "sample_rate", "channels", "block_samples", "output_offset_samples", "output_samples", "codec_metadata")
+    return F.coalesce(*(F.when(~a[f].eqNullSafe(b[f]), F.lit(f)) for f in fields))
+
+
+def silent_extent(payload: Column) -> Column:
+    """struct<outer, inner, pixels, encoding, bytes, claim, claimed> of a silent groove's extent (13 or 21 bytes), or null if it is not one."""
+    outer, inner, room = columns.u16be(payload, 0), columns.u16be(payload, 2), columns.u32be(payload, 9)
+    claimed = F.octet_length(payload) >= 21
+    tag, used = F.substring(payload, 14, 4), columns.u32be(payload, 17)
+    good = (F.octet_length(payload) >= 13) & (inner < outer) & (~claimed | ((used <= room) & (F.hex(tag) != "00000000")))
+    encoding = F.conv(F.hex(F.substring(payload, 9, 1)), 16, 10).cast("int")
+    return F.when(good, F.struct(outer.alias("outer"), inner.alias("inner"), columns.u32be(payload, 4).alias("pixels"), encoding.alias("encoding"), room.alias("bytes"), F.when(claimed, tag).alias("claim"), F.when(claimed, used).otherwise(0).alias("claimed")))
+
+
 def segments(found: DataFrame) -> DataFrame:
     return child(found, "segments")
 

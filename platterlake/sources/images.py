@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions import geometry, palettes
+from ..functions import geometry, palettes, wheel
 from ..functions.wire import WireError
 from . import descriptors
 
@@ -92,6 +92,8 @@ def png_pixels(data: bytes) -> np.ndarray:
         out[..., :3] = px[..., :3] if n > 2 else px[..., :1]
         if n in (2, 4):
             out[..., 3] = px[..., -1]
+        elif len(clear) == 2 * n:  # one colour is clear; samples are stated in 16 bits
+            out[..., 3] = np.where((px == np.frombuffer(clear, ">u2")).all(axis=-1), 0, 255)
     return out
 
 
@@ -133,22 +135,35 @@ def descriptor_bytes(image: np.ndarray, profile: str) -> bytes:
     return band_bytes(image, band, int.from_bytes(prefix[5:7], "big"))
 
 
-def find_descriptor(data: bytes, raw_magic: bytes | None = None) -> bytes:
-    """The first profile whose lead-in parses and names that profile."""
+def find_descriptor(data: bytes, raw_magic: bytes | None = None, profile: str | None = None) -> bytes:
+    """The descriptor of a profile, or of the first profile whose lead-in parses and names that profile."""
     image = pixels(data, raw_magic)
     if image.shape[0] != image.shape[1]:
         raise WireError("record image is not square")
+    if profile is not None and profile.strip() not in geometry.MILLIMETRES:
+        raise WireError(f"profile {profile} is unknown")
     why = WireError("no profile fits")
-    for name in geometry.MILLIMETRES:
+    for name in [profile.strip()] if profile else geometry.MILLIMETRES:
         try:
             found = descriptor_bytes(image, name)
-            if descriptors.parse(found)["record_profile"] == name:
+            if (named := descriptors.parse(found)["record_profile"]) == name:
                 return found
+            why = WireError(f"descriptor names {named}, not {name}")
         except WireError as e:
             why = e
     raise why
 
 
+def grey_bytes(rgba: np.ndarray, length: int | None = None) -> bytes:
+    """A byte for each grey pixel of (n, 4) that is not clear, up to a length."""
+    shown = rgba[rgba[:, 3] > 0]
+    if (shown[:, :3] != shown[:, :1]).any():
+        raise WireError("a pixel is not grey")
+    if length is not None and length > len(shown):
+        raise WireError("image holds fewer bytes than asked for")
+    return shown[:length, 0].tobytes()
+
+
 def direct_bytes(image: np.ndarray, band: tuple[int, ...], length: int) -> bytes:
     """Payload of the direct encoding: three bytes a pixel up to the first clear one."""
     data = lifted(image, band)[:, :3].tobytes()
@@ -164,18 +179,25 @@ def lifted(image: np.ndarray, band: tuple[int, ...]) -> np.ndarray:
     return px[: clear[0] if len(clear) else len(px)]
 
 
-def stream_bytes(data: bytes, raw_magic: bytes | None = None) -> bytes:
-    """The payload stream of a record image with a constant pitch, direct or toned by spans."""
-    image, d = pixels(data, raw_magic), descriptors.parse(find_descriptor(data, raw_magic))
+def stream_bytes(data: bytes, raw_magic: bytes | None = None, profile: str | None = None, length: int | None = None) -> bytes:
+    """The payload stream of a record image with a constant pitch: direct, toned by spans or toned by a wheel.
+
+    ``profile`` and ``length``, where given, stand for what the descriptor would be
+    looked up by and for the length that it states.
+    """
+    image, d = pixels(data, raw_magic), descriptors.parse(find_descriptor(data, raw_magic, profile))
     parts = {s["type"]: s["payload"] for s in d["segments"]}
-    if d["payload_encoding"] == "toned-v2" or 30 in parts:
-        raise WireError("tone wheels and varied pitch are not read yet")
+    if 30 in parts:
+        raise WireError("varied pitch is not read yet")
     floor = geometry.programme_floor(d["record_profile"], d["lead_out_revision"])
     band = geometry.programme(d["record_profile"], d["b_value"], floor, d["clockwise"], image.shape[1])
-    length = d["stream_byte_length"]
+    stated, length = d["stream_byte_length"], length or d["stream_byte_length"]
     if d["payload_encoding"] == "rgb":
         return direct_bytes(image, band, length)
-    return palettes.toned_bytes(lifted(image, band), palettes.read_spans(parts[descriptors.SPANS], length))
+    groove = lifted(image, band)
+    if d["payload_encoding"] == "toned-v2":
+        return wheel.payload(wheel.read(parts[descriptors.WHEEL], stated), groove, np.array(band[: len(groove)]), image.shape[1], length)
+    return palettes.toned_bytes(groove, palettes.read_spans(parts[descriptors.SPANS], stated))[:length]
 
 
 def _extracted(files: DataFrame, path: str, content: str, extract: Callable[[bytes], bytes]) -> DataFrame:
@@ -194,11 +216,11 @@ def _extracted(files: DataFrame, path: str, content: str, extract: Callable[[byt
     return files.select(path, content).mapInArrow(run, "path string, content binary, error string")
 
 
-def record_descriptors(files: DataFrame, path: str = "path", content: str = "content", raw_magic: bytes | None = None) -> DataFrame:
+def record_descriptors(files: DataFrame, path: str = "path", content: str = "content", raw_magic: bytes | None = None, profile: str | None = None) -> DataFrame:
     """(path, content, error): each image's descriptor bytes, ready for their parser; the groove is not read."""
-    return _extracted(files, path, content, lambda data: find_descriptor(data, raw_magic))
+    return _extracted(files, path, content, lambda data: find_descriptor(data, raw_magic, profile))
 
 
-def record_streams(files: DataFrame, path: str = "path", content: str = "content", raw_magic: bytes | None = None) -> DataFrame:
+def record_streams(files: DataFrame, path: str = "path", content: str = "content", raw_magic: bytes | None = None, profile: str | None = None, length: int | None = None) -> DataFrame:
     """(path, content, error): each image's payload stream, ready for its parser."""
-    return _extracted(files, path, content, lambda data: stream_bytes(data, raw_magic))
+    return _extracted(files, path, content, lambda data: stream_bytes(data, raw_magic, profile, length))

@@ -8,7 +8,7 @@ from hashlib import sha256, sha512
 import numpy as np
 import pytest
 
-from platterlake.functions import columns, geometry, palettes, signatures, wire
+from platterlake.functions import columns, geometry, palettes, signatures, wheel, wire
 from platterlake.functions.wire import Cursor, WireError, quiet_filler, read_varuint, write_varuint
 from platterlake.sources import descriptors, images, packages, streams
 from platterlake.streaming import ingest
@@ -259,3 +259,75 @@ def test_streaming_ingest(spark, tmp_path):
 def test_wire_text():
     with pytest.raises(WireError):
         wire.plain_text(b"\xff", "t")
+
+
+def wheel_map(rings, turns, span, blend, bits, order, tones, switches):
+    head = bytes([2, bits, order, blend, len(rings), *rings]) + b"".join(struct.pack(">H", t) for t in turns) + struct.pack(">HH", *span)
+    return head + b"".join(bytes([*base, tol, *gap, gap_tol]) for (base, tol), (gap, gap_tol) in tones) + write_varuint(len(switches)) + b"".join(map(write_varuint, switches))
+
+
+def slow_cell(w, index, pixel, side):
+    """A pixel's cell, worked out for it alone."""
+    import math
+
+    def unit(salt):
+        z = (index + salt) % 2**64
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+        return ((z ^ z >> 31) >> 11) / 2**53
+
+    x, y = pixel % side, pixel // side
+    angle = (math.pi / 2 - math.atan2(side / 2 - y, x - side / 2)) % (2 * math.pi)
+    low, high = w.span[0] / 10_000, w.span[1] / 10_000
+    across = min(max((math.hypot(x - side / 2, side / 2 - y) / (side / 2) - low) / (high - low), 0), 1) * len(w.rings)
+    ring = min(int(across), len(w.rings) - 1)
+    off = across - ring - 0.5
+    if w.blend and unit(0xD1B54A32D192ED03) < abs(off):
+        ring = min(max(ring + (1 if off > 0 else -1), 0), len(w.rings) - 1)
+    n = w.rings[ring]
+    along = (angle - w.turns[min(ring, len(w.turns) - 1)] / 36_000 * 2 * math.pi) % (2 * math.pi) / (2 * math.pi / n)
+    slot = min(int(along), n - 1)
+    off = along - slot - 0.5
+    if w.blend and unit(0x9E3779B97F4A7C15) < abs(off):
+        slot = (slot + (1 if off > 0 else -1)) % n
+    return sum(w.rings[:ring]) + slot
+
+
+@pytest.mark.parametrize("blend", [0, 1])
+def test_wheel_round_trip(blend):
+    rnd = random.Random(3 + blend)
+    rings = (3, 4)
+    tones = [(((rnd.randrange(60, 200),) * 3, 40), ((rnd.randrange(60, 200),) * 3, 40)) for _ in range(sum(rings))]
+    data = wheel_map(rings, (100, 9000), (3000, 9000), blend, 12, 0, tones, (40, 95))
+    w = wheel.read(data, 150)
+    side, length = 64, 150
+    pixels = np.array(rnd.sample(range(side * side), 100))
+    found = wheel.cells(w, pixels, side)
+    assert found.tolist() == [slow_cell(w, i, int(p), side) for i, p in enumerate(pixels)]
+    payload = rnd.randbytes(length)
+    bits = "".join(f"{b:08b}" for b in payload)
+    rgba = np.full((100, 4), 255, np.uint8)
+    for i in range(100):
+        base, tolerance = tones[found[i]][40 <= i * 12 // 8 < 95]
+        packed = int(palettes.palette(palettes.Tone(base, tolerance, 12, "base"))[int(bits[12 * i : 12 * i + 12], 2)])
+        rgba[i, :3] = packed >> 16, packed >> 8 & 255, packed & 255
+    assert wheel.payload(w, rgba, pixels, side, length) == payload
+    for bad in (data + b"x", data[:-1], b"\x03" + data[1:], wheel_map(rings, (100, 36_000), (3000, 9000), 0, 12, 0, tones, ()), wheel_map(rings, (0, 0), (9000, 3000), 0, 12, 0, tones, ()), wheel_map(rings, (0, 0), (0, 9000), 0, 12, 0, tones, (5, 5)), wheel_map((1, 4), (0, 0), (0, 9000), 0, 12, 0, tones[:5], ())):
+        with pytest.raises(WireError):
+            wheel.read(bad, 150)
+    with pytest.raises(WireError):
+        wheel.read(data, 95)
+
+
+def test_clear_colour_and_grey_bytes():
+    def png(colour, rows, clear):
+        part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, colour, 0, 0, 0)) + part(b"tRNS", clear) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+    assert images.png_pixels(png(2, bytes([0, 1, 2, 3, 1, 2, 4]), bytes([0, 1, 0, 2, 0, 3])))[0, :, 3].tolist() == [0, 255]
+    assert images.png_pixels(png(0, bytes([0, 7, 8]), bytes([0, 8])))[0, :, 3].tolist() == [255, 0]
+    grey = np.array([[5, 5, 5, 255], [6, 6, 6, 0], [7, 7, 7, 9]], np.uint8)
+    assert images.grey_bytes(grey) == bytes([5, 7]) and images.grey_bytes(grey, 1) == bytes([5])
+    for bad, n in ((grey, 3), (np.array([[1, 2, 3, 255]], np.uint8), None)):
+        with pytest.raises(WireError):
+            images.grey_bytes(bad, n)
