@@ -195,7 +195,7 @@ def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
     # rows that repeat a document repeat its lines
     met = words.repartition("sig").dropDuplicates(["x", "sig"]).join(points, "sig")
     place = F.array_position("prefix", F.col("token")).cast("int")
-    rows = met.where(place > 0).select("token", F.slice("prefix", 1, place - 1).alias("early"), "x", "sig", "sig2", "size", "at", "keys")
+    rows = met.where(place > 0).select("token", F.slice("prefix", 1, F.greatest(place - 1, F.lit(0))).alias("early"), "x", "sig", "sig2", "size", "at", "keys")
     a, b = rows.alias("a"), rows.alias("b")
     order = (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.sig") < F.col("b.sig")))
     left, right = ({c: F.col(f"{s}.{c}") for c in ("size", "sig", "sig2")} for s in "ab")

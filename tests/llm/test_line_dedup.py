@@ -65,3 +65,12 @@ def test_line_dedup_edges(spark):
     rows = spark.createDataFrame([(None, "a b", "", ""), (3, "a b", "", ""), (3, "a b", "", ""), (None, None, "", "")], SCHEMA)
     got = sorted((str(r.doc), str(r.line_no), r.kept, str(r.match_doc)) for r in line_dedup.line_dedup(rows).collect())
     assert got == [("3", "0", False, "None")] * 2 + [("None", "0", True, "None"), ("None", "None", True, "None")]
+
+
+def test_classes_that_share_a_signature(spark):
+    """Signatures that agree by chance must not hide a link or add a class that lacks the word."""
+    rows = [" ".join(f"p{j}" for j in range(30) if j != i % 30) + f" q{i}" for i in range(150)] * 2
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(rows)], SCHEMA)
+    got = {r.doc: (r.kept, r.links) for r in line_dedup.line_dedup(docs).collect()}
+    kept, links = slow(rows), slow_links(rows)
+    assert got == {i: (kept[i, 0], links[i, 0]) for i in range(len(rows))}
