@@ -103,26 +103,27 @@ def attributes(tag: str) -> dict[str, str]:
     return out
 
 
-def names_no_article(name: str) -> bool:
-    """Whether a whole class, id or role is such a word, or such words with parts that only describe a box."""
-    if name in MARKS:
-        return True
-    parts = [p for p in re.split(r"[-_:]+", name) if p and not p.isdecimal()]
-    return any(p in MARKS for p in parts) and all(p in MARKS or p in PARTS for p in parts)
+def names_no_article(name: str, inside: bool = False) -> bool:
+    """Whether a whole class, id or role is such a word, or such words with parts that only describe a box.
+
+    Inside an article a header is the article's own.
+    """
+    parts = [name] if name in MARKS else [p for p in re.split(r"[-_:]+", name) if p and not p.isdecimal()]
+    return any(p in MARKS and not (inside and p == "header") for p in parts) and all(p in MARKS or p in PARTS for p in parts)
 
 
 def _hidden(own: dict[str, str]) -> bool:
     return "hidden" in own and own["hidden"].lower() != "until-found" or own.get("aria-hidden", "").strip().lower() == "true"
 
 
-def _marked(own: dict[str, str]) -> tuple[str, bool]:
+def _marked(own: dict[str, str], inside: bool) -> tuple[str, bool]:
     """A step's label (its first class, id or role as written) and whether it names itself as no article."""
     label, bad = "", False
     for key, value in own.items():
         if key in ("class", "id", "role"):
             names = value.lower().split()
             label = label or (names[0] if names else "")
-            bad = bad or any(map(names_no_article, names))
+            bad = bad or any(names_no_article(n, inside) for n in names)
     return label, bad
 
 
@@ -221,13 +222,14 @@ def blocks(page: str | None) -> list[Block]:
         if name in VOID or t.endswith("/>") and (name not in BLOCK | RAW | {"a", "b", "i", "span"} or name in RAW and any(s[0] in ("svg", "math") for s in stack)):
             continue
         own = attributes(t) if "=" in t or "hidden" in t.lower() else {}
-        label, bad = _marked(own)
         above = stack[-1]
+        label, bad = _marked(own, above[3] > 0)
         role = own.get("role", "").lower().split()[:1]
         main = above[3] + (name in ("article", "main") or role in (["main"], ["article"]))
         whole = name in ("html", "body", "main")
         cuts = name in NEVER or name == "header" and not above[3] or _hidden(own) and not whole
-        bad = cuts or bad and not (whole or HEADING.match(name))
+        # What stands within a line of text is part of it, whatever its class.
+        bad = cuts or bad and name in BLOCK and not (whole or HEADING.match(name))
         articles = above[4]
         if main > above[3]:
             n_articles += 1

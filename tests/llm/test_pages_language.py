@@ -188,3 +188,37 @@ def test_spans_where_lower_case_is_longer(spark):
     found = language.identify(spark.createDataFrame([(1, text, None, None)], schema), model).first().found
     last = found.spans[-1]
     assert len(found.spans) >= 2 and last.lang == "de" and text[last.start : last.start + 3] == "das" and text[: last.end] == text.rstrip()
+
+
+PROSE = "The quick brown fox jumped over the lazy dog, and then it went home again. It was late, after all, and nobody minded."
+
+
+def test_header_and_inline_marks_inside_an_article():
+    lead = html_text.main_text(f'<article><div class="post-header"><h1>Title here</h1><p>A lead, short and good.</p></div><p>{PROSE}</p><p>{PROSE}</p></article>')
+    assert lead == "\n\n".join(["Title here", "A lead, short and good.", PROSE, PROSE])
+    line = html_text.main_text(f'<article><p>Before this <a class="share" href="#">linked word</a> after it, the text goes on, as it should.</p><p>{PROSE}</p></article>')
+    assert line.startswith("Before this linked word after it, the text goes on")
+
+
+def test_long_and_deep_pages():
+    text = html_text.main_text("<article>" + f"<p>{PROSE}</p>" * 20_000 + "</article>")
+    assert text == "\n\n".join([PROSE] * 20_000)
+    deep = html_text.main_text("".join(f"<div>{PROSE}" for _ in range(1500)))
+    assert deep.split("\n\n")[-1] == PROSE and len(deep) > 1000 * len(PROSE)
+
+
+def test_ratios_brute_force():
+    """Scores against the definition, worked out block by block."""
+    rnd = random.Random(11)
+    page = "".join(f"<{t} class=c{rnd.randrange(3)}>{' '.join(rnd.choice(['word', 'stop.', 'so,', 'on']) for _ in range(rnd.randint(1, 30)))}<a>{'link ' * rnd.randint(0, 3)}</a></{t}>" for t in (rnd.choice(["p", "div", "li"]) for _ in range(60)))
+    found = html_text.blocks(page)
+    chars, marks = [], []
+    for b in found:
+        same = [x for x in found if x.path == b.path]
+        chars.append(sum(max(0, len(x.text) - 2 * x.linked) for x in same) / len(same))
+        marks.append(sum(len(re.findall(r"[.,;:!?]", x.text)) for x in same) / len(same))
+    last = len(found) - 1
+    for i, score in enumerate(html_text.ratios(found)):
+        around = [max(i - 1, 0), i, min(i + 1, last)]
+        text, punct = (0.25 * x[around[0]] + 0.5 * x[around[1]] + 0.25 * x[around[2]] for x in (chars, marks))
+        assert abs(score - (text * (punct + 0.1)) ** 0.5) < 1e-9
