@@ -187,3 +187,16 @@ def advanced(seed: Column, steps: int) -> Column:
 def unit(draw: Column) -> Column:
     """A draw as a number from 0 to 1, by its upper 53 bits."""
     return F.shiftrightunsigned(draw, 11).cast("double") / 2.0**53
+
+
+def chunk_aad(domain: bytes, metadata: Column) -> Column:
+    """Associated data of a stream's encrypted chunks."""
+    return F.concat(F.lit(domain), unsigned(F.octet_length(metadata), 4), metadata)
+
+
+def sampled(n: Column, samples: Column) -> Column:
+    """So many evenly spaced numbers from 0 to below ``n``: all of them if they fit, the first alone for one sample or none."""
+    last = F.greatest(samples - 1, F.lit(1))
+    spaced = F.transform(F.sequence(F.lit(0), last), lambda k: F.floor(k.cast("bigint") * (n - 1) / last).cast("bigint"))
+    few = F.slice(F.sequence(F.lit(0).cast("bigint"), F.greatest(n, F.lit(1)).cast("bigint")), 1, F.greatest(n, F.lit(0)).cast("int"))
+    return F.when(n <= samples, few).when(samples <= 1, F.array(F.lit(0).cast("bigint"))).otherwise(spaced)

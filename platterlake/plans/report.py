@@ -82,4 +82,32 @@ def programme_json(found: DataFrame) -> DataFrame:
     return whole.select("path", F.to_json(F.struct("sample_rate", "channels", "total_samples", "tracks", "gaps")).alias("json"))
 
 
-__all__ = ["descriptor_json", "programme_json", "record_checks", "signing_coverage", "stream_checks", "stream_json", "tally"]
+def json_shape(text: Column) -> Column:
+    """struct<kind, members>: whether JSON is an object, an array or a scalar, and how many members it has; null if it is none."""
+    value = F.try_parse_json(text)
+    kind = F.schema_of_variant(value)
+    shape = F.when(F.startswith(kind, F.lit("OBJECT")), F.struct(F.lit("object").alias("kind"), F.size(F.json_object_keys(text)).alias("members")))
+    shape = shape.when(F.startswith(kind, F.lit("ARRAY")), F.struct(F.lit("array").alias("kind"), F.json_array_length(text).alias("members")))
+    return F.when(value.isNotNull(), shape.otherwise(F.struct(F.lit("scalar").alias("kind"), F.lit(0).alias("members"))))
+
+
+def manifest(found: DataFrame, described: DataFrame) -> DataFrame:
+    """(path, section, label, value, ok) of every record: what its descriptor and stream say, and the checks, as rows."""
+    text = lambda col: F.col(col).cast("string")
+    rows = lambda section, names: [F.struct(F.lit(section).alias("section"), F.lit(n).alias("label"), text(n).alias("value")) for n in names]
+    structural = rows("RECORD", ("stream_len", "record_profile", "payload_encoding", "stream_byte_length")) + rows("IDENTITY", ("title", "artist", "label", "created_at", "copyright_year", "copyright_holder", "upc"))
+    said = described.where("error is null").select("path", F.explode(F.array(*structural)).alias("r"))
+    counted = streams.summary(found).where("error is null").select("path", F.explode(F.array(*rows("AUDIO", ("n_descriptors", "n_entries", "n_tracks", "n_chunks", "payload_bytes", "total_samples")))).alias("r"))
+    timed = streams.regions(found).select("path", F.struct(F.lit("PROGRAMME").alias("section"), F.concat_ws(" ", text("ord"), F.col("kind"), text("number")).alias("label"), F.concat_ws("-", text("start_sample"), text("end_sample")).alias("value")).alias("r"))
+    plain = said.unionByName(counted).unionByName(timed).select("path", "r.*", F.lit(None).cast("boolean").alias("ok")).where("value is not null")
+    checked = stream_checks(found).unionByName(record_checks(found, described)).select("path", F.lit("CHECKS").alias("section"), "label", text("ok").alias("value"), "ok")
+    return plain.unionByName(checked)
+
+
+def manifest_json(rows: DataFrame) -> DataFrame:
+    """(path, json): a record's manifest rows as one document, with how many checks passed and failed."""
+    each = F.array_sort(F.collect_list(F.struct("section", "label", "value", "ok")))
+    return rows.groupBy("path").agg(F.count_if("ok").alias("checks_passed"), F.count_if(~F.col("ok")).alias("checks_failed"), each.alias("rows")).select("path", F.to_json(F.struct("checks_passed", "checks_failed", "rows")).alias("json"))
+
+
+__all__ = ["descriptor_json", "json_shape", "manifest", "manifest_json", "programme_json", "record_checks", "signing_coverage", "stream_checks", "stream_json", "tally"]

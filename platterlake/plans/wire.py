@@ -261,6 +261,66 @@ def segment_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.segment_budget(tracks, ["o_custkey"], ["o_orderkey"], "samples", "gap", 1000, 640)
 
 
+_RELEASE, _DEFERRED = b"identity-1", b"deferred-1"
+
+
+def descriptor_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what a release signature and a deferred attestation cover, for every descriptor that parses."""
+    found = descriptors.descriptors(part_descriptors(spark, sf_dir)).where("error is null")
+    return found.select(F.col("path").cast("bigint").alias("p_partkey"), F.sha2(descriptors.identity(_RELEASE), 256).alias("identity_sha256"), F.sha2(descriptors.deferred_identity(_DEFERRED, _RELEASE), 256).alias("deferred_sha256"))
+
+
+def signature_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's descriptor, signed by key k0 to k4 in turn, or not at all, against a table of keys."""
+    n = F.col("s_suppkey") % 6
+    envelope = F.concat(_u(2, 1), F.unhex(F.sha2(F.encode("s_name", "UTF-8"), 256)), _u(2, 2), F.encode(F.concat(F.lit("k"), n.cast("string")), "UTF-8"), F.unhex(F.repeat(F.lit("5A"), 64)))
+    parts = [_segment(2, _u(100, 4)), _segment(4, _u(1, 1)), _segment(7, _u(0, 1)), F.when(n == 5, _hex("")).otherwise(_segment(16, envelope))]
+    made = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), _descriptor(parts, F.when(n == 5, 4).otherwise(5), F.lit(False)).alias("content"))
+    keys = spark.createDataFrame([(bytearray(b"k0"), bytearray(32), True), (bytearray(b"k1"), bytearray(32), False), (bytearray(b"k2"), bytearray(31), True), (bytearray(b"k3"), None, True)], "key_id binary, public_key binary, trusted boolean")
+    found = descriptors.verification(descriptors.descriptors(made), keys)
+    return found.select(F.col("path").cast("bigint").alias("s_suppkey"), "role", F.decode("key_id", "UTF-8").alias("key_name"), "status")
+
+
+def silent_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents of silent grooves: every third claimed; some with radii the wrong way round, claims too long or without a tag."""
+    o = F.col("o_orderkey")
+    outer, inner, room = o % 200 + 100, o % 7 * 50, o % 1000
+    free = F.concat(_u(outer, 2), _u(inner, 2), _u(o % 5000, 4), _u(o % 3, 1), _u(room, 4))
+    claim = F.concat(F.when(o % 4 == 0, _u(0, 4)).otherwise(_bytes("TAG1")), _u(o % 1500, 4))
+    data = F.when(o % 3 == 0, F.concat(free, claim)).when(o % 11 == 0, F.substring(free, 1, 12)).otherwise(free)
+    found = _table(spark, sf_dir, "orders").select("o_orderkey", descriptors.silent_extent(data).alias("e"))
+    return found.select("o_orderkey", *(F.col(f"e.{f}").alias(f) for f in ("outer", "inner", "pixels", "encoding", "bytes", "claimed")), F.decode("e.claim", "UTF-8").alias("claim"))
+
+
+def descriptor_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payload descriptors of neighbouring lines of an order: the first field in which they differ."""
+    kind = F.struct(F.lit("ECDC").alias("container"), F.col("l_returnflag").alias("codec"), F.lit(48_000).alias("sample_rate"), (F.col("l_linenumber") % 2).alias("channels"), F.lit(9).alias("block_samples"), F.lit(0).alias("output_offset_samples"), F.col("l_quantity").cast("bigint").alias("output_samples"), F.nullif(F.col("l_linestatus"), F.lit("O")).alias("codec_metadata"))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", kind.alias("kind")).alias("line"))
+    orders = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))  # seven lines at most
+    pairs = F.transform(F.sequence(F.lit(2), F.size("lines")), lambda i: F.struct(F.element_at("lines", i - 1)["kind"].alias("a"), F.element_at("lines", i)["kind"].alias("b")))
+    each = orders.where(F.size("lines") > 1).select("l_orderkey", F.posexplode(pairs).alias("idx", "p"))
+    return each.select("l_orderkey", "idx", descriptors.differing(F.col("p.a"), F.col("p.b")).alias("field"))
+
+
+def json_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of each event's properties as JSON, and how many fields or items it has at the top."""
+    return _table(spark, sf_dir, "events").select("event_id", report.json_shape(F.col("props")).alias("s")).select("event_id", "s.kind", "s.members")
+
+
+def palette_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evenly spaced symbols of palettes of as many colours as a part is large."""
+    part = _table(spark, sf_dir, "part").select("p_partkey", c.sampled(F.col("p_size"), (F.col("p_partkey") % 9).cast("int")).alias("s"))
+    return part.select("p_partkey", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("symbols"))
+
+
+def chunk_aads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What binds a stream's encrypted chunks to its metadata: a digest of the associated data of every order's stream."""
+    made = order_streams(spark, sf_dir)
+    size = c.u32be(F.col("content"), 4)
+    meta = F.substring(F.col("content"), F.lit(9), size.cast("int"))
+    return made.select(_key(made), F.octet_length(meta).cast("bigint").alias("n"), F.octet_length(c.chunk_aad(b"aad-1", meta)).cast("bigint").alias("aad_bytes"))
+
+
 _P = geometry.MILLIMETRES
 _STREAMS = """l AS (SELECT l_orderkey AS o, l_linenumber, CAST(l_quantity AS BIGINT) AS len, count(*) OVER (PARTITION BY l_orderkey) AS n,
         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(l_quantity AS BIGINT)) - 1 AS idx FROM lineitem),
@@ -292,8 +352,41 @@ def _draw(k: int) -> str:
         y{k} AS (SELECT o, {second} AS m FROM w{k}), d{k} AS (SELECT o, xor(m, m >> 31) AS draw FROM y{k})"""
 
 
+def _tlv(tag: int, value: str | None) -> str:
+    """Hexadecimal of a tag, a length and a value that is itself hexadecimal in SQL."""
+    return f"'{tag:02x}00000000'" if value is None else f"'{tag:02x}' || lpad(to_hex(length({value}) // 2), 8, '0') || {value}"
+
+
+_IDENTITY = " || ".join([
+    f"'{_RELEASE.hex()}0401' || '3fd999999999999a'",
+    _tlv(1, "hex(encode(['single45', 'lp', 'ten', 'single45vintage'][p_partkey % 4 + 1]))"),
+    "lpad(to_hex(CAST(p_size * 10 AS BIGINT)), 16, '0')",
+    _tlv(2, "hex(encode('rgb'))"), _tlv(3, "hex(encode(p_name))"), _tlv(4, "hex(encode(p_brand))"),
+    *(_tlv(t, None) for t in range(5, 10)),
+    _tlv(10, "lpad(to_hex(p_partkey * 1000), 16, '0')"), _tlv(11, None), _tlv(12, None),
+    _tlv(13, "lpad(to_hex(CAST(p_size + 1900 AS BIGINT)), 4, '0')"), _tlv(14, None), _tlv(15, None),
+])
+
 ORACLE_SQL = {
-    "stream_errors": f"WITH {_STREAMS} SELECT o AS l_orderkey, error FROM e",
+    "descriptor_identities": f"""WITH i AS (SELECT p_partkey, sha256(unhex({_IDENTITY})) AS s FROM part WHERE p_partkey % 13 > 2)
+        SELECT p_partkey, s AS identity_sha256, sha256(unhex('{_DEFERRED.hex()}' || s || {_tlv(1, None)} || {_tlv(2, "'0000'")} || {_tlv(3, None)})) AS deferred_sha256 FROM i""",
+    "signature_states": """SELECT s_suppkey, 'release' AS role, CASE WHEN s_suppkey % 6 < 5 THEN 'k' || s_suppkey % 6 END AS key_name,
+        ['Invalid', 'UntrustedKey', 'Unsupported', 'Unsupported', 'UntrustedKey', 'Missing'][s_suppkey % 6 + 1] AS status FROM supplier""",
+    "silent_extents": """WITH d AS (SELECT o_orderkey, o_orderkey AS o, o_orderkey % 3 = 0 AS claimed_, CAST(o_orderkey % 200 + 100 AS BIGINT) AS outer_, CAST(o_orderkey % 7 * 50 AS BIGINT) AS inner_ FROM orders),
+        g AS (SELECT *, inner_ < outer_ AND (claimed_ OR o % 11 <> 0) AND (NOT claimed_ OR o % 1500 <= o % 1000 AND o % 4 <> 0) AS good FROM d)
+        SELECT o_orderkey, CASE WHEN good THEN outer_ END AS outer, CASE WHEN good THEN inner_ END AS inner, CASE WHEN good THEN o % 5000 END AS pixels, CASE WHEN good THEN CAST(o % 3 AS INT) END AS encoding,
+            CASE WHEN good THEN o % 1000 END AS bytes, CASE WHEN good THEN CASE WHEN claimed_ THEN o % 1500 ELSE 0 END END AS claimed, CASE WHEN good AND claimed_ THEN 'TAG1' END AS claim FROM g""",
+    "descriptor_differences": """WITH l AS (SELECT *, row_number() OVER w - 2 AS idx, lag(l_returnflag) OVER w AS codec, lag(l_linenumber) OVER w % 2 AS channels, CAST(lag(l_quantity) OVER w AS BIGINT) AS samples, lag(nullif(l_linestatus, 'O')) OVER w AS meta
+            FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_quantity))
+        SELECT l_orderkey, CAST(idx AS INT) AS idx, CASE WHEN codec IS DISTINCT FROM l_returnflag THEN 'codec' WHEN channels IS DISTINCT FROM l_linenumber % 2 THEN 'channels' WHEN samples IS DISTINCT FROM CAST(l_quantity AS BIGINT) THEN 'output_samples'
+            WHEN meta IS DISTINCT FROM nullif(l_linestatus, 'O') THEN 'codec_metadata' END AS field FROM l WHERE idx >= 0""",
+    "json_shapes": """SELECT event_id, CASE WHEN json_valid(props) THEN CASE json_type(props) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'scalar' END END AS kind,
+        CASE WHEN json_valid(props) THEN CASE json_type(props) WHEN 'OBJECT' THEN CAST(len(json_keys(props)) AS INT) WHEN 'ARRAY' THEN CAST(json_array_length(props) AS INT) ELSE 0 END END AS members FROM events""",
+    "palette_samples": """WITH p AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS n, p_partkey % 9 AS k FROM part)
+        SELECT p_partkey, array_to_string(CASE WHEN n <= k THEN range(0, n) WHEN k <= 1 THEN [0] ELSE list_transform(range(0, k), lambda i: i * (n - 1) // (k - 1)) END, ',') AS symbols FROM p""",
+    "chunk_aads": f"""WITH {_STREAMS} SELECT o AS l_orderkey, CAST(head - 8 + CASE WHEN s = 2 THEN 1 ELSE 0 END + CASE WHEN s = 6 THEN n_tracks * (1 - strlen('Side ' || o || '-1')) ELSE 0 END AS BIGINT) AS n,
+        CAST(head - 8 + CASE WHEN s = 2 THEN 1 ELSE 0 END + CASE WHEN s = 6 THEN n_tracks * (1 - strlen('Side ' || o || '-1')) ELSE 0 END + 9 AS BIGINT) AS aad_bytes FROM e JOIN h USING (o)""",
+    "stream_errors": f"WITH {_STREAMS} SELECT o AS l_orderkey, CASE WHEN s = 3 AND total = 1 THEN 'chunk at byte ' || head || ' is empty' ELSE error END AS error FROM e JOIN h USING (o)",
     "stream_entries": f"""WITH {_STREAMS} SELECT o AS l_orderkey, CAST(idx AS INT) AS idx, len AS byte_length, pos AS byte_offset, CAST(idx >= p AS INT) AS descriptor_idx,
         CASE WHEN idx < p THEN samples END AS samples, sha256(repeat(chr(CAST(97 + l_linenumber % 26 AS INT)), len)) AS sha256 FROM t JOIN e USING (o) WHERE error IS NULL""",
     "stream_chunks": f"WITH {_STREAMS} SELECT o AS l_orderkey, CAST(idx AS INT) AS idx, body - frame AS start, body AS payload_start, body + b AS payload_end, body + b AS \"end\", true AS crc_ok FROM g",
@@ -359,6 +452,6 @@ ORACLE_SQL = {
         SELECT o_custkey, o_orderkey, track_segments, gap_samples, gap_segments, CAST(coalesce(sum(track_segments + gap_segments) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_segment FROM g""",
 }
 
-QUERIES = {f.__name__: f for f in (stream_errors, stream_entries, stream_chunks, stream_regions, stream_summary, stream_chunks_across, stream_checks, descriptor_scan, package_scan, varuint_scan, typed_ids, track_codes, profile_lookup, pixel_places, seeded_draws, entry_digests, gap_sizes, segment_budget)}
+QUERIES = {f.__name__: f for f in (stream_errors, stream_entries, stream_chunks, stream_regions, stream_summary, stream_chunks_across, stream_checks, descriptor_scan, package_scan, varuint_scan, typed_ids, track_codes, profile_lookup, pixel_places, seeded_draws, entry_digests, gap_sizes, segment_budget, descriptor_identities, signature_states, silent_extents, descriptor_differences, json_shapes, palette_samples, chunk_aads)}
 
 __all__ = ["ORACLE_SQL", "QUERIES", "order_streams", "part_descriptors"]

@@ -217,7 +217,7 @@ def descriptors(files: DataFrame, path: str = "path", content: str = "content")
 
 
 def _segment(kind: int) -> Column:
-    return F.element_at(F.filter("segments", lambda s: s["type"] == kind), 1)["payload"]
+    return F.try_element_at(F.filter("segments", lambda s: s["type"] == kind), F.lit(1))["payload"]
 
 
 def _tagged(tag: int, value: Column) -> Column:

@@ -22,6 +22,12 @@ def test_checks_and_json(spark):
     one = json.loads(report.stream_json(found).where("path = 'f0'").first()["json"])
     assert one["tracks"][0]["title"] == "One" and len(one["entries"][0]["sha256"]) == 64
     assert json.loads(report.descriptor_json(described).where("path = 'f0'").first()["json"])["title"] == "T"
+    rows = report.manifest(found, described).cache()
+    values = {(r.section, r.label): r.value for r in rows.where("path = 'f0'").collect()}
+    assert (values["AUDIO", "n_entries"], values["IDENTITY", "title"], values["PROGRAMME", "2 gap 1"], values["CHECKS", "stream parses"]) == ("5", "T", "128000-192000", "true")
+    assert {s for (s, _) in values} == {"RECORD", "IDENTITY", "AUDIO", "PROGRAMME", "CHECKS"}
+    whole = json.loads(report.manifest_json(rows).where("path = 'f0'").first()["json"])
+    assert whole["checks_passed"] == 10 and whole["checks_failed"] == 0 and len(whole["rows"]) == len(values)
     regions = json.loads(report.programme_json(found).where("path = 'f0'").first()["json"])
     assert [r["ord"] for r in regions["tracks"]] == [1, 3] and [r["ord"] for r in regions["gaps"]] == [2]
     assert (regions["sample_rate"], regions["total_samples"], regions["gaps"][0]["start_ms"]) == (48_000, 320_000, 128_000 / 48)
