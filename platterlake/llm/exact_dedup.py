@@ -152,6 +152,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
     text. A null id never wins over another; a group that has only null ids keeps
     them all. Rows that repeat an id and its text are one document: both carry
     the same flags. An empty table gives an empty result.
+    Ids are integers, or text that is one; other columns are not looked at.
     """
     rows = settle(digest_rows(docs, id_col, text_col, normalise))
     if history is None:

@@ -21,16 +21,19 @@ def _count(spans: str, kind: str) -> Column:
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; empty for a null page or one without an article."""
     found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fate of every document among those of equal text; null counts as empty."""
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document; null has no words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.verdict(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
     items = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
@@ -38,39 +41,46 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that stay, and what they match; null has no lines."""
     found = line_dedup.by_document(line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select(F.col("doc").alias("doc_id"), "n_lines", "n_kept", "n_links", F.sha2(F.array_join(F.transform("kept_lines", lambda i: i.cast("string")), ","), 256).alias("kept_sha256"), "match_docs")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of what they decode to; null counts as empty."""
     found = bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.public_files())
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", "exact")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from its text; ``und`` for null or no letter."""
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs.select("doc_id", "text"), language.train(docs))
     return found.select("row.doc_id", language.held_out("row.doc_id").alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document; null counts as empty."""
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [_count("base_spans", k) for k in pii.BASE]
     return found.select("row.doc_id", *counts, F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; null counts as empty."""
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [_count("base_spans", r.kind) for r in secrets.BASE]
     return found.select("row.doc_id", *counts, F.sha2(secrets.listed(F.col("base_spans")), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null has no words."""
     found = simhash.near_dedup(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by the law of bytes; null has no bytes."""
     found = shards.shard(table(spark, sf_dir, "documents"), 24)
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -151,6 +151,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     its own included. A null text counts as one without words: fingerprint zero,
     which links like any other. Null ids never name a component unless it has no
     other. Repeated rows stay and agree. An empty table gives an empty result.
+    Ids are integers, or text that is one; other columns are not looked at.
     """
     rows = settle(fingerprints(docs, id_col, text_col))
     classes = settle(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
