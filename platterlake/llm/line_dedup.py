@@ -15,9 +15,10 @@ join is done twice over:
    signatures differ in bits). This is a semi-join: it makes no pairs.
 2. The words of the candidates' lines are fetched (all lines are scanned once more;
    a bitmap of fixed size, broadcast, keeps most others out of the shuffle, and the
-   join decides), and the candidate rows are joined by prefix word again, now with
-   the words in them, so that similarity is verified where two classes meet and is
-   counted there. No pair is stored or shuffled.
+   join decides). The candidates of a prefix word are cut into tiles of bounded size,
+   and tiles of one word are joined: similarity is verified where two classes meet,
+   and only a class's number of matches and its earliest one leave the tile. No pair
+   is stored, shuffled or made a row.
 
 Two classes that share several prefix words are matched at the rarest one, before
 which their prefixes have nothing in common.
@@ -44,6 +45,8 @@ _PART = 4096
 BITMAP_BITS = 1 << 24
 #: Lines of so many words have the second half of the signature.
 LONG_LINE = 80
+#: Words of the lines of one tile, about.
+TILE_WORDS = 1 << 16
 _KEY_BITS = 56
 
 
@@ -119,7 +122,7 @@ def _first() -> Column:
     return F.try_element_at("prefix", F.lit(1))
 
 
-def _near(a: dict[str, Column], b: dict[str, Column]) -> Column:
+def _near(a: Column | dict[str, Column], b: Column | dict[str, Column]) -> Column:
     """Whether two classes may match by their sizes and signatures."""
     num, den = THRESHOLD
     both = a["size"] + b["size"]
@@ -195,15 +198,28 @@ def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
     # rows that repeat a document repeat its lines
     met = words.repartition("sig").dropDuplicates(["x", "sig"]).join(points, "sig")
     place = F.array_position("prefix", F.col("token")).cast("int")
-    rows = met.where(place > 0).select("token", F.slice("prefix", 1, F.greatest(place - 1, F.lit(0))).alias("early"), "x", "sig", "sig2", "size", "at", "keys")
-    a, b = rows.alias("a"), rows.alias("b")
-    order = (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.sig") < F.col("b.sig")))
-    left, right = ({c: F.col(f"{s}.{c}") for c in ("size", "sig", "sig2")} for s in "ab")
-    rarest = ~F.arrays_overlap("a.early", "b.early")
-    similar = (num + den) * F.size(F.array_intersect("a.keys", "b.keys")) >= num * (left["size"] + right["size"])
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & order & _near(left, right) & rarest & similar)
-    side = lambda s, t: F.struct(F.col(f"{s}.x").alias("x"), F.col(f"{s}.sig").alias("sig"), F.col(f"{s}.at").alias("at"), F.when(F.col(f"{t}.at") < F.col(f"{s}.at"), F.col(f"{t}.at")).alias("earlier"))
-    return pairs.select(F.explode(F.array(side("a", "b"), side("b", "a"))).alias("e")).groupBy("e.x", "e.sig").agg(F.min("e.at").alias("at"), F.count(F.lit(1)).alias("links"), F.min("e.earlier").alias("earlier"))
+    rows = met.where(place > 0).select("token", F.struct("x", "sig", "sig2", "size", "at", F.slice("prefix", 1, F.greatest(place - 1, F.lit(0))).alias("early"), "keys").alias("row"))
+    parts = rows.groupBy("token").agg(F.ceil(F.sum("row.size") / TILE_WORDS).alias("parts"))
+    part = F.pmod(F.xxhash64("row.x", "row.sig"), F.col("parts"))
+    tiles = rows.join(parts, "token").groupBy("token", part.alias("part")).agg(F.collect_list("row").alias("rows"))
+    both = tiles.alias("a").join(tiles.alias("b"), F.col("a.token") == F.col("b.token")).select(F.col("a.rows").alias("left"), F.col("b.rows").alias("right"))
+
+    def matched(a: Column) -> Column:
+        """How many rows of the right tile match a row of the left one, and the earliest place before its own."""
+
+        def one(s: Column, b: Column) -> Column:
+            similar = (num + den) * F.size(F.array_intersect(a["keys"], b["keys"])) >= num * (a["size"] + b["size"])
+            other = (a["x"] != b["x"]) | (a["sig"] != b["sig"])
+            match = other & _near(a, b) & ~F.arrays_overlap(a["early"], b["early"]) & similar
+            earlier = F.when(b["at"] < a["at"], F.least(s["earlier"], b["at"])).otherwise(s["earlier"])
+            return F.when(match, F.struct((s["n"] + 1).alias("n"), earlier.alias("earlier"))).otherwise(s)
+
+        zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast(place_type).alias("earlier"))
+        return F.struct(a["x"].alias("x"), a["sig"].alias("sig"), a["at"].alias("at"), F.aggregate("right", zero, one).alias("met"))
+
+    place_type = found.schema["at"].dataType
+    each = both.select(F.explode(F.filter(F.transform("left", matched), lambda m: m["met"]["n"] > 0)).alias("e"))
+    return each.groupBy("e.x", "e.sig").agg(F.min("e.at").alias("at"), F.sum("e.met.n").alias("links"), F.min("e.met.earlier").alias("earlier"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
