@@ -86,6 +86,13 @@ def turns(inner: Column, outer: Column, pitch: Column) -> Column:
     return (outer - inner) / (2 * math.pi * pitch)
 
 
+def overridden(label: Column, clearance: Column, outer: Column, least_clearance: int) -> Column:
+    """struct<label_radius, inner_radius, outer_radius> of a profile's radii or what a caller sets instead; null if the bands do not fit."""
+    inner = label + clearance
+    good = (label >= 1) & (clearance >= least_clearance) & (inner < outer)
+    return F.when(good, F.struct(label.cast("int").alias("label_radius"), inner.cast("int").alias("inner_radius"), outer.cast("int").alias("outer_radius")))
+
+
 def turn_width(pitch: Column) -> Column:
     """Pixels between neighbouring turns."""
     return 2 * math.pi * pitch

@@ -313,6 +313,23 @@ def palette_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("symbols"))
 
 
+def overridden_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles with the label, clearance or outer radius that a part sets, where the bands still fit."""
+    k = F.col("p_partkey")
+    part = _table(spark, sf_dir, "part").select("p_partkey", (k % 4).cast("int").alias("code"), F.when(k % 3 == 0, F.col("p_size") * 6 - 12).alias("label"), F.when(k % 5 == 0, k % 40).alias("clearance"), F.when(k % 7 == 0, F.col("p_size") + 200).alias("outer"))
+    both = part.join(F.broadcast(geometry.profiles(spark)), "code")  # four rows
+    found = geometry.overridden(F.coalesce("label", "label_radius"), F.coalesce("clearance", F.col("inner_radius") - F.col("label_radius")), F.coalesce("outer", "outer_radius"), 12)
+    return both.select("p_partkey", found.alias("g")).select("p_partkey", "g.label_radius", "g.inner_radius", "g.outer_radius")
+
+
+def codec_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codec metadata as compact JSON in the order of its wire names, and what the stream's rule says of it."""
+    k = F.col("p_partkey")
+    fields = {"m": F.col("p_brand"), "nc": F.col("p_size"), "lm": k % 2 == 0, "fp": k, "mr": k % 7, "acv": k % 3, "fl": k * 2}
+    text = F.to_json(F.struct(*(v.alias(n) for n, v in fields.items())))
+    return _table(spark, sf_dir, "part").select("p_partkey", text.alias("json"), report.json_shape(text)["members"].alias("members"))
+
+
 def chunk_aads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What binds a stream's encrypted chunks to its metadata: a digest of the associated data of every order's stream."""
     made = order_streams(spark, sf_dir)
@@ -384,6 +401,14 @@ ORACLE_SQL = {
         CASE WHEN json_valid(props) THEN CASE json_type(props) WHEN 'OBJECT' THEN CAST(len(json_keys(props)) AS INT) WHEN 'ARRAY' THEN CAST(json_array_length(props) AS INT) ELSE 0 END END AS members FROM events""",
     "palette_samples": """WITH p AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS n, p_partkey % 9 AS k FROM part)
         SELECT p_partkey, array_to_string(CASE WHEN n <= k THEN range(0, n) WHEN k <= 1 THEN [0] ELSE list_transform(range(0, k), lambda i: i * (n - 1) // (k - 1)) END, ',') AS symbols FROM p""",
+    "overridden_bands": "WITH m(code, finished, outside, inside, margin, label) AS (VALUES "
+    + ", ".join(f"({geometry.CODES[k]}, {v[0]}::DOUBLE, {v[2]}::DOUBLE, {v[3]}::DOUBLE, {v[1]}::DOUBLE, {v[4]}::DOUBLE)" for k, v in _P.items())
+    + """), s AS (SELECT *, 287 / (finished / 2) AS scale FROM m),
+        q AS (SELECT code, CAST(round(label / 2 * scale) AS INT) AS l, CAST(round(inside / 2 * scale) AS INT) AS i, CAST(286 - round(margin / 2 * scale) + round(outside / 2 * scale) AS INT) AS o FROM s),
+        p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size * 6 - 12 ELSE l END AS label, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 40 ELSE i - l END AS clearance, CASE WHEN p_partkey % 7 = 0 THEN p_size + 200 ELSE o END AS outer_ FROM part JOIN q ON q.code = p_partkey % 4),
+        g AS (SELECT *, label >= 1 AND clearance >= 12 AND label + clearance < outer_ AS good FROM p)
+        SELECT p_partkey, CASE WHEN good THEN CAST(label AS INT) END AS label_radius, CASE WHEN good THEN CAST(label + clearance AS INT) END AS inner_radius, CASE WHEN good THEN CAST(outer_ AS INT) END AS outer_radius FROM g""",
+    "codec_metadata": """SELECT p_partkey, '{"m":"' || p_brand || '","nc":' || p_size || ',"lm":' || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || ',"fp":' || p_partkey || ',"mr":' || p_partkey % 7 || ',"acv":' || p_partkey % 3 || ',"fl":' || p_partkey * 2 || '}' AS json, 7 AS members FROM part""",
     "chunk_aads": f"""WITH {_STREAMS} SELECT o AS l_orderkey, CAST(head - 8 + CASE WHEN s = 2 THEN 1 ELSE 0 END + CASE WHEN s = 6 THEN n_tracks * (1 - strlen('Side ' || o || '-1')) ELSE 0 END AS BIGINT) AS n,
         CAST(head - 8 + CASE WHEN s = 2 THEN 1 ELSE 0 END + CASE WHEN s = 6 THEN n_tracks * (1 - strlen('Side ' || o || '-1')) ELSE 0 END + 9 AS BIGINT) AS aad_bytes FROM e JOIN h USING (o)""",
     "stream_errors": f"WITH {_STREAMS} SELECT o AS l_orderkey, CASE WHEN s = 3 AND total = 1 THEN 'chunk at byte ' || head || ' is empty' ELSE error END AS error FROM e JOIN h USING (o)",
@@ -452,6 +477,6 @@ ORACLE_SQL = {
         SELECT o_custkey, o_orderkey, track_segments, gap_samples, gap_segments, CAST(coalesce(sum(track_segments + gap_segments) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_segment FROM g""",
 }
 
-QUERIES = {f.__name__: f for f in (stream_errors, stream_entries, stream_chunks, stream_regions, stream_summary, stream_chunks_across, stream_checks, descriptor_scan, package_scan, varuint_scan, typed_ids, track_codes, profile_lookup, pixel_places, seeded_draws, entry_digests, gap_sizes, segment_budget, descriptor_identities, signature_states, silent_extents, descriptor_differences, json_shapes, palette_samples, chunk_aads)}
+QUERIES = {f.__name__: f for f in (stream_errors, stream_entries, stream_chunks, stream_regions, stream_summary, stream_chunks_across, stream_checks, descriptor_scan, package_scan, varuint_scan, typed_ids, track_codes, profile_lookup, pixel_places, seeded_draws, entry_digests, gap_sizes, segment_budget, descriptor_identities, signature_states, silent_extents, descriptor_differences, json_shapes, palette_samples, overridden_bands, codec_metadata, chunk_aads)}
 
 __all__ = ["ORACLE_SQL", "QUERIES", "order_streams", "part_descriptors"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import geometry, palettes, wheel
 from ..functions.wire import WireError
-from . import descriptors
+from . import descriptors, streams
 
 PNG_MAGIC, RAW_HEADER = b"\x89PNG\r\n\x1a\n", 16
 #: Samples of a pixel by PNG colour type.
@@ -164,6 +165,33 @@ def grey_bytes(rgba: np.ndarray, length: int | None = None) -> bytes:
     return shown[:length, 0].tobytes()
 
 
+def block_png(data: bytes) -> bytes:
+    """Bytes as a square PNG of even side, three a pixel; what is left of the square is clear."""
+    px = np.zeros((-(-len(data) // 3), 4), np.uint8)
+    px[:, :3] = np.frombuffer(data + bytes(-len(data) % 3), np.uint8).reshape(-1, 3)
+    px[:, 3] = 255
+    side = max(2, math.isqrt(max(len(px) - 1, 0)) + 1)
+    side += side % 2
+    image = np.zeros((side * side, 4), np.uint8)
+    image[: len(px)] = px
+    rows = np.concatenate((np.zeros((side, 1), np.uint8), image.reshape(side, side * 4)), axis=1)
+    part = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    return PNG_MAGIC + part(b"IHDR", side.to_bytes(4, "big") * 2 + bytes([8, 6, 0, 0, 0])) + part(b"IDAT", zlib.compress(rows.tobytes())) + part(b"IEND", b"")
+
+
+def payload_blocks(files: DataFrame, path: str = "path", content: str = "content", raw_magic: bytes | None = None, profile: str | None = None) -> DataFrame:
+    """(path, content, error): the payload of each record's stream as a plain image, an encrypted one's left out."""
+
+    def block(data: bytes) -> bytes:
+        stream = stream_bytes(data, raw_magic, profile)
+        found = streams.parse(stream)
+        if found["encrypted"]:
+            raise WireError("stream is encrypted")
+        return block_png(b"".join(stream[c["payload_start"] : c["payload_end"]] for c in found["chunks"]))
+
+    return _extracted(files, path, content, block)
+
+
 def direct_bytes(image: np.ndarray, band: tuple[int, ...], length: int) -> bytes:
     """Payload of the direct encoding: three bytes a pixel up to the first clear one."""
     data = lifted(image, band)[:, :3].tobytes()

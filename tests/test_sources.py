@@ -331,3 +331,15 @@ def test_clear_colour_and_grey_bytes():
     for bad, n in ((grey, 3), (np.array([[1, 2, 3, 255]], np.uint8), None)):
         with pytest.raises(WireError):
             images.grey_bytes(bad, n)
+
+
+def test_payload_as_an_image(spark):
+    for n in (0, 1, 12, 13, 300):
+        data = bytes(range(256)) * 2
+        image = images.png_pixels(images.block_png(data[:n]))
+        assert images.direct_bytes(image, tuple(range(image.shape[0] ** 2)), n) == data[:n]
+        assert image.shape[0] == image.shape[1] and image.shape[0] % 2 == 0 and (image[..., 3] > 0).sum() == -(-n // 3)
+    s = stream()
+    direct = lambda d: np.frombuffer(d + bytes(-len(d) % 3), np.uint8).reshape(-1, 3)
+    row = images.payload_blocks(files(spark, drawn(s, (), direct))).first()
+    assert images.png_pixels(bytes(row.content))[..., :3].tobytes()[:20] == bytes(range(20))
