@@ -36,7 +36,7 @@ CHUNK_BITS = 10
 #: No chunk is shorter (bytes), so runs of one character do not fall apart.
 CHUNK_LEAST = 256
 #: Text (characters) whose ids a worker keeps.
-CACHE_CHARS = 16_000_000
+CACHE_CHARS = 4_000_000
 _GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(29)).astype(np.uint32)
 _EDGE = re.compile(r"(?<=[!-~])[ \n]")
 #: Letters beyond U+024F, special tokens and blanks other than space and newline go to the slower library.

@@ -40,9 +40,9 @@ ODD_SHARE = 0.001
 #: Fewer labelled texts than this say nothing about the least fit.
 LEAST_ROWS = 30
 #: Words of texts that go through Viterbi together.
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 250_000
 #: Words whose scores a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 UNKNOWN = "und"
 # First code points of script ranges, and their names.
 _RANGES = ((0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3130, "hangul"), (0x3190, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"))
