@@ -133,7 +133,7 @@ def _near(a: Column | dict[str, Column], b: Column | dict[str, Column]) -> Colum
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """(token, sig) of the prefix words at which a class with that signature has another class to be compared with.
+    """(token, sig, size) of the prefix words at which a class of that signature and size has another class to be compared with.
 
     The positional filter takes a common word for the rarest common one: what is
     before it then adds nothing to the overlap.
@@ -157,10 +157,10 @@ def candidates(found: DataFrame) -> DataFrame:
     position = (num + den) * F.least(a["size"] - a["pos"], b["size"] - b["pos"]) >= num * (a["size"] + b["size"])
     other = (a["sig"] != b["sig"]) | (a["names"] != b["names"])
     pairs = rows.alias("a").join(rows.alias("b"), (a["token"] == b["token"]) & meet & position & _near(a, b) & other, "left_semi")
-    met = pairs.select(F.shiftright("words", 32).cast("int").alias("token"), "sig").distinct()
+    met = pairs.select(F.shiftright("words", 32).cast("int").alias("token"), "sig", F.col("names").bitwiseAND(low).cast("int").alias("size")).distinct()
     # Classes that these columns can't tell apart are all compared.
     alike = named.groupBy("sig", "size", "own").count().where("count > 1").select("sig").distinct()
-    return met.union(likely(found, alike, "sig").join(alike, "sig", "left_semi").select(F.explode("prefix").alias("token"), "sig")).distinct()
+    return met.union(likely(found, alike, "sig").join(alike, "sig", "left_semi").select(F.explode("prefix").alias("token"), "sig", "size")).distinct()
 
 
 def likely(df: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
@@ -196,10 +196,10 @@ def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
     wanted = shelve(wanted)
     words = fetch(docs, wanted, id_col, text_col).select("x", "sig", "at", "size", "sig2", "prefix", hashed(F.col("line")).alias("keys"))
     # rows that repeat a document repeat its lines
-    met = words.repartition("sig").dropDuplicates(["x", "sig"]).join(points, "sig")
+    met = words.repartition("sig", "size").dropDuplicates(["x", "sig", "size"]).join(points, ["sig", "size"])
     place = F.array_position("prefix", F.col("token")).cast("int")
     rows = met.where(place > 0).select("token", F.struct("x", "sig", "sig2", "size", "at", F.slice("prefix", 1, F.greatest(place - 1, F.lit(0))).alias("early"), "keys").alias("row"))
-    parts = rows.groupBy("token").agg(F.ceil(F.sum("row.size") / TILE_WORDS).alias("parts"))
+    parts = points.groupBy("token").agg(F.ceil(F.sum("size") / TILE_WORDS).alias("parts"))
     part = F.pmod(F.xxhash64("row.x", "row.sig"), F.col("parts"))
     tiles = rows.join(parts, "token").groupBy("token", part.alias("part")).agg(F.collect_list("row").alias("rows"))
     both = tiles.alias("a").join(tiles.alias("b"), F.col("a.token") == F.col("b.token")).select(F.col("a.rows").alias("left"), F.col("b.rows").alias("right"))
@@ -208,9 +208,10 @@ def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
         """How many rows of the right tile match a row of the left one, and the earliest place before its own."""
 
         def one(s: Column, b: Column) -> Column:
-            similar = (num + den) * F.size(F.array_intersect(a["keys"], b["keys"])) >= num * (a["size"] + b["size"])
+            both = a["size"] + b["size"]
+            similar = (num + den) * F.size(F.array_intersect(a["keys"], b["keys"])) >= num * both
             other = (a["x"] != b["x"]) | (a["sig"] != b["sig"])
-            match = other & _near(a, b) & ~F.arrays_overlap(a["early"], b["early"]) & similar
+            match = other & ((num + den) * F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= (den - num) * both) & _near(a, b) & ~F.arrays_overlap(a["early"], b["early"]) & similar
             earlier = F.when(b["at"] < a["at"], F.least(s["earlier"], b["at"])).otherwise(s["earlier"])
             return F.when(match, F.struct((s["n"] + 1).alias("n"), earlier.alias("earlier"))).otherwise(s)
 
