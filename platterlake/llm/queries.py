@@ -6,12 +6,14 @@ and derives the contracted columns from the operator's own results.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_text, language, line_dedup, pii, ppm, secrets, shards, simhash
+from . import bpe, decontaminate, exact_dedup, html_text, language, line_dedup, periodic, pii, ppm, secrets, shards, simhash
 from ._common import table
 
 
@@ -91,6 +93,26 @@ def op11_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
 
 
+def _looped(name: str, n: int) -> np.ndarray | None:
+    """Places of a document's words after the contract's rewriting: for one id in ten a tail becomes periodic."""
+    h = zlib.crc32(name.encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    at = np.arange(n)
+    return np.where(at < a, at, a + (at - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document's words, the strongest one, and the words without repeats; null has no words."""
+    found = periodic.find(table(spark, sf_dir, "documents").select("doc_id", "text"), places=_looped)
+    listed = F.array_join(F.transform("found.runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    best = [F.col(f"found.best.{c}").alias(c) for c in ("start", "length", "period")]
+    exponent = F.expr("(1000 * found.best.length) div found.best.period")
+    return found.select("row.doc_id", F.size("found.runs").cast("bigint").alias("n_runs"), *best, exponent.alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2(F.col("found.collapsed"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_exact_dedup": op2_exact_dedup,
@@ -103,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_shards": op10_shards,
     "op11_ppm": op11_ppm,
+    "op12_periodic": op12_periodic,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
