@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_text, language, line_dedup, periodic, pii, ppm, secrets, shards, simhash
+from . import bpe, decontaminate, divergence, exact_dedup, html_text, language, line_dedup, periodic, pii, ppm, secrets, shards, simhash
 from ._common import table
 
 
@@ -113,6 +113,11 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", F.size("found.runs").cast("bigint").alias("n_runs"), *best, exponent.alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2(F.col("found.collapsed"), 256).alias("collapsed_sha256"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ, and by which terms; null counts as empty."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_exact_dedup": op2_exact_dedup,
@@ -126,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shards": op10_shards,
     "op11_ppm": op11_ppm,
     "op12_periodic": op12_periodic,
+    "op13_divergence": op13_divergence,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -152,4 +158,30 @@ ORACLE_SQL: dict[str, str] = {
                CAST(coalesce(its.n, 0) AS BIGINT) AS n_items, sha256(coalesce(its.l, '')) AS items_sha256,
                coalesce(pos.n, 0) > 0 AND 20 * coalesce(pos.n, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op13_divergence": r"""
+        WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS k,
+                   unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                   FROM documents),
+        g AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        kept AS (SELECT lang, term FROM d GROUP BY ALL HAVING count(DISTINCT k) >= 3),
+        c AS (SELECT lang, source, term, count(*) AS n FROM d JOIN kept USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        s AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n,
+                     1 + 1000000000 * (coalesce(n, 0)::HUGEINT + 1) // (total + v)::HUGEINT AS p
+              FROM s JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+        q AS (SELECT lang, term, 1 + 1000000000 * (sum(n)::HUGEINT + 1) // (t.total + v)::HUGEINT AS q
+              FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(total) AS total FROM s GROUP BY lang) t USING (lang)
+              GROUP BY lang, term, t.total, v),
+        pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(f, 0) AS value
+                 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                 LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // y.p) AS f
+                            FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+                 ON f.lang = a.lang AND f.source = a.source AND f.other = b.source),
+        term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value,
+               CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pair
+        UNION ALL
+        SELECT * FROM (SELECT lang, source, 'term' AS part, item, CAST(value AS BIGINT) AS value,
+               CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM term) WHERE rank <= 200""",
 }
