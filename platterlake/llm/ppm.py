@@ -134,8 +134,9 @@ def _asked(block: int, rows: pa.Table, shards: int, order: int) -> pa.RecordBatc
             words.update(part)
     for t in other:
         for part in words_of(t):
-            for w in set(part).difference(words):
-                words[w] = 0
+            for w in set(part):
+                if w not in words:
+                    words[w] = 0
     home = _shard(grams, shards)
     place, cuts = np.argsort(home, kind="stable"), np.cumsum(np.bincount(home, minlength=shards))
     by_shard: list[list[bytes]] = [[] for _ in range(shards)]
