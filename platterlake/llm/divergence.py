@@ -94,8 +94,11 @@ def columns(counts: DataFrame) -> DataFrame:
 
 
 def _share(count: Column, total: Column, kinds: Column) -> Column:
+    """A count's share; only a count whose product leaves a long needs decimals."""
     whole = ((count + 1).cast("decimal(38,0)") * F.lit(SCALE)).cast("decimal(38,0)")
-    return (F.call_function("div", whole, (total + kinds).cast("decimal(38,0)")) + 1).cast("bigint")
+    wide = F.call_function("div", whole, (total + kinds).cast("decimal(38,0)")).cast("bigint")
+    quick = F.call_function("div", (count + 1).cast("bigint") * F.lit(SCALE).cast("bigint"), (total + kinds).cast("bigint"))
+    return F.when(count < 9 * SCALE, quick).otherwise(wide) + 1
 
 
 def _apart(p: Column, q: Column) -> Column:
@@ -135,17 +138,17 @@ def _pairs(met: DataFrame, own: DataFrame, small: bool) -> DataFrame:
     # a source's share is worked out once for a column, and the pairs follow from the shares
     seen = full.select("lang", "terms", F.transform("sources", lambda s: F.struct(s["source"].alias("source"), share(s).alias("p"), F.map_contains_key("counts", s["source"]).alias("held"))).alias("shares"))
     one = seen.select("lang", "terms", "shares", F.explode("shares").alias("a"))
-    value = F.col("terms").cast("decimal(38,0)") * _apart(F.col("a.p"), F.col("b.p"))
+    value = F.col("terms") * _apart(F.col("a.p"), F.col("b.p"))  # shares add up to SCALE and a little, so sums fit a long below two thousand million kept terms
     two = one.select("lang", "terms", "a", F.explode(F.filter("shares", lambda b: (b["source"] != F.col("a.source")) & (F.col("a.held") | b["held"]))).alias("b"))
-    found = two.groupBy("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item")).agg(F.sum(value.cast("decimal(38,0)")).alias("value"), F.sum("terms").alias("covered"))
+    found = two.groupBy("lang", F.col("a.source").alias("source"), F.col("b.source").alias("item")).agg(F.sum(value).alias("value"), F.sum("terms").alias("covered"))
     left = own.select("lang", "source", "kinds", _share(F.lit(0), F.col("total"), F.greatest("kinds", F.lit(1))).alias("p"))
     right = own.select(F.col("lang").alias("lang2"), F.col("source").alias("item"), _share(F.lit(0), F.col("total"), F.greatest("kinds", F.lit(1))).alias("q"))
     right = F.broadcast(right) if small else right
     every = left.join(right, (F.col("lang") == F.col("lang2")) & (F.col("source") != F.col("item")))
     found = found.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("item").alias("i"), "value", "covered")
     both = every.join(found, (F.col("lang") == F.col("l")) & (F.col("source") == F.col("s")) & (F.col("item") == F.col("i")), "left")
-    rest = (F.col("kinds") - F.coalesce("covered", F.lit(0))).cast("decimal(38,0)") * _apart(F.col("p"), F.col("q"))
-    value = F.coalesce("value", F.lit(0).cast("decimal(38,0)")) + F.when(F.col("kinds") > 0, rest).otherwise(F.lit(0).cast("decimal(38,0)"))
+    rest = (F.col("kinds") - F.coalesce("covered", F.lit(0))) * _apart(F.col("p"), F.col("q"))
+    value = F.coalesce("value", F.lit(0)) + F.when(F.col("kinds") > 0, rest).otherwise(F.lit(0))
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     return both.select("lang", "source", F.lit("pair").alias("part"), "item", value.cast("bigint").alias("value")).withColumn("rank", F.row_number().over(order))
 

@@ -58,6 +58,12 @@ def test_ranks_end_at_the_limit(spark):
     assert sum(r[1:3] == ("t", "term") for r in want) == 130 and slow(rows, 10) != want
 
 
+def test_shares_of_large_counts(spark):
+    counts = [0, 1, 8_999_999_999, 9_000_000_000, 5 * 10**15]
+    got = spark.createDataFrame([(n, 3 * n, 7) for n in counts], "n bigint, t bigint, k bigint").select(divergence._share(*(divergence.F.col(c) for c in "ntk")).alias("p")).collect()
+    assert [r.p for r in got] == [1 + 10**9 * (n + 1) // (3 * n + 7) for n in counts]
+
+
 def test_long_text(spark, monkeypatch):
     monkeypatch.setattr(divergence, "_SLICE", 10)
     assert divergence._terms(b"ab cd-ab " * 50 + b"z" * 40) == Counter({b"ab": 100, b"cd": 50, b"z" * 40: 1})
