@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,15 +97,28 @@ def varuint(value: Column) -> Column:
     return F.unhex(F.array_join(each, ""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def varuint_at(data: Column, offset: Column | int = 0) -> Column:
     """struct<value, next> of canonical LEB128 at a byte offset; null if it is cut off, overlong or beyond 63 bits."""
     at = F.lit(offset) if isinstance(offset, int) else offset
-    codes = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.conv(F.hex(F.substring(data, (at + i).cast("int"), F.lit(1))), 16, 10).cast("bigint"))
-    last = F.array_position(F.transform(codes, lambda c: F.coalesce(c < 128, F.lit(False))), F.lit(True)).cast("int")
-    used = F.slice(codes, 1, F.greatest(last, F.lit(1)))
-    value = F.aggregate(F.reverse(used), F.lit(0).cast("bigint"), lambda s, c: F.shiftleft(s, 7).bitwiseOR(c.bitwiseAND(F.lit(127))))
-    good = (last > 0) & ((last == 1) | (F.try_element_at(codes, last) > 0)) & F.forall(used, lambda c: c.isNotNull())
-    return F.when(good, F.struct(value.alias("value"), (at + last).cast("bigint").alias("next")))
+
+    def read(codes: Column) -> Column:
+        last = F.array_position(F.transform(codes, lambda c: F.coalesce(c < 128, F.lit(False))), F.lit(True)).cast("int")
+        return let(last, lambda n: counted(codes, n))
+
+    def counted(codes: Column, n: Column) -> Column:
+        value = F.aggregate(F.reverse(F.slice(codes, 1, F.greatest(n, F.lit(1)))), F.lit(0).cast("bigint"), lambda s, c: F.shiftleft(s, 7).bitwiseOR(c.bitwiseAND(F.lit(127))))
+        good = (n > 0) & ((n == 1) | (F.try_element_at(codes, n) > 0))
+        return F.when(good, F.struct(value.alias("value"), (at + n).cast("bigint").alias("next")))
+
+    # nine bytes at most, as hexadecimal digits, cut out once
+    digits = F.hex(F.substring(data, (at + 1).cast("int"), F.lit(9)))
+    code = lambda d, i: F.conv(F.nullif(F.substring(d, 2 * i + 1, F.lit(2)), F.lit("")), 16, 10).cast("bigint")
+    return let(let(digits, lambda d: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: code(d, i))), read)
 
 
 def wire_text(text: Column) -> Column:

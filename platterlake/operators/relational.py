@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sweep
+
 
 def running_offsets(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], size: str, offset: str = "byte_offset", end: str = "byte_end") -> DataFrame:
     """Add where each entry starts and ends, from the lengths before it."""
@@ -33,13 +35,8 @@ def coverage(covered: DataFrame, key: str, slot: str, last: DataFrame, last_col:
 
 
 def contained(parts: DataFrame, wholes: DataFrame, key: str, start: str = "start", end: str = "end", how: str = "left_anti") -> DataFrame:
-    """Parts that lie in no whole (``left_anti``) or in one (``left_semi``) of the same record.
-
-    The equi-join on the record comes first; the interval test is its residual.
-    """
-    a, b = parts.alias("part"), wholes.alias("whole")
-    inside = (F.col(f"part.{start}") >= F.col(f"whole.{start}")) & (F.col(f"part.{end}") <= F.col(f"whole.{end}"))
-    return a.join(b, (F.col(f"part.{key}") == F.col(f"whole.{key}")) & inside, how)
+    """Parts that lie in no whole (``left_anti``) or in one (``left_semi``) of the same record, by a sweep."""
+    return sweep.contained(parts, wholes, [key], start, end, how)
 
 
 def labelled(entries: DataFrame, intervals: DataFrame, key: str, slot: str, first: str, count: str, label: str) -> DataFrame:

@@ -11,10 +11,11 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns
+from ..functions.columns import let
 from ..functions.wire import Cursor, WireError, quiet_filler
 from ..operators import relational
 
@@ -196,9 +197,22 @@ def _playable(e: Column) -> Column:
     return F.upper(F.element_at("payload_descriptors", e["descriptor_idx"] + 1)["container"]).isin(*PLAYABLE)
 
 
-def _slots(ranges: str) -> Column:
-    """Every revolution that some ranges of a record hold, once for each time."""
-    return F.flatten(F.transform(ranges, lambda r: F.sequence(r["first_rev"], r["first_rev"] + r["rev_count"] - 1)))
+def _ranges() -> Column:
+    """The record's tracks and gaps as ranges with their owner, by where they begin."""
+    whole = lambda r, kind, number, title: F.struct(r["first_rev"].alias("first"), (r["first_rev"] + r["rev_count"]).alias("end"), F.struct(F.lit(kind).alias("kind"), r[number].alias("number"), title.alias("title")).alias("owner"))
+    tracks = F.transform("tracks", lambda t: whole(t, "track", "number", t["title"]))
+    return F.array_sort(F.concat(tracks, F.transform("track_gaps", lambda g: whole(g, "gap", "after_track", F.lit(None).cast("string")))))
+
+
+def _crossing(ranges: Column) -> Column:
+    """Whether some sorted ranges overlap: then two neighbours do."""
+    later = F.slice(ranges, 2, F.greatest(F.size(ranges) - 1, F.lit(0)))
+    return F.exists(F.arrays_zip(F.transform(later, lambda r: r["first"]).alias("first"), F.transform(ranges, lambda r: r["end"]).alias("end")), lambda p: F.coalesce(p["first"] < p["end"], F.lit(False)))
+
+
+def _held(ranges: str | Column) -> Column:
+    """How many revolutions ranges hold in all, each as often as it is held."""
+    return F.aggregate(ranges, F.lit(0).cast("bigint"), lambda s, r: s + r["rev_count"])
 
 
 def fault() -> Column:
@@ -207,23 +221,30 @@ def fault() -> Column:
     Each revolution of a playable container lies in one track or gap, tracks follow
     one another, and neither holds an auxiliary revolution; a record without a
     playable one is not asked. A payload of the first container states its codec,
-    rate, channels and codec metadata.
+    rate, channels and codec metadata. Ranges are sorted and never taken apart into
+    revolutions; they are looked at one by one only if no two of them overlap.
     """
-    owned = F.concat(_slots("tracks"), _slots("track_gaps"))
-    wanted = F.transform(F.filter("entries", _playable), lambda e: e["idx"].cast("bigint"))
     ends = F.transform("tracks", lambda t: t["first_rev"] + t["rev_count"])
     late = F.exists(F.arrays_zip(F.transform(F.slice("tracks", 2, F.greatest(F.size("tracks") - 1, F.lit(0))), lambda t: t["first_rev"]).alias("first"), ends.alias("end")), lambda p: F.coalesce(p["first"] < p["end"], F.lit(False)))
     stated = lambda d: (F.upper(d["codec"]) == "ECDC") & (d["sample_rate"] > 0) & (d["channels"] > 0) & d["codec_metadata"].isNotNull()
-    asked = F.size(wanted) > 0
+    playable = F.size(F.filter("entries", _playable))
+    kinds = F.encode(F.array_join(F.transform("entries", lambda e: F.when(_playable(e), "p").otherwise("a")), ""), "UTF-8")
+    auxiliary = let(kinds, lambda k: F.exists(F.concat(F.transform("tracks", _span), F.transform("track_gaps", _span)), lambda r: F.contains(F.substring(k, r["at"], r["n"]), F.lit(b"a"))))
+    owned = _held("tracks") + _held("track_gaps")
     return (
         F.when(F.exists("payload_descriptors", lambda d: (F.upper(d["container"]) == "ECDC") & ~F.coalesce(stated(d), F.lit(False))), "a descriptor does not state codec, rate, channels and codec metadata")
-        .when(asked & late, "a track begins inside the one before it")
-        .when(asked & (F.size(F.array_except(owned, wanted)) > 0), "a track or gap holds an auxiliary revolution")
-        .when(asked & (F.size(F.array_distinct(owned)) < F.size(owned)), "a revolution is covered twice")
-        .when(asked & (F.size(F.array_except(wanted, owned)) > 0), "a revolution is not covered")
+        .when(playable == 0, None)
+        .when(late, "a track begins inside the one before it")
+        .when(_crossing(_ranges()), "a revolution is covered twice")
+        .when(auxiliary, "a track or gap holds an auxiliary revolution")
+        .when(owned < playable, "a revolution is not covered")
     )
 
 
+def _span(r: Column) -> Column:
+    return F.struct((r["first_rev"] + 1).cast("int").alias("at"), r["rev_count"].cast("int").alias("n"))
+
+
 def records(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """As ``parsed``, and a record that breaks a rule of ``fault`` has it as its error."""
     found = parsed(files, path=path, content=content)
@@ -246,11 +267,18 @@ def entries(streams: DataFrame) -> DataFrame:
 
 
 def uncovered(streams: DataFrame) -> DataFrame:
-    """(path, rev, times) of revolutions not covered exactly once by a track or a gap."""
+    """(path, first_rev, rev_count, times) of the stretches of revolutions not covered exactly once by a track or a gap.
+
+    Where ranges begin and end, the number that hold a revolution changes; stretches
+    of one number follow from the running sum of the changes.
+    """
     both = child(streams, "tracks").select("path", "first_rev", "rev_count").unionAll(child(streams, "track_gaps").select("path", "first_rev", "rev_count"))
-    slots = both.select("path", F.explode(F.sequence("first_rev", F.col("first_rev") + F.col("rev_count") - 1)).alias("rev"))
-    last = streams.where("error is null").select("path", F.size("entries").alias("n"))
-    return relational.coverage(slots, "path", "rev", last, "n")
+    edges = F.explode(F.array(F.struct(F.col("first_rev").alias("at"), F.lit(1).alias("more")), F.struct((F.col("first_rev") + F.col("rev_count")).alias("at"), F.lit(-1).alias("more")))).alias("e")
+    ends = streams.where("error is null").select("path", F.explode(F.array(F.lit(0).cast("bigint"), F.size("entries").cast("bigint"))).alias("at"), F.lit(0).alias("more"))
+    steps = both.select("path", edges).select("path", "e.at", "e.more").unionByName(ends).groupBy("path", "at").agg(F.sum("more").alias("more"))
+    order = Window.partitionBy("path").orderBy("at")
+    runs = steps.select("path", F.col("at").alias("first_rev"), (F.lead("at").over(order) - F.col("at")).alias("rev_count"), F.sum("more").over(order).alias("times"))
+    return runs.where((F.col("rev_count") > 0) & (F.col("times") != 1))
 
 
 def chunks_outside(streams: DataFrame) -> DataFrame:
@@ -263,11 +291,11 @@ def chunks_outside(streams: DataFrame) -> DataFrame:
 
 
 def untimed() -> Column:
-    """Why a record has no programme map, or null: an entry of unknown duration or under no track or gap, or no rate or channels."""
-    owned = F.concat(_slots("tracks"), _slots("track_gaps"))
+    """Why a record has no programme map, or null: an entry of unknown duration, under no track or gap or under two, or no rate or channels."""
     return (
         F.when(F.exists("entries", lambda e: e["samples"].isNull()), "an entry has no known duration")
-        .when(F.size(F.array_except(F.transform("entries", lambda e: e["idx"].cast("bigint")), owned)) > 0, "an entry is under no track or gap")
+        .when(_crossing(_ranges()), "an entry is under two tracks or gaps")
+        .when(_held("tracks") + _held("track_gaps") < F.size("entries"), "an entry is under no track or gap")
         .when(~F.exists("payload_descriptors", lambda d: d["sample_rate"].isNotNull()) | ~F.exists("payload_descriptors", lambda d: d["channels"].isNotNull()), "no descriptor states a rate or channels")
     )
 
@@ -282,12 +310,12 @@ def regions(streams: DataFrame, inner: Column | None = None, outer: Column | Non
     mapped = streams.where(F.col("error").isNull() & untimed().isNull())
     stated = lambda f: F.element_at(F.filter(F.transform("payload_descriptors", lambda d: d[f]), lambda x: x.isNotNull()), 1)
     total = F.aggregate("entries", F.lit(0).cast("bigint"), lambda s, e: s + e["byte_length"])
-    tracks = F.transform("tracks", lambda t: F.struct(t["first_rev"].alias("first_rev"), t["rev_count"].alias("rev_count"), F.struct(F.lit("track").alias("kind"), t["number"].alias("number"), t["title"].alias("title")).alias("owner")))
-    gaps = F.transform("track_gaps", lambda g: F.struct(g["first_rev"].alias("first_rev"), g["rev_count"].alias("rev_count"), F.struct(F.lit("gap").alias("kind"), g["after_track"].alias("number"), F.lit(None).cast("string").alias("title")).alias("owner")))
-    own = lambda e: F.element_at(F.filter(F.concat(tracks, gaps), lambda r: (e["idx"] >= r["first_rev"]) & (e["idx"] < r["first_rev"] + r["rev_count"])), 1)["owner"]
+    # a record with a map has disjoint ranges that hold all its entries, so the sorted ranges line up with them
+    owners = F.flatten(F.transform(_ranges(), lambda r: F.array_repeat(r["owner"], (r["end"] - r["first"]).cast("int"))))
     radii = [x.cast("double") if x is not None else F.lit(None).cast("double") for x in (inner, outer)]
-    head = mapped.select("path", stated("sample_rate").alias("sample_rate"), stated("channels").alias("channels"), total.alias("total"), radii[0].alias("inner"), radii[1].alias("outer"), F.explode(F.transform("entries", lambda e: F.struct(e["idx"].alias("idx"), e["byte_length"].alias("byte_length"), e["samples"].alias("samples"), own(e).alias("owner")))).alias("e"))
-    owned = relational.running_offsets(head.select("path", "sample_rate", "channels", "total", "inner", "outer", "e.*"), ["path"], ["idx"], "byte_length")
+    head = mapped.select("path", stated("sample_rate").alias("sample_rate"), stated("channels").alias("channels"), total.alias("total"), radii[0].alias("inner"), radii[1].alias("outer"), F.explode(F.arrays_zip(F.col("entries").alias("entry"), owners.alias("owner"))).alias("e"))
+    each = head.select("path", "sample_rate", "channels", "total", "inner", "outer", "e.entry.idx", "e.entry.byte_length", "e.entry.samples", "e.owner")
+    owned = relational.running_offsets(each, ["path"], ["idx"], "byte_length")
     keys = ["path", "sample_rate", "channels", "total", "inner", "outer"]
     merged = relational.merged_regions(owned, ["path"], ["idx"], "owner", "samples", F.col("owner.kind") == "gap", {**{k: F.first(k) for k in keys[1:]}, "byte_start": F.min("byte_offset"), "byte_end": F.max("byte_end")})
     share = lambda c: F.col(c) / F.col("total")

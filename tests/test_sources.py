@@ -83,7 +83,7 @@ def test_streams_to_tables(spark):
     got = [(r.kind, r.number, r.title, r.start_sample, r.end_sample) for r in streams.regions(found).where("path = 'f0'").orderBy("ord").collect()]
     assert got == [("track", 1, "One", 0, 128_000), ("gap", 1, None, 128_000, 192_000), ("track", 2, "Two", 192_000, 320_000)]
     assert [(r.path, r.idx) for r in streams.chunks_outside(found).collect()] == [("f1", 0)]
-    assert sorted((r.path, r.rev, r.times) for r in streams.uncovered(found).collect()) == [("f2", 1, 2), ("f2", 3, 0), ("f2", 4, 0)]
+    assert sorted((r.path, r.first_rev, r.rev_count, r.times) for r in streams.uncovered(found).collect()) == [("f2", 1, 1, 2), ("f2", 3, 2, 0)]
     one = streams.summary(found).where("path = 'f0'").first()
     assert (one.n_entries, one.payload_bytes, one.total_samples) == (5, 20, 320_000)
     assert bytes(streams.entries(found).where("path = 'f0' and idx = 1").first().sha256) == sha256(bytes(range(4, 8))).digest()
