@@ -157,8 +157,8 @@ def descriptor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").cast("bigint").alias("p_partkey"), *(F.when(F.col("error").isNull(), F.col(f)).alias(f) for f in fields), F.when(F.col("error").isNull(), F.array_join(kept, ",")).alias("segments"), "error")
 
 
-def package_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A package for each supplier: by five, 0 has a wrong digest, 1 a descriptor of another length, 2 a trailing byte."""
+def supplier_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a package for each supplier; by five, 0 has a wrong digest, 1 a descriptor of another length, 2 a trailing byte."""
     n = F.col("s_suppkey") % 50 + 1
     spoiled = F.col("s_suppkey") % 5
     kind = F.concat(_hex("011F"), c.wire_text(F.lit("ECDC")), _u(48_000, 4), _u(2, 1), _u(20, 4), _u(5, 4), _u(10, 4), _u(2, 4), _bytes("{}"))
@@ -172,7 +172,11 @@ def package_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.octet_length("desc") + F.octet_length("stream") + 128
     head = F.concat(_bytes("BPK1"), _u(1, 1), _u(0, 1), _u(2, 2), _u(128, 4), _u(total, 8))
     content = F.concat(head, _u(F.crc32(F.concat(head, _u(0, 4), directory)), 4), directory, F.col("desc"), F.col("stream"), F.when(spoiled == 2, _hex("00")).otherwise(_hex("")))
-    found = packages.inspection(packages.packages(both.select(F.col("s_suppkey").cast("string").alias("path"), content.alias("content"))))
+    return both.select(F.col("s_suppkey").cast("string").alias("path"), content.alias("content"))
+
+
+def package_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packages.inspection(packages.packages(supplier_packages(spark, sf_dir)))
     return found.select(F.col("path").cast("bigint").alias("s_suppkey"), "error", "has_sidecar", F.when(F.col("error").isNull(), F.col("n_sections")).alias("n_sections"), F.element_at("section_bytes", 1).alias("descriptor_bytes"), F.element_at("section_bytes", 2).alias("stream_bytes"))
 
 

@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from platterlake.plans import queries, wire
+from platterlake.plans import ordered, queries, wire
 
 FOLDER = "/root/testdata/sf0.001"
-ALL, SQL = queries.QUERIES | wire.QUERIES, queries.ORACLE_SQL | wire.ORACLE_SQL
+ALL, SQL = queries.QUERIES | wire.QUERIES | ordered.QUERIES, queries.ORACLE_SQL | wire.ORACLE_SQL | ordered.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
