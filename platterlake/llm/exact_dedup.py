@@ -145,8 +145,10 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
     """(id, digest, keep_id, group_size, kept) for every row of ``docs``.
 
     ``history`` is a table of the same shape whose texts count as seen already.
-    Without it, ``docs`` is taken as an archive that grew by id: rows up to the
-    middle of the id range are the history, the rest is looked up against it.
+    Without it, ``docs`` is taken as an archive that grew by id: about half of the
+    rows, those with the smallest ids, are the history, the rest is looked up against
+    it. Buckets are as many as rows on either side ask for, so neither a small history
+    nor odd or missing ids put more than a bucket's share into one task.
 
     Of equal texts the largest id stays, wherever it is. A null text is an empty
     text. A null id never wins over another; a group that has only null ids keeps
@@ -156,13 +158,13 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
     """
     rows = settle(digest_rows(docs, id_col, text_col, normalise))
     if history is None:
-        ends = rows.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
-        middle = 0 if ends.low is None else (ends.low + ends.high) // 2
-        earlier, fresh = rows.where(F.col("id") <= middle), rows.where(F.col("id").isNull() | (F.col("id") > middle))
+        middle = rows.agg(F.percentile_approx("id", 0.5, 1000)).first()[0]
+        old = F.coalesce(F.col("id") <= F.lit(middle).cast("bigint"), F.lit(False))
+        earlier, fresh = rows.where(old), rows.where(~old)
     else:
         earlier, fresh = digest_rows(history, id_col, text_col, normalise), rows
     known = settle(distinct_digests(earlier))
-    buckets = max(1, -(-known.count() // BUCKET_KEYS))
+    buckets = max(1, -(-max(known.count(), rows.count()) // BUCKET_KEYS))
     groups = look_up(distinct_digests(fresh), build_index(known, buckets), buckets)
     found = rows.join(groups, "digest")
     return found.select("id", "digest", F.col("winner").alias("keep_id"), F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("winner")).alias("kept"))

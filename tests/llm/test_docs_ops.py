@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -178,3 +179,25 @@ def test_bpe_query_rows(spark):
     ids = frame(spark, ["two words é"]).select(bpe.encode_udf(files)("text").alias("i"))
     assert ids.select(bpe.decode_udf(files)("i")).first()[0] == "two words é"
     assert bpe.encode_decode(frame(spark, []), files).collect() == []
+
+
+@pytest.mark.parametrize("shape", ["odd id", "no ids", "small history", "large history"])
+def test_no_bucket_holds_more_than_its_share(spark, monkeypatch, shape):
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 100)
+    seen = []
+    look_up = exact_dedup.look_up
+
+    def watched(fresh, index, buckets):
+        seen.append(max([r["count"] for r in fresh.groupBy(exact_dedup._bucket(buckets)).count().collect()], default=0))
+        return look_up(fresh, index, buckets)
+
+    monkeypatch.setattr(exact_dedup, "look_up", watched)
+    n = 3000
+    rows = [(None if shape == "no ids" else i, f"t{i % 2900}") for i in range(n)] + [(-(10**15) if shape == "odd id" else None, "one")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    history = {"small history": docs.where("doc_id = 5"), "large history": docs.union(docs).selectExpr("doc_id + 100000 AS doc_id", "text || doc_id % 2 AS text")}.get(shape)
+    found = exact_dedup.exact_dedup(docs, history)
+    assert found.count() == n + 1 and seen[0] <= 400
+    times = Counter(r.text for r in (docs if history is None else docs.unionByName(history)).collect())
+    want = Counter((hashlib.sha256(t.encode()).digest(), times[t]) for _, t in rows)
+    assert Counter((bytes(r.digest), r.group_size) for r in found.collect()) == want
