@@ -46,6 +46,17 @@ def tally(checks: DataFrame) -> DataFrame:
     return checks.groupBy("label").agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"))
 
 
+def rollup(checks: DataFrame, dims: list[str]) -> DataFrame:
+    """(dims, label, level, passed, failed): the tally for each dimension, for all of them together and for none, by label and in all.
+
+    One pass: each check is expanded to its groups and summed before the shuffle.
+    ``level`` is Spark's grouping_id over (dims, label), so a null that stands for all
+    is told from one that is a value.
+    """
+    sets = [[*dims, "label"], *([d, "label"] for d in dims if len(dims) > 1), ["label"], *([d] for d in dims), []]
+    return checks.groupingSets(sets, *dims, "label").agg(F.grouping_id().cast("bigint").alias("level"), F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"))
+
+
 def signing_coverage(described: DataFrame) -> DataFrame:
     """(path, field, present, covered): which stated fields a release signature or the deferred attestation covers."""
     has = lambda role: F.exists("signatures", lambda s: s["role"] == role)
@@ -110,4 +121,4 @@ def manifest_json(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.count_if("ok").alias("checks_passed"), F.count_if(~F.col("ok")).alias("checks_failed"), each.alias("rows")).select("path", F.to_json(F.struct("checks_passed", "checks_failed", "rows")).alias("json"))
 
 
-__all__ = ["descriptor_json", "json_shape", "manifest", "manifest_json", "programme_json", "record_checks", "signing_coverage", "stream_checks", "stream_json", "tally"]
+__all__ = ["descriptor_json", "json_shape", "manifest", "manifest_json", "programme_json", "record_checks", "rollup", "signing_coverage", "stream_checks", "stream_json", "tally"]

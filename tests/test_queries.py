@@ -5,10 +5,10 @@ import os
 import duckdb
 import pytest
 
-from platterlake.plans import ordered, queries, wire
+from platterlake.plans import ordered, queries, summaries, wire
 
 FOLDER = "/root/testdata/sf0.001"
-ALL, SQL = queries.QUERIES | wire.QUERIES | ordered.QUERIES, queries.ORACLE_SQL | wire.ORACLE_SQL | ordered.ORACLE_SQL
+ALL, SQL = queries.QUERIES | wire.QUERIES | ordered.QUERIES | summaries.QUERIES, queries.ORACLE_SQL | wire.ORACLE_SQL | ordered.ORACLE_SQL | summaries.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
