@@ -77,8 +77,9 @@ def programme_floor(name: str, revision: int) -> int:
 
 
 def profiles(spark: SparkSession) -> DataFrame:
-    """The four profiles, to be broadcast against records."""
-    return spark.createDataFrame([profile(n) for n in MILLIMETRES], "profile string, code int, px_per_mm double, label_radius int, inner_radius int, outer_radius int, lead_in_px int, lock_radius double")
+    """The four profiles, to be broadcast against records, with the floor of their programme in the current and the first revision."""
+    rows = [(*profile(n), programme_floor(n, 4), programme_floor(n, 1)) for n in MILLIMETRES]
+    return spark.createDataFrame(rows, "profile string, code int, px_per_mm double, label_radius int, inner_radius int, outer_radius int, lead_in_px int, lock_radius double, floor_radius int, first_floor_radius int")
 
 
 def turns(inner: Column, outer: Column, pitch: Column) -> Column:

@@ -29,6 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and cut its lineage there, so that what reads it twice makes it once."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def carried(asked: DataFrame, given: DataFrame, keys: Sequence[str], at: str, value: Column, name: str, given_at: str | None = None, given_keys: Sequence[str] | None = None, inclusive: bool = True) -> DataFrame:
     """``asked`` with ``name``: the greatest ``value`` of the rows of ``given`` with its keys at or before its place.
 
@@ -52,9 +58,8 @@ def carried(asked: DataFrame, given: DataFrame, keys: Sequence[str], at: str, va
     for c in spot:
         real = real & F.col(c).isNotNull()
     points = both.where(real).groupBy(*spot).agg(F.max("value").alias("value"))
-    shared_folder(asked.sparkSession)
     # the cuts come from a sample, so the ranges are written down before they are used twice
-    line = points.repartitionByRange(*spot).select("*", F.spark_partition_id().alias("range")).checkpoint()
+    line = settle(points.repartitionByRange(*spot).select("*", F.spark_partition_id().alias("range")))
     cell = [*spot[:-1], "range"]
     before = Window.partitionBy(*spot[:-1]).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     tails = line.groupBy(*cell).agg(F.max("value").alias("tail")).select(*cell, F.max("tail").over(before).alias("carry"))

@@ -62,7 +62,7 @@ def order_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of the orders' streams by the table function, and where each lies in its payload."""
     files = wire.order_streams(spark, sf_dir)
     whole = streams.records(files).where("error is null").select("path")
-    found = frames.frames(files.join(whole, "path", "left_semi"))
+    found = sweep.settle(frames.frames(files.join(whole, "path", "left_semi")))
     placed = frames.places(found).withColumnRenamed("path", "of").withColumnRenamed("idx", "at")
     both = found.join(placed, (F.col("path") == F.col("of")) & (F.col("idx") == F.col("at")))
     return both.select(F.col("path").cast("bigint").alias("l_orderkey"), "idx", "start", "payload_start", "payload_end", "crc_ok", "first_byte", "last_byte")
@@ -108,7 +108,7 @@ def crowded_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = F.concat(F.unhex(F.lit("020C")), wire._u(1, 1), first, wire._u(n, 2), F.unhex(F.repeat(F.lit("01"), n.cast("int"))), tracks, gaps)
     content = F.concat(wire._bytes("BRS1"), wire._u(F.octet_length("meta"), 4), F.col("meta"), wire._chunk(F.encode(F.repeat(F.lit("x"), n.cast("int")), "UTF-8")))
     files = made.withColumn("meta", meta).select(F.col("s").cast("string").alias("path"), content.alias("content"))
-    found = streams.records(files)
+    found = sweep.settle(streams.records(files))
     regions = streams.regions(found).groupBy("path").agg(F.count(F.lit(1)).alias("regions"), F.max("end_sample").alias("samples")).withColumnRenamed("path", "of")
     both = found.join(regions, F.col("path") == F.col("of"), "left")
     return both.select(F.col("path").cast("bigint").alias("l_suppkey"), F.size("entries").cast("bigint").alias("n"), "error", "regions", "samples")

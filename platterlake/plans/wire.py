@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions import geometry
+from ..operators import sweep
 from ..sources import descriptors, packages, streams
 from . import report
 
@@ -110,12 +111,12 @@ def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_chunks_across(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = streams.chunks_outside(streams.records(order_streams(spark, sf_dir)))
+    found = streams.chunks_outside(sweep.settle(streams.records(order_streams(spark, sf_dir))))  # it reads the records three times
     return found.select(_key(found), "idx", F.col("from").alias("first_byte"), F.col("to").alias("last_byte"))
 
 
 def stream_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.tally(report.stream_checks(streams.records(order_streams(spark, sf_dir))))
+    return report.tally(report.stream_checks(sweep.settle(streams.records(order_streams(spark, sf_dir)))))  # it reads the records twice
 
 
 def _segment(kind: int, data: Column) -> Column:
@@ -213,10 +214,9 @@ def profile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 4).cast("int").alias("code"), (F.col("p_size") / 20.0).alias("pitch"), ((F.col("p_partkey") % 5) / 4.0).alias("share"))
     both = part.join(F.broadcast(geometry.profiles(spark)), "code")  # four rows
     inner, outer = F.col("inner_radius").cast("double"), F.col("outer_radius").cast("double")
-    floor_radius = F.ceil(F.col("lock_radius") + geometry.LEAST_LEAD_OUT_MM * F.col("px_per_mm") + 6.0)
     turns = geometry.turns(inner, outer, F.col("pitch"))
     micros = lambda x: F.floor(x * 1e6 + 0.5).cast("bigint")
-    return both.select("p_partkey", "profile", "label_radius", "inner_radius", "outer_radius", "lead_in_px", micros(F.col("px_per_mm")).alias("px_per_mm_micros"), micros(F.col("lock_radius")).alias("lock_micros"), micros(turns).alias("turns_micros"), micros(geometry.turn_width(F.col("pitch"))).alias("width_micros"), micros(geometry.pitch_for_turns(inner, outer, turns)).alias("pitch_micros"), geometry.cut_inner_radius(F.col("inner_radius"), outer, floor_radius, F.col("share")).alias("stop"))
+    return both.select("p_partkey", "profile", "label_radius", "inner_radius", "outer_radius", "lead_in_px", micros(F.col("px_per_mm")).alias("px_per_mm_micros"), micros(F.col("lock_radius")).alias("lock_micros"), micros(turns).alias("turns_micros"), micros(geometry.turn_width(F.col("pitch"))).alias("width_micros"), micros(geometry.pitch_for_turns(inner, outer, turns)).alias("pitch_micros"), geometry.cut_inner_radius(F.col("inner_radius"), outer, F.col("floor_radius"), F.col("share")).alias("stop"))
 
 
 def pixel_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,11 +335,9 @@ def codec_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_aads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What binds a stream's encrypted chunks to its metadata: a digest of the associated data of every order's stream."""
-    made = order_streams(spark, sf_dir)
-    size = c.u32be(F.col("content"), 4)
-    meta = F.substring(F.col("content"), F.lit(9), size.cast("int"))
-    return made.select(_key(made), F.octet_length(meta).cast("bigint").alias("n"), F.octet_length(c.chunk_aad(b"aad-1", meta)).cast("bigint").alias("aad_bytes"))
+    """What binds encrypted chunks to their stream's metadata: a digest of the associated data, here of each part's name as metadata."""
+    aad = c.chunk_aad(b"aad-1", F.encode("p_name", "UTF-8"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.octet_length(aad).cast("bigint").alias("n"), F.sha2(aad, 256).alias("aad_sha256"))
 
 
 _P = geometry.MILLIMETRES
@@ -413,8 +411,7 @@ ORACLE_SQL = {
         g AS (SELECT *, label >= 1 AND clearance >= 12 AND label + clearance < outer_ AS good FROM p)
         SELECT p_partkey, CASE WHEN good THEN CAST(label AS INT) END AS label_radius, CASE WHEN good THEN CAST(label + clearance AS INT) END AS inner_radius, CASE WHEN good THEN CAST(outer_ AS INT) END AS outer_radius FROM g""",
     "codec_metadata": """SELECT p_partkey, '{"m":"' || p_brand || '","nc":' || p_size || ',"lm":' || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || ',"fp":' || p_partkey || ',"mr":' || p_partkey % 7 || ',"acv":' || p_partkey % 3 || ',"fl":' || p_partkey * 2 || '}' AS json, 7 AS members FROM part""",
-    "chunk_aads": f"""WITH {_STREAMS} SELECT o AS l_orderkey, CAST(head - 8 + CASE WHEN s = 2 THEN 1 ELSE 0 END + CASE WHEN s = 6 THEN n_tracks * (1 - strlen('Side ' || o || '-1')) ELSE 0 END AS BIGINT) AS n,
-        CAST(head - 8 + CASE WHEN s = 2 THEN 1 ELSE 0 END + CASE WHEN s = 6 THEN n_tracks * (1 - strlen('Side ' || o || '-1')) ELSE 0 END + 9 AS BIGINT) AS aad_bytes FROM e JOIN h USING (o)""",
+    "chunk_aads": "SELECT p_partkey, 9 + strlen(p_name) AS n, sha256(encode('aad-1') || unhex(lpad(to_hex(strlen(p_name)), 8, '0')) || encode(p_name)) AS aad_sha256 FROM part",
     "stream_errors": f"WITH {_STREAMS} SELECT o AS l_orderkey, CASE WHEN s = 3 AND total = 1 THEN 'chunk at byte ' || head || ' is empty' ELSE error END AS error FROM e JOIN h USING (o)",
     "stream_entries": f"""WITH {_STREAMS} SELECT o AS l_orderkey, CAST(idx AS INT) AS idx, len AS byte_length, pos AS byte_offset, CAST(idx >= p AS INT) AS descriptor_idx,
         CASE WHEN idx < p THEN samples END AS samples, sha256(repeat(chr(CAST(97 + l_linenumber % 26 AS INT)), len)) AS sha256 FROM t JOIN e USING (o) WHERE error IS NULL""",
