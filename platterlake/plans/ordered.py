@@ -114,7 +114,38 @@ def crowded_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("path").cast("bigint").alias("l_suppkey"), F.size("entries").cast("bigint").alias("n"), "error", "regions", "samples")
 
 
-QUERIES = {f.__name__: f for f in (lines_outside_returns, purchase_after_view, next_error, receipt_replay, order_frames, package_titles, json_members, crowded_streams)}
+def gap_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream for each customer of two tracks around an entry of silence, and what is wrong with it.
+
+    By nine, 1 has a silence without a rate in its descriptor, 2 one of no samples, 3
+    one of another length than stated, 4 one with a byte that its seed does not give,
+    5 an output range beyond its block, 6 no channels, 7 is encrypted, and 8 has the
+    silence inside its first track.
+    """
+    k = F.col("c_custkey")
+    spoiled = k % 9
+    samples = 1000 + k % 7
+    geometry = F.concat(wire._u(F.when(spoiled == 5, samples + 4).otherwise(samples + 9), 4), wire._u(5, 4), wire._u(samples, 4))
+    first = F.concat(F.unhex(F.when(spoiled == 6, "011B").otherwise("011F")), c.wire_text(F.lit("ECDC")), wire._u(48_000, 4), F.when(spoiled == 6, F.unhex(F.lit(""))).otherwise(wire._u(2, 1)), geometry, wire._u(2, 4), wire._bytes("{}"))
+    second = F.concat(F.unhex(F.lit("FF")), c.wire_text(F.lit("GAP")), F.unhex(F.when(spoiled == 1, "05").otherwise("07")), c.wire_text(F.lit("GAP")), F.when(spoiled == 1, F.unhex(F.lit(""))).otherwise(wire._u(48_000, 4)), wire._u(2, 1))
+    filler = F.unhex(F.when(spoiled == 4, "FF").otherwise(""))
+    stated = F.octet_length(filler) + streams.GAP_HEADER + (spoiled == 3).cast("int")
+    silence = F.concat(F.lit(streams.GAP_MAGIC), F.unhex(F.lit("01000000")), wire._u(F.when(spoiled == 2, 0).otherwise(10 + k), 8), wire._u(stated, 8), wire._u(k, 4), filler)
+    body = F.encode(F.repeat(F.lit("a"), (k % 40 + 1).cast("int")), "UTF-8")
+    entry = lambda data, kind: F.concat(c.varuint(F.octet_length(data)), wire._u(kind, 1))
+    track = lambda name, start, count: F.concat(c.wire_text(F.lit(name)), c.varuint(F.lit(start)), c.varuint(count))
+    tracks = F.concat(track("One", 0, F.when(spoiled == 8, 2).otherwise(1)), track("Two", 2, F.lit(1)))
+    meta = F.concat(F.unhex(F.when(spoiled == 7, "0207").otherwise("0206")), wire._u(2, 1), first, second, wire._u(3, 2), entry(body, 0), entry(silence, 1), entry(body, 0), wire._u(2, 2), tracks)
+    payload = F.concat(body, silence, body)
+    nonce = F.unhex(F.when(spoiled == 7, "00" * streams.NONCE_BYTES).otherwise(""))
+    chunk = F.concat(c.varuint(F.octet_length(payload)), wire._u(F.crc32(payload), 4), nonce, payload)
+    files = _table(spark, sf_dir, "customer").select(k.cast("string").alias("path"), F.concat(F.lit(streams.MAGIC), wire._u(F.octet_length(meta), 4), meta, chunk).alias("content"))
+    found = sweep.settle(streams.records(files))
+    silent = found.select(F.col("path").alias("of"), F.get("entries", F.lit(1))["samples"].alias("gap_samples"))
+    return streams.summary(found).join(silent, F.col("path") == F.col("of")).select(F.col("path").cast("bigint").alias("c_custkey"), "error", "encrypted", "n_entries", F.when(F.col("error").isNull(), F.col("total_samples")).alias("total_samples"), F.when(F.col("error").isNull(), F.col("gap_samples")).alias("gap_samples"))
+
+
+QUERIES = {f.__name__: f for f in (lines_outside_returns, purchase_after_view, next_error, receipt_replay, order_frames, package_titles, json_members, crowded_streams, gap_streams)}
 
 _LINE = """SELECT l_suppkey, l_orderkey, l_linenumber, l_returnflag, CAST(CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS BIGINT) AS start,
     CAST(CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS BIGINT) + CAST(l_quantity AS BIGINT) AS "end" FROM lineitem"""
@@ -142,4 +173,10 @@ ORACLE_SQL = {
     "crowded_streams": """WITH s AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) BETWEEN 2 AND 65535)
         SELECT l_suppkey, n, CASE l_suppkey % 4 WHEN 0 THEN CASE WHEN n > 2 THEN 'a revolution is covered twice' END WHEN 2 THEN 'a revolution is not covered' END AS error,
             CASE WHEN l_suppkey % 4 IN (1, 3) THEN n WHEN l_suppkey % 4 = 0 AND n = 2 THEN 2 END AS regions, CASE WHEN l_suppkey % 4 IN (1, 3) OR l_suppkey % 4 = 0 AND n = 2 THEN 10 * n END AS samples FROM s""",
+    "gap_streams": """WITH c AS (SELECT c_custkey, c_custkey % 9 AS s, c_custkey AS k FROM customer),
+        e AS (SELECT *, CASE s WHEN 1 THEN 'payload descriptor 1 is not a well-formed GAP descriptor' WHEN 2 THEN 'gap length, samples or filler disagree with its header' WHEN 3 THEN 'gap length, samples or filler disagree with its header'
+            WHEN 4 THEN 'gap length, samples or filler disagree with its header' WHEN 5 THEN 'payload descriptor 0 has an output range outside its block' WHEN 6 THEN 'a descriptor does not state codec, rate, channels and codec metadata'
+            WHEN 8 THEN 'a track or gap holds an auxiliary revolution' END AS error FROM c)
+        SELECT c_custkey, error, CASE WHEN s IN (0, 6, 7, 8) THEN s = 7 END AS encrypted, CASE WHEN s IN (0, 6, 7, 8) THEN 3 END AS n_entries,
+            CASE WHEN s = 0 THEN 2 * (1000 + k % 7) + 10 + k END AS total_samples, CASE WHEN s = 0 THEN 10 + k END AS gap_samples FROM e""",
 }
