@@ -35,11 +35,17 @@ NEVER = set("aside audio button canvas datalist dialog embed fieldset footer for
 #: A start tag of the first closes an open element of the second, up to a boundary.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 BOUNDARY = {"ul", "ol", "dl", "table", "select", "menu", "body", "article", "section", "div"}
+#: Elements that a start tag of NO_P does not look beyond for a paragraph to close.
+KEEPS_P = BOUNDARY | {"td", "th", "button"}
 NO_P = BLOCK - {"body", "caption", "dd", "dt", "html", "li", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr"} | {"li", "dd", "dt"}
 # Words in a class, an id or a role that mark what is not the article.
 MARKS = set("ad ads adv advert advertisement advertising adverts alert announcement banner breadcrumb breadcrumbs byline-share comment comments commentlist consent contentinfo cookie cookies disclaimer discussion disqus dialog feedback footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination paywall popup privacy promo promoted promotion recommended related replies reply respond rss search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription tags teaser toolbar topbar warning widget complementary".split())
 # What may stand beside such words in a name; any other part, as in has-sidebar or comments-open, makes it another name.
 PARTS = set("area bar block body box button buttons container content count group inner item items label link links list message outer panel placeholder post posts section site slot slots text thread title top unit wrap wrapper zone".split())
+# Whose or which box it is, beside such a word; the name means the same. Of a header they say too little.
+QUALIFIERS = set("article articles author bottom card cards center col column desktop entry extra first floating global inline last left local main mid middle mini mobile more my page pages primary rail reader readers related right secondary section side site sticky stories story sub tertiary the top user users visitor visitors".split())
+# Whole names of what is beside the article without one of the words above.
+WHOLE = set("author-bio author-box author-card author-info bio-box copyright copyright-notice left-column left-rail legal legal-notice legal-text more-articles more-news more-posts more-stories read-more read-next responses response-list right-column right-rail side-bar side-column side-rail up-next you-may-like".split())
 #: Elements of NEVER that show no text of their own, whatever they hold.
 CODE = NEVER - {"aside", "dialog", "fieldset", "footer", "form", "label", "menu", "nav", "noscript"}
 #: Elements of NEVER that pages are wrapped in; beside an article, the others stay out even if they are longer.
@@ -58,6 +64,11 @@ _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
 _BESIDE = re.compile(r"(?:h[1-6]|p|li|blockquote|pre|td|th|dd|dt|figcaption)(?:\.|$)")
+#: Paragraphs of a content path that stay for their own words, however much of them is a link.
+_LINKED = re.compile(r"(?:p|blockquote|td|dd|figcaption)(?:\.|$)")
+#: Boxes of their own within a content area that hold a sentence, as a pulled quote does.
+_BOX = re.compile(r"(?:div|section|figure|center)(?:\.|$)")
+_SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 #: Weights of a block's neighbours when ratios are smoothed.
 SMOOTH = (0.25, 0.5, 0.25)
 #: Share of the standard deviation of the fused scores that content must reach.
@@ -67,30 +78,60 @@ MARKED = 0.1
 
 
 class Suspect:
-    """An element that names itself as no article, and what it turns out to hold."""
+    """An element that names itself as no article, the next such element around it, and what it turns out to hold."""
 
-    __slots__ = ("articles", "chars", "code", "cuts", "prose", "wraps")
+    __slots__ = ("above", "chars", "chief", "code", "cuts", "marked", "never", "prose", "wraps")
 
-    def __init__(self, name: str, cuts: bool):
-        self.code, self.cuts, self.wraps = name in CODE, cuts, not cuts or name in WRAPPERS
-        self.chars, self.prose, self.articles = 0, False, set()
+    def __init__(self, name: str, cuts: bool, above: Suspect | None):
+        self.above, self.cuts, self.wraps = above, cuts, not cuts or name in WRAPPERS
+        self.code = name in CODE or above is not None and above.code
+        self.chars, self.prose, self.chief, self.never, self.marked = 0, False, False, False, False
 
-    def stands(self, chief: int | None, total: int) -> bool:
-        """Whether it is beside the article after all texts of the page are known."""
-        most = self.prose and self.chars > MOST * total and (self.wraps or chief is None)
-        return self.code or not most and chief not in self.articles
+    def judge(self, any_chief: bool, total: int) -> None:
+        """Whether it, or one around it, is beside the article after all texts of the page are known."""
+        most = self.prose and self.chars > MOST * total and (self.wraps or not any_chief)
+        stands = self.code or not most and not self.chief
+        self.marked = stands or self.above is not None and self.above.marked
+        self.never = stands and self.cuts or self.above is not None and self.above.never
+
+
+class Path:
+    """A tag path, as its last step and the path above it."""
+
+    __slots__ = ("above", "below", "in_article", "step")
+
+    def __init__(self, step: str, above: Path | None):
+        self.step, self.above, self.below = step, above, {}
+        self.in_article = step.split(".")[0] == "article" or above is not None and above.in_article
+
+    def child(self, step: str) -> Path:
+        """The one path that goes on with ``step``."""
+        found = self.below.get(step)
+        if found is None:
+            found = self.below[step] = Path(step, self)
+        return found
+
+
+class Element:
+    """An open element, and what stands around it."""
+
+    __slots__ = ("article", "blocks", "main", "name", "path", "suspect")
+
+    def __init__(self, name: str, path: Path, suspect: Suspect | None, main: int, article: int, blocks: int):
+        self.name, self.path, self.suspect, self.main, self.article, self.blocks = name, path, suspect, main, article, blocks
 
 
 class Block:
-    __slots__ = ("articles", "linked", "main", "marked", "never", "path", "suspects", "text")
+    __slots__ = ("article", "linked", "main", "marked", "never", "path", "suspect", "text")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int, suspects: tuple[Suspect, ...], main: int, articles: tuple[int, ...]):
-        self.path, self.text, self.linked, self.suspects, self.main, self.articles = path, text, linked, suspects, main, articles
+    def __init__(self, where: Element, text: str, linked: int):
+        self.path, self.suspect, self.main, self.article = where.path, where.suspect, where.main, where.article
+        self.text, self.linked = text, linked
         self.never = self.marked = False
 
     @property
     def in_article(self) -> bool:
-        return any(step.split(".")[0] == "article" for step in self.path)
+        return self.path.in_article
 
 
 def attributes(tag: str) -> dict[str, str]:
@@ -104,12 +145,17 @@ def attributes(tag: str) -> dict[str, str]:
 
 
 def names_no_article(name: str, inside: bool = False) -> bool:
-    """Whether a whole class, id or role is such a word, or such words with parts that only describe a box.
+    """Whether a whole class, id or role is such a word, or such words with parts that only describe a box or whose it is.
 
     Inside an article a header is the article's own.
     """
     parts = [name] if name in MARKS else [p for p in re.split(r"[-_:]+", name) if p and not p.isdecimal()]
-    return any(p in MARKS and not (inside and p == "header") for p in parts) and all(p in MARKS or p in PARTS for p in parts)
+    marks = {p for p in parts if p in MARKS}
+    if "-".join(parts) in WHOLE:
+        return True
+    if marks <= {"header"}:
+        return bool(marks) and not inside and all(p in marks or p in PARTS for p in parts)
+    return all(p in marks or p in PARTS or p in QUALIFIERS for p in parts)
 
 
 def _hidden(own: dict[str, str]) -> bool:
@@ -127,47 +173,67 @@ def _marked(own: dict[str, str], inside: bool) -> tuple[str, bool]:
     return label, bad
 
 
-def _settle(found: list[Block]) -> None:
-    """Take back the suspicion of what holds most of the page's prose, or its main article."""
-    held: dict[int, int] = {}  # characters outside links, by article
+def _settle(found: list[Block], suspects: list[Suspect], articles: list[tuple[int, Suspect | None]]) -> None:
+    """Take back the suspicion of what holds most of the page's prose, or its main article.
+
+    ``suspects`` are in page order, so what is within comes after what is around;
+    ``articles`` are the number of the article around each, and the suspect around it.
+    """
+    held = [0] * len(articles)  # characters outside links, by article
     total = 0
     for b in found:
-        if any(s.code for s in b.suspects):
+        s = b.suspect
+        if s is not None and s.code:
             continue
         n = max(0, len(b.text) - b.linked)
         total += n
-        for k in b.articles:
-            held[k] = held.get(k, 0) + n
-        for s in b.suspects:
+        held[b.article] += n
+        if s is not None:
             s.chars += n
             s.prose = s.prose or n > 0 and bool(_PUNCT.search(b.text))
-    chief = max(held, key=held.get) if held and max(held.values()) > 0 else None
+    for s in reversed(suspects):
+        if s.above is not None:
+            s.above.chars += s.chars
+            s.above.prose = s.above.prose or s.prose
+    for k in range(len(articles) - 1, 0, -1):
+        held[articles[k][0]] += held[k] if articles[k][0] else 0
+    chief = max(range(1, len(articles)), key=held.__getitem__) if any(held[1:]) else 0
+    s = articles[chief][1]
+    while s is not None:
+        s.chief, s = True, s.above
+    for s in suspects:
+        s.judge(chief > 0, total)
     for b in found:
-        left = [s for s in b.suspects if s.stands(chief, total)]
-        b.never = any(s.cuts for s in left)
-        b.marked = bool(left)
+        if b.suspect is not None:
+            b.never, b.marked = b.suspect.never, b.suspect.marked
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Blocks of text in page order, with their tag paths."""
+    """Blocks of text in page order, with their tag paths; one pass over the page, whatever its depth."""
     out: list[Block] = []
-    stack: list[tuple[str, str, tuple[Suspect, ...], int, tuple[int, ...]]] = [("", "", (), 0, ())]  # name, label, suspects, main elements and articles around
+    root = Element("", Path("", None), None, 0, 0, 0)
+    stack = [root]
+    places: dict[str, list[int]] = {}  # of the open elements of a name, in the stack
+    suspects: list[Suspect] = []
+    articles: list[tuple[int, Suspect | None]] = [(0, None)]
     text: list[str] = []
-    linked, links, n_articles = 0, 0, 0
-    where: tuple = stack[-1]
-    path: tuple[str, ...] = ()
+    linked = 0
+    where = root
 
     def flush() -> None:
         nonlocal linked
         whole = " ".join("".join(text).split())
         if whole:
-            out.append(Block(path, whole, linked, *where[2:]))
+            out.append(Block(where, whole, linked))
         text.clear()
         linked = 0
 
+    def last(names: set[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     def close(k: int) -> None:
-        nonlocal links
-        links -= sum(1 for s in stack[k:] if s[0] == "a")
+        for e in stack[k:]:
+            places[e.name].pop()
         del stack[k:]
 
     page, at = page or "", 0
@@ -175,82 +241,73 @@ def blocks(page: str | None) -> list[Block]:
         t, at = m[0], m.end()
         if t[0] != "<" or t == "<" or t.startswith("<![CDATA["):
             piece = html.unescape(t)
-            if not text:
-                where = stack[-1]
-                path = tuple(f"{s[0]}.{s[1]}" if s[1] else s[0] for s in stack[1:] if s[0] in BLOCK)
-            elif where[2] is not stack[-1][2]:
+            if text and where.suspect is not stack[-1].suspect:
                 flush()
+            if not text:
                 where = stack[-1]
-                path = tuple(f"{s[0]}.{s[1]}" if s[1] else s[0] for s in stack[1:] if s[0] in BLOCK)
             text.append(piece)
-            if links:
+            if places.get("a"):
                 linked += len(piece.strip())
             continue
         if not (n := _NAME.match(t)):
             continue
         name = n[1].lower()
         if t[1] == "/":
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    if name in BLOCK or any(s[0] in BLOCK for s in stack[k:]):
-                        flush()
-                    if name not in BLOCK and any(s[0] in BLOCK for s in stack[k + 1 :]):
-                        break  # an inline end tag does not close blocks around the text
+            if k := last({name}):
+                within = stack[-1].blocks - stack[k].blocks > 0
+                if name in BLOCK or within:
+                    flush()
+                # an inline end tag does not close blocks around the text
+                if name in BLOCK or not within:
                     close(k)
-                    break
             continue
-        if name not in IN_HEAD and len(stack) > 1 and stack[-1][0] == "head":
+        if name not in IN_HEAD and stack[-1].name == "head":
             close(len(stack) - 1)
         if name in BLOCK:
             flush()
-            if name in NO_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in BOUNDARY or stack[k][0] in ("td", "th", "button"):
-                        break
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in CLOSES.get(name, ()):
-                    close(k)
-                    if name in ("li", "option"):
-                        break
-                elif stack[k][0] in BOUNDARY:
+            if name in NO_P and (k := last({"p"})) > last(KEEPS_P):
+                close(k)
+            while name in CLOSES and (k := last(CLOSES[name])) > last(BOUNDARY):
+                close(k)
+                if name in ("li", "option"):
                     break
         if name == "br":
             text.append(" ")
-        if name in VOID or t.endswith("/>") and (name not in BLOCK | RAW | {"a", "b", "i", "span"} or name in RAW and any(s[0] in ("svg", "math") for s in stack)):
+        if name in VOID or t.endswith("/>") and (name not in BLOCK | RAW | {"a", "b", "i", "span"} or name in RAW and last({"svg", "math"})):
             continue
         own = attributes(t) if "=" in t or "hidden" in t.lower() else {}
         above = stack[-1]
-        label, bad = _marked(own, above[3] > 0)
+        label, bad = _marked(own, above.main > 0)
         role = own.get("role", "").lower().split()[:1]
-        main = above[3] + (name in ("article", "main") or role in (["main"], ["article"]))
+        main = above.main + (name in ("article", "main") or role in (["main"], ["article"]))
         whole = name in ("html", "body", "main")
-        cuts = name in NEVER or name == "header" and not above[3] or _hidden(own) and not whole
+        cuts = name in NEVER or name == "header" and not above.main or _hidden(own) and not whole
         # What stands within a line of text is part of it, whatever its class.
         bad = cuts or bad and name in BLOCK and not (whole or HEADING.match(name))
-        articles = above[4]
-        if main > above[3]:
-            n_articles += 1
-            articles = (*articles, n_articles)
-            for s in above[2]:
-                s.articles.add(n_articles)
-        stack.append((name, label, (*above[2], Suspect(name, cuts)) if bad else above[2], main, articles))
-        links += name == "a"
+        article, suspect, path = above.article, above.suspect, above.path
+        if main > above.main:
+            articles.append((article, suspect))
+            article = len(articles) - 1
+        if bad:
+            suspect = Suspect(name, cuts, suspect)
+            suspects.append(suspect)
+        if name in BLOCK:
+            path = path.child(f"{name}.{label}" if label else name)
+        places.setdefault(name, []).append(len(stack))
+        stack.append(Element(name, path, suspect, main, article, above.blocks + (name in BLOCK)))
         if name in RAW:
             if text and name not in BLOCK:
                 text.append(" ")
             end = _RAW_END[name].search(page, at)
             at = end.start() if end else len(page)
     flush()
-    _settle(out)
+    _settle(out, suspects, articles)
     return out
 
 
 def ratios(found: list[Block]) -> list[float]:
     """Fused, smoothed score of each block from its path's aggregates."""
-    sums: dict[tuple[str, ...], list[float]] = {}
+    sums: dict[Path, list[float]] = {}
     for b in found:
         s = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
         n = max(0, len(b.text) - 2 * b.linked)  # linked text counts against a path
@@ -295,12 +352,27 @@ def main_text(page: str | None) -> str:
     for k, s in zip(keys, scores, strict=True):
         best[k] = max(best.get(k, 0.0), s)
     content = {k for k, s in best.items() if s >= floor and s > 0}
-    areas = {(path[:-1], main) for path, main, marked in content if not marked}
+    areas = {(path.above, main) for path, main, marked in content if not marked}
+    boxed = {(path, main) for path, main in areas if path is not None and path.step not in ("", "html", "body")}
+    within: dict[tuple[Path | None, bool], tuple[bool, bool]] = {(None, False): (False, False), (None, True): (False, False)}
+
+    def around(path: Path, main: bool) -> tuple[bool, bool]:
+        """Whether a path is in an area of content, and in one below the page's body."""
+        missing = []
+        while (path, main) not in within:
+            missing.append(path)
+            path = path.above
+        found = within[path, main]
+        for p in reversed(missing):
+            found = within[p, main] = (found[0] or (p, main) in areas, found[1] or (p, main) in boxed)
+        return found
+
     kept = []
     for b, k in zip(found, keys, strict=True):
-        free = 2 * b.linked <= len(b.text)
-        beside = not b.marked and _BESIDE.match(b.path[-1] if b.path else "") and any((b.path[:n], k[1]) in areas for n in range(len(b.path) + 1))
-        if (k in content or beside) and free:
+        step, (near, inner) = b.path.step, around(b.path, k[1])
+        beside = not b.marked and near and (_BESIDE.match(step) or inner and _BOX.match(step) and _SENTENCE.search(b.text))
+        words = not b.marked and near and b.linked < len(b.text) and _LINKED.match(step) and _SENTENCE.search(b.text)
+        if (k in content or beside) and (2 * b.linked <= len(b.text) or words):
             kept.append(b.text)
     return "\n\n".join(kept)
 

@@ -4,6 +4,7 @@ import itertools
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -86,7 +87,7 @@ def test_loose_marks_do_not_cut_the_article(around, shell):
 
 
 def test_names_that_mark():
-    yes, no = "ad comments ad-slot cookie-notice share_bar site-footer comment-12 related-posts nav-list".split(), "has-sidebar no-sidebar with-nav comments-open search-result form-of-government adverb header-image sidebar-left".split()
+    yes, no = "ad comments ad-slot cookie-notice share_bar site-footer comment-12 related-posts nav-list sidebar-left reader-comments main_nav page-footer copyright-notice".split(), "has-sidebar no-sidebar with-nav comments-open search-result form-of-government adverb header-image page-header article-header legally".split()
     assert [n for n in yes + no if html_text.names_no_article(n)] == yes
     assert html_text.attributes("<a b='c d' B=x hidden e = f/g h=\"i>j\"/>") == {"b": "c d", "hidden": "", "e": "f/g", "h": "i>j"}
     assert html_text.main_text(f"<article>{ARTICLE}<div hidden><p>Not seen, at all.</p></div><div aria-hidden=true>Nor this.</div></article>") == WANT
@@ -103,6 +104,31 @@ def test_a_card_set_as_article_does_not_hide_the_story(shell, card):
     assert got.startswith(TOLD) and "disagree" not in got and "Read this" not in got
 
 
+@pytest.mark.parametrize("name", "reader-comments user-comments article-comments responses comments page-footer main-nav promo-card sidebar-left related-articles more-stories right-rail left-column author-bio legal copyright".split())
+@pytest.mark.parametrize("shell", ["<article>{}</article>{}", "<div class=content>{}</div>{}", "<div class=content>{}{}</div>", "{1}<div class=content>{0}</div>", "<article>{}{}</article>"])
+@pytest.mark.parametrize("inner", ["<p>I disagree with this, strongly. It is not so.</p><p>Nor do I, for what it is worth.</p>", "Some text of it, here. And more, too."])
+def test_qualified_names_are_beside_the_article(name, shell, inner):
+    assert html_text.main_text(shell.format(STORY, f"<div class={name}>{inner}</div>")) == TOLD
+
+
+@pytest.mark.parametrize("own", ["<p>See <a href=x>the long report of the board</a>.</p>", "<div class=pull>A quote that was pulled, here.</div>", "<blockquote>By <a href=x>someone who wrote it well.</a></blockquote>"])
+@pytest.mark.parametrize("shell", ["<article>{}</article>", "<div class=content>{}</div>"])
+def test_linked_paragraphs_and_boxes_of_the_article_stay(own, shell):
+    plain = " ".join(re.sub("<[^>]*>", "", own).split())
+    assert html_text.main_text(shell.format(STORY + own + STORY)) == f"{TOLD}\n\n{plain}\n\n{TOLD}"
+
+
+@pytest.mark.parametrize("deep", ["<li><div class=comment>x", "<div>a, b.", "<div class=ad>a, b.", "<article>a.<form>", "<b>a<i>", "<table><tr><td>a<p>"])
+def test_depth_costs_no_more_than_length(deep):
+    """A page four times as deep takes about four times as long, and 200 KB of nested elements few seconds."""
+    took = []
+    for n in (2_000, 8_000):
+        began = time.process_time()
+        html_text.main_text(deep * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 3 and took[1] < 10 * took[0] + 0.5
+
+
 def test_ratios_decide_inside_an_article():
     links = "<div class=x><a href=a>One</a> <a href=b>Two</a> or <a href=c>Three</a></div>"
     assert html_text.main_text(f"<article><h1>Title</h1>{STORY}{links}</article>") == "Title\n\n" + TOLD
