@@ -4,6 +4,7 @@ import random
 import time
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from platterlake.llm import secrets, shards
@@ -85,12 +86,31 @@ def capacity(sizes, n):
     return low
 
 
-def test_shards_brute_force(spark):
-    rnd = random.Random(4)
-    rows = ["x" * rnd.choice([0, 3, 50, 700]) + str(rnd.randrange(400)) for _ in range(600)] + ["giant" * 40] * 300 + [None, "", None]
-    got = shards.shard(frame(spark, rows), 7).collect()
+def placed(sizes, n):
+    """Loads of the slow version: each shard ends nearest to the even share of what is left, or where the capacity ends it."""
+    total, most, out = sum(sizes), capacity(sizes, n), []
+    for even in (True, False):
+        out, load, closed = [], 0, 0
+        for x in sizes:
+            left = n - len(out)
+            if left > 1 and load and (load + x > most or even and (2 * load + x) * left > 2 * (total - closed)):
+                out.append(load)
+                closed, load = closed + load, 0
+            load += x
+        out.append(load)
+        if max(out) <= most:
+            break
+    return out + [0] * (n - len(out))
+
+
+@pytest.mark.parametrize(("seed", "n", "cells"), [(4, 7, 65_536), (5, 24, 16), (6, 7, 4), (7, 3, 2), (8, 24, 64), (9, 1, 16)])
+def test_shards_brute_force(spark, seed, n, cells):
+    """Every group is an atom: with fewer cells than groups the search narrows down to the same cuts."""
+    rnd = random.Random(seed)
+    rows = ["x" * rnd.choice([0, 3, 50, 700]) + str(rnd.randrange(400)) for _ in range(600)] + ["giant" * 40] * rnd.choice([0, 30, 300]) + [None, "", None]
+    got = shards.shard(frame(spark, rows), n, cells=cells).collect()
     assert sorted(r.id for r in got) == list(range(len(rows)))
-    homes, loads, slots, order = {}, [0] * 7, {}, {}
+    homes, loads, slots, order = {}, [0] * n, {}, {}
     for r in got:
         t = rows[r.id] or ""
         assert (r.size, r.text_crc32) == (len(t.encode()) + 8, zlib.crc32(t.encode()))
@@ -98,13 +118,12 @@ def test_shards_brute_force(spark):
         loads[r.shard] += r.size
         slots.setdefault(r.shard, []).append(r.slot)
         order[r.atom] = order.get(r.atom, 0) + r.size
+    assert len(order) == len(set(t or "" for t in rows)) > cells or cells == 65_536
     assert all(len(x) == 1 for x in homes.values())
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     total = sum(order.values())
-    big = lambda a: order[a] if 8 * 7 * order[a] > total else 0
-    assert max(loads) == capacity([order[a] for a in sorted(order, key=lambda a: (-big(a), a))], 7) or max(loads) == max(order.values())
-    rest = [x for x in loads if x < max(order.values())]
-    assert max(rest) - min(rest) < 0.1 * max(rest)
+    big = lambda a: order[a] if 8 * n * order[a] > total else 0
+    assert loads == placed([order[a] for a in sorted(order, key=lambda a: (-big(a), a))], n)
 
 
 def test_shards_edges(spark):
