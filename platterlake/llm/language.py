@@ -37,8 +37,8 @@ MOST_GRAMS = 24
 SCRIPT_SHARE = 0.01
 #: Share of labelled texts that may fit their languages worse than what the least fit is read from.
 ODD_SHARE = 0.001
-#: Fewer labelled texts than this say nothing about the least fit.
-LEAST_ROWS = 30
+#: By how much, shared among the labelled texts that it is read from, the least fit is lower: few texts say little, none say nothing.
+ROOM = 12.0
 #: Words of texts that go through Viterbi together.
 BATCH_WORDS = 250_000
 #: Words whose scores a worker keeps.
@@ -303,16 +303,14 @@ def least_fit(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     """The fit below which a text is in none of the languages, from about ``rows`` labelled rows kept from training.
 
     As far below the fit that all but ODD_SHARE of them reach as that is below
-    their mean. None if there are fewer than LEAST_ROWS of them.
+    their mean, less ROOM by their number: the same rule for any number of them.
+    None if there is not one.
     """
     ready = docs.where(held_out(id_col) & F.col(lang_col).isin(model.languages) & F.col(text_col).isNotNull())
-    n = ready.select(lang_col).count()
-    if n < LEAST_ROWS:
-        return None
     ready = sample(ready, rows, id_col, text_col, lang_col)
     fit = F.col("found.fit")
     got = identify(ready.select(text_col), model, text_col).agg(F.count(fit).alias("n"), F.avg(fit).alias("mean"), F.percentile(fit, F.lit(ODD_SHARE)).alias("low")).first()
-    return None if got.n < LEAST_ROWS else 2 * got.low - got.mean
+    return 2 * got.low - got.mean - ROOM / got.n if got.n else None
 
 
 def fits(least: float | None, penalty: float = SWITCH) -> Column:

@@ -3,6 +3,8 @@
 import os
 import random
 
+import pytest
+
 import corpus_pipeline
 from platterlake.llm import bpe, decontaminate, language, simhash
 
@@ -70,11 +72,13 @@ def test_stages_keep_columns_and_empty_tables(spark, tmp_path):
     assert corpus_pipeline.drop_copies(spark, nulls, str(tmp_path)).count() == 2
 
 
-def test_foreign_documents_are_rejected(spark):
+@pytest.mark.parametrize("n_rows", [60, 90, 120, 400])
+def test_foreign_documents_are_rejected(spark, n_rows):
+    """The rule is the same with 20 labelled documents kept from training and with 130."""
     rnd = random.Random(8)
     parts = {"xx": ["ka", "lo", "mi", "tu"], "yy": ["str", "ing", "orp", "elk"]}
     text = lambda k, n: " ".join("".join(rnd.choice(parts[k]) for _ in range(3)) for _ in range(n))
-    rows = [(i, text(k := rnd.choice(list(parts)), rnd.randint(1, 60)), k) for i in range(400)]
+    rows = [(i, text(k := rnd.choice(list(parts)), rnd.randint(1, 60)), k) for i in range(n_rows)]
     han, cyrillic = "人人生而自由在尊严和权利上一律平等", "Все люди рождаются свободными и равными в своем достоинстве и правах"
     polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw"
     foreign = {900: han, 901: cyrillic, 902: polish, 903: text("xx", 2) + " " + han, 904: text("yy", 3) + " " + polish}
