@@ -29,8 +29,6 @@ one stays or not. Blank lines stay.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +39,7 @@ THRESHOLD = (4, 5)
 BUCKETS = 1 << 21
 #: Buckets of one row of the table while it is built.
 _PART = 4096
-#: Bits of a bitmap that keeps rows out of a shuffle: 2 MB.
+#: Bits of a bitmap that keeps rows out of a shuffle: 4 MB, four bits to a byte.
 BITMAP_BITS = 1 << 24
 #: Lines of so many words have the second half of the signature.
 LONG_LINE = 80
@@ -65,20 +63,20 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.select("doc", "doc_hash", F.posexplode_outer(F.split("whole", "\n")).alias("line_no", "line"))
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> bytes:
-    """For each word bucket its frequency class, rare first: quarter octaves of its count, 0 to 127; 0 is one occurrence at most."""
+def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(levels): for each word bucket its frequency class, rare first: quarter octaves of its count, 0 to 127; 0 is one occurrence at most.
+
+    One row of BUCKETS numbers, whatever the input.
+    """
     whole = F.replace(_spaced(F.col(text_col).cast("string")), F.lit("\n"), F.lit(" "))
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - _KEY_BITS).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     seen = docs.select(F.explode(F.split(whole, " ")).alias("w")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    level = F.least(F.floor(4 * F.log2("n")), F.lit(127)).cast("int")
-    place = F.struct((F.col("bucket") % _PART).alias("at"), level.alias("level"))
-    parts = seen.groupBy(F.floor(F.col("bucket") / _PART).cast("int").alias("part")).agg(F.collect_list(place).alias("p"))
-    listed = parts.select("part", F.array_join(F.transform("p", lambda x: x["at"].cast("string")), ",").alias("at"), F.array_join(F.transform("p", lambda x: F.chr(x["level"])), "").alias("levels"))
-    out = bytearray(BUCKETS)
-    for r in listed.toLocalIterator():  # BUCKETS / _PART rows of at most _PART places
-        for at, one in zip(map(int, r["at"].split(",")), r.levels.encode(), strict=True):
-            out[r.part * _PART + at] = one
-    return bytes(out)
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    level = F.coalesce(F.least(F.floor(4 * F.log2("n")), F.lit(127)), F.lit(0)).cast("tinyint")
+    placed = every.join(seen, "bucket", "left").select("bucket", level.alias("level"))
+    part = F.floor(F.col("bucket") / _PART).cast("int")
+    parts = placed.groupBy(part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("bucket", "level")))["level"].alias("levels"))
+    return parts.agg(F.flatten(F.array_sort(F.collect_list(F.struct("part", "levels")))["levels"]).alias("levels"))
 
 
 def hashed(line: Column) -> Column:
@@ -92,14 +90,17 @@ def token(key: Column) -> Column:
     return F.hash(key.bitwiseAND(F.lit((1 << _KEY_BITS) - 1)))
 
 
-def keyed(each: DataFrame, levels: bytes) -> DataFrame:
-    """Lines with their class (x, sig), size, second signature, and prefix from its first word that occurs twice."""
+def keyed(each: DataFrame, levels: DataFrame) -> DataFrame:
+    """Lines with their class (x, sig), size, second signature, and prefix from its first word that occurs twice.
+
+    ``levels`` is read once, as a scalar subquery: its numbers are no part of the plan.
+    """
 
     def key(h: Column) -> Column:
-        level = F.ascii(F.substring(F.lit(levels), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string"))
+        level = F.get("levels", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
         return F.shiftleft(level.cast("bigint"), _KEY_BITS).bitwiseOR(h)
 
-    sets = each.withColumn("keys", F.sort_array(F.transform(hashed(F.col("line")), key)))
+    sets = each.withColumn("levels", levels.scalar()).withColumn("keys", F.sort_array(F.transform(hashed(F.col("line")), key)))
     size = F.size("keys")
     one = F.lit(1).cast("bigint")
     bit = lambda k: F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))
@@ -169,13 +170,16 @@ def likely(df: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
 
 
 def flagged(df: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
-    """``df`` and ``likely``, false only for keys that are not in ``wanted``: a bitmap of BITMAP_BITS / 32,768 rows of 4 KB at most is broadcast."""
+    """``df`` and ``likely``, false only for keys that are not in ``wanted``: a bitmap of BITMAP_BITS / 32,768 rows of 8 KB at most is broadcast."""
     spot = F.pmod(F.xxhash64(*key), F.lit(BITMAP_BITS))
-    bitmap = wanted.groupBy(F.bitmap_bucket_number(spot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
+    # Spelt in hexadecimal once, so that a row looks at one digit.
+    digits = F.hex(F.bitmap_construct_agg(F.bitmap_bit_position(spot))).cast("binary")
+    bitmap = wanted.groupBy(F.bitmap_bucket_number(spot).alias("part")).agg(digits.alias("digits"))
     placed = df.withColumn("part", F.bitmap_bucket_number(spot)).withColumn("spot", F.bitmap_bit_position(spot).cast("int"))
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(F.col("spot") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, spot % 8)")) != 0, F.lit(False))
-    return placed.join(F.broadcast(bitmap), "part", "left").withColumn("likely", bit).drop("part", "spot", "bits")
+    place = F.expr("2 * shiftright(spot, 3) + if((spot & 4) = 0, 2, 1)")
+    digit = F.ascii(F.substring(F.col("digits"), place, F.lit(1)).cast("string"))
+    bit = F.when(digit > 57, digit - 55).otherwise(digit - 48).bitwiseAND(F.expr("shiftleft(1, spot & 3)")) != 0
+    return placed.join(F.broadcast(bitmap), "part", "left").withColumn("likely", F.coalesce(bit, F.lit(False))).drop("part", "spot", "digits")
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -211,7 +215,8 @@ def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
             both = a["size"] + b["size"]
             similar = (num + den) * F.size(F.array_intersect(a["keys"], b["keys"])) >= num * both
             other = (a["x"] != b["x"]) | (a["sig"] != b["sig"])
-            match = other & ((num + den) * F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= (den - num) * both) & _near(a, b) & ~F.arrays_overlap(a["early"], b["early"]) & similar
+            # What turns most pairs away comes first.
+            match = ((num + den) * F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= (den - num) * both) & other & _near(a, b) & ~F.arrays_overlap(a["early"], b["early"]) & similar
             earlier = F.when(b["at"] < a["at"], F.least(s["earlier"], b["at"])).otherwise(s["earlier"])
             return F.when(match, F.struct((s["n"] + 1).alias("n"), earlier.alias("earlier"))).otherwise(s)
 
@@ -233,7 +238,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text repeats its lines' places, so both fare alike. Other columns are not
     looked at. An empty table gives an empty result.
     """
-    each = shelve(keyed(lines(docs, id_col, text_col), rarity(docs, text_col)))
+    each = shelve(keyed(lines(docs, id_col, text_col), shelve(rarity(docs, text_col))))
     found = shelve(classes(each))
     linked = links(docs, found, id_col, text_col)
     # A line that has its class to itself, without a match, needs none of this.
@@ -254,7 +259,7 @@ def by_document(decided: DataFrame) -> DataFrame:
     """(doc, doc_hash, n_lines, n_kept, n_links, kept_lines, match_docs), a row for each document."""
     no_line = F.col("line_no").isNull()
     return decided.groupBy("doc", "doc_hash").agg(
-        F.count_distinct("line_no").alias("n_lines"),
+        F.coalesce(F.max("line_no") + 1, F.lit(0)).cast("bigint").alias("n_lines"),
         F.array_sort(F.collect_set(F.when(F.col("kept") & ~no_line, F.col("line_no")))).alias("kept_lines"),
         F.sum("links").alias("n_links"),
         F.array_sort(F.collect_set("match_doc")).alias("match_docs"),
