@@ -12,7 +12,7 @@ from ..functions import variants
 from ..operators import sweep
 from ..sources import frames, package_source, streams
 from ..streaming import receipts
-from . import wire
+from . import report, wire
 
 DAY = 86_400_000_000
 #: Seconds after which a digest is new again, and that a row may be behind.
@@ -114,8 +114,8 @@ def crowded_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("path").cast("bigint").alias("l_suppkey"), F.size("entries").cast("bigint").alias("n"), "error", "regions", "samples")
 
 
-def gap_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream for each customer of two tracks around an entry of silence, and what is wrong with it.
+def silent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a stream for each customer of two tracks around an entry of silence.
 
     By nine, 1 has a silence without a rate in its descriptor, 2 one of no samples, 3
     one of another length than stated, 4 one with a byte that its seed does not give,
@@ -139,13 +139,31 @@ def gap_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.concat(body, silence, body)
     nonce = F.unhex(F.when(spoiled == 7, "00" * streams.NONCE_BYTES).otherwise(""))
     chunk = F.concat(c.varuint(F.octet_length(payload)), wire._u(F.crc32(payload), 4), nonce, payload)
-    files = _table(spark, sf_dir, "customer").select(k.cast("string").alias("path"), F.concat(F.lit(streams.MAGIC), wire._u(F.octet_length(meta), 4), meta, chunk).alias("content"))
-    found = sweep.settle(streams.records(files))
+    return _table(spark, sf_dir, "customer").select(k.cast("string").alias("path"), F.concat(F.lit(streams.MAGIC), wire._u(F.octet_length(meta), 4), meta, chunk).alias("content"))
+
+
+def record_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of the streams with silence, by record, descriptor and entry."""
+    found = report.findings(streams.parsed(silent_files(spark, sf_dir)))
+    return found.select(F.col("path").cast("bigint").alias("c_custkey"), "label", "idx", "ok", "detail")
+
+
+def record_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the one JSON document of each order's stream says of it: lengths and digests."""
+    files = wire.order_streams(spark, sf_dir)
+    found = report.record_json(files, streams.parsed(files))
+    at = lambda path, kind, name: F.get_json_object("json", f"$.{path}").cast(kind).alias(name)
+    return found.select(F.col("path").cast("bigint").alias("l_orderkey"), at("record.error", "string", "error"), at("stream.n_chunks", "bigint", "n_chunks"), at("stream.payload_bytes", "bigint", "payload_bytes"), at("stream.payload_sha256", "string", "payload_sha256"), at("stream.chunks[0].sha256", "string", "first_sha256"), at("stream.tracks[0].title", "string", "title"))
+
+
+def gap_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the streams with silence, and how long the sound ones last."""
+    found = sweep.settle(streams.records(silent_files(spark, sf_dir)))
     silent = found.select(F.col("path").alias("of"), F.get("entries", F.lit(1))["samples"].alias("gap_samples"))
     return streams.summary(found).join(silent, F.col("path") == F.col("of")).select(F.col("path").cast("bigint").alias("c_custkey"), "error", "encrypted", "n_entries", F.when(F.col("error").isNull(), F.col("total_samples")).alias("total_samples"), F.when(F.col("error").isNull(), F.col("gap_samples")).alias("gap_samples"))
 
 
-QUERIES = {f.__name__: f for f in (lines_outside_returns, purchase_after_view, next_error, receipt_replay, order_frames, package_titles, json_members, crowded_streams, gap_streams)}
+QUERIES = {f.__name__: f for f in (lines_outside_returns, purchase_after_view, next_error, receipt_replay, order_frames, package_titles, json_members, crowded_streams, gap_streams, record_findings, record_documents)}
 
 _LINE = """SELECT l_suppkey, l_orderkey, l_linenumber, l_returnflag, CAST(CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS BIGINT) AS start,
     CAST(CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS BIGINT) + CAST(l_quantity AS BIGINT) AS "end" FROM lineitem"""
@@ -173,6 +191,26 @@ ORACLE_SQL = {
     "crowded_streams": """WITH s AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) BETWEEN 2 AND 65535)
         SELECT l_suppkey, n, CASE l_suppkey % 4 WHEN 0 THEN CASE WHEN n > 2 THEN 'a revolution is covered twice' END WHEN 2 THEN 'a revolution is not covered' END AS error,
             CASE WHEN l_suppkey % 4 IN (1, 3) THEN n WHEN l_suppkey % 4 = 0 AND n = 2 THEN 2 END AS regions, CASE WHEN l_suppkey % 4 IN (1, 3) OR l_suppkey % 4 = 0 AND n = 2 THEN 10 * n END AS samples FROM s""",
+    "record_findings": """WITH c AS (SELECT c_custkey AS k, c_custkey % 9 AS s, 1000 + c_custkey % 7 AS n, c_custkey % 40 + 1 AS b FROM customer),
+        p AS (SELECT *, CASE WHEN s = 6 THEN 'channels are not stated' END AS mute, s = 7 AS shut, CASE WHEN s = 7 THEN 'entry is encrypted' END AS why FROM c WHERE s IN (0, 6, 7, 8)),
+        f AS (SELECT k, unnest([
+            {'label': 'stream parses', 'idx': NULL, 'bad': NULL, 'good': (116 - CASE WHEN s = 6 THEN 1 ELSE 0 END + CASE WHEN s = 7 THEN 12 ELSE 0 END + 2 * b) || ' bytes'},
+            {'label': 'metadata version', 'idx': NULL, 'bad': NULL, 'good': 'version 2'},
+            {'label': 'tracks and gaps', 'idx': NULL, 'bad': CASE WHEN s = 8 THEN 'a track or gap holds an auxiliary revolution' END, 'good': '2 tracks and 0 gaps hold every playable entry once'},
+            {'label': 'bytes of the entries', 'idx': NULL, 'bad': NULL, 'good': '3 entries hold ' || (2 * b + 28) || ' bytes'},
+            {'label': 'programme map', 'idx': NULL, 'bad': CASE WHEN shut THEN 'an entry has no known duration' WHEN s <> 8 THEN 'an entry is under no track or gap' END, 'good': (2 * n + 10 + k) || ' samples in 3 entries'},
+            {'label': 'descriptor is valid', 'idx': 0, 'bad': NULL, 'good': 'container ECDC'}, {'label': 'descriptor is valid', 'idx': 1, 'bad': NULL, 'good': 'container GAP'},
+            {'label': 'music is described', 'idx': 0, 'bad': mute, 'good': 'codec, format, output range and codec metadata are stated'},
+            {'label': 'silence is described', 'idx': 1, 'bad': NULL, 'good': 'codec and format are stated, and nothing else'},
+            {'label': 'music has a length', 'idx': 0, 'bad': why, 'good': n || ' samples, ' || b || ' bytes'}, {'label': 'music has a length', 'idx': 2, 'bad': why, 'good': n || ' samples, ' || b || ' bytes'},
+            {'label': 'silence has a length', 'idx': 1, 'bad': why, 'good': (10 + k) || ' samples, 28 bytes'}]) AS f FROM p)
+        SELECT k AS c_custkey, f.label AS label, CAST(f.idx AS INT) AS idx, f.bad IS NULL AS ok, coalesce(f.bad, f.good) AS detail FROM f
+        UNION ALL SELECT k, 'stream parses', NULL, false, CASE s WHEN 1 THEN 'payload descriptor 1 is not a well-formed GAP descriptor' WHEN 5 THEN 'payload descriptor 0 has an output range outside its block' ELSE 'gap length, samples or filler disagree with its header' END FROM c WHERE s BETWEEN 1 AND 5""",
+    "record_documents": f"""WITH {wire._STREAMS}, d AS (SELECT t.o, string_agg(repeat(chr(CAST(97 + l_linenumber % 26 AS INT)), len), '' ORDER BY idx) AS body, CAST(first(len ORDER BY idx) AS INT) AS head FROM t GROUP BY t.o),
+        k AS (SELECT e.o, e.n, e.s, e.total, e.cut, body, head, CASE WHEN s = 3 AND total = 1 THEN 'chunk at byte ' || (SELECT h.head FROM h WHERE h.o = e.o) || ' is empty' WHEN s IN (0, 1, 2, 3, 6) THEN error END AS error FROM e JOIN d USING (o))
+        SELECT o AS l_orderkey, error, CASE WHEN error IS NULL THEN CASE WHEN s <> 7 THEN n WHEN cut < total THEN 2 ELSE 1 END END AS n_chunks, CASE WHEN error IS NULL THEN total END AS payload_bytes,
+            CASE WHEN error IS NULL THEN sha256(body) END AS payload_sha256, CASE WHEN error IS NULL THEN sha256(left(body, CASE WHEN s = 7 THEN CAST(least(cut, total) AS INT) ELSE head END)) END AS first_sha256,
+            CASE WHEN error IS NULL THEN 'Side ' || o || '-1' END AS title FROM k""",
     "gap_streams": """WITH c AS (SELECT c_custkey, c_custkey % 9 AS s, c_custkey AS k FROM customer),
         e AS (SELECT *, CASE s WHEN 1 THEN 'payload descriptor 1 is not a well-formed GAP descriptor' WHEN 2 THEN 'gap length, samples or filler disagree with its header' WHEN 3 THEN 'gap length, samples or filler disagree with its header'
             WHEN 4 THEN 'gap length, samples or filler disagree with its header' WHEN 5 THEN 'payload descriptor 0 has an output range outside its block' WHEN 6 THEN 'a descriptor does not state codec, rate, channels and codec metadata'

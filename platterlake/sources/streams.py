@@ -218,22 +218,30 @@ def _held(ranges: str | Column) -> Column:
 def fault() -> Column:
     """What is wrong with a parsed record beyond its bytes, or null: work within the row, nothing is joined.
 
+    A payload of the first container states its codec, rate, channels and codec
+    metadata; tracks and gaps are as ``misplaced`` asks.
+    """
+    stated = lambda d: (F.upper(d["codec"]) == "ECDC") & (d["sample_rate"] > 0) & (d["channels"] > 0) & d["codec_metadata"].isNotNull()
+    bare = F.exists("payload_descriptors", lambda d: (F.upper(d["container"]) == "ECDC") & ~F.coalesce(stated(d), F.lit(False)))
+    return F.when(bare, "a descriptor does not state codec, rate, channels and codec metadata").otherwise(misplaced())
+
+
+def misplaced() -> Column:
+    """What is wrong with the tracks and gaps of a parsed record, or null.
+
     Each revolution of a playable container lies in one track or gap, tracks follow
     one another, and neither holds an auxiliary revolution; a record without a
-    playable one is not asked. A payload of the first container states its codec,
-    rate, channels and codec metadata. Ranges are sorted and never taken apart into
+    playable one is not asked. Ranges are sorted and never taken apart into
     revolutions; they are looked at one by one only if no two of them overlap.
     """
     ends = F.transform("tracks", lambda t: t["first_rev"] + t["rev_count"])
     late = F.exists(F.arrays_zip(F.transform(F.slice("tracks", 2, F.greatest(F.size("tracks") - 1, F.lit(0))), lambda t: t["first_rev"]).alias("first"), ends.alias("end")), lambda p: F.coalesce(p["first"] < p["end"], F.lit(False)))
-    stated = lambda d: (F.upper(d["codec"]) == "ECDC") & (d["sample_rate"] > 0) & (d["channels"] > 0) & d["codec_metadata"].isNotNull()
     playable = F.size(F.filter("entries", _playable))
     kinds = F.encode(F.array_join(F.transform("entries", lambda e: F.when(_playable(e), "p").otherwise("a")), ""), "UTF-8")
     auxiliary = let(kinds, lambda k: F.exists(F.concat(F.transform("tracks", _span), F.transform("track_gaps", _span)), lambda r: F.contains(F.substring(k, r["at"], r["n"]), F.lit(b"a"))))
     owned = _held("tracks") + _held("track_gaps")
     return (
-        F.when(F.exists("payload_descriptors", lambda d: (F.upper(d["container"]) == "ECDC") & ~F.coalesce(stated(d), F.lit(False))), "a descriptor does not state codec, rate, channels and codec metadata")
-        .when(playable == 0, None)
+        F.when(playable == 0, None)
         .when(late, "a track begins inside the one before it")
         .when(_crossing(_ranges()), "a revolution is covered twice")
         .when(auxiliary, "a track or gap holds an auxiliary revolution")
