@@ -335,9 +335,12 @@ def codec_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_aads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What binds encrypted chunks to their stream's metadata: a digest of the associated data, here of each part's name as metadata."""
-    aad = c.chunk_aad(b"aad-1", F.encode("p_name", "UTF-8"))
-    return _table(spark, sf_dir, "part").select("p_partkey", F.octet_length(aad).cast("bigint").alias("n"), F.sha2(aad, 256).alias("aad_sha256"))
+    """What binds a stream's encrypted chunks to its metadata, for every order's stream: how long its metadata and the associated data are, and a digest of the latter."""
+    made = order_streams(spark, sf_dir)
+    size = c.u32be(F.col("content"), 4)
+    framed = made.select("path", F.substring(F.col("content"), F.lit(9), size.cast("int")).alias("meta"))
+    aad = c.chunk_aad(b"aad-1", F.col("meta"))
+    return framed.select(_key(framed), F.octet_length("meta").cast("bigint").alias("n"), F.octet_length(aad).cast("bigint").alias("aad_bytes"), F.sha2(aad, 256).alias("aad_sha256"))
 
 
 _P = geometry.MILLIMETRES
@@ -371,6 +374,11 @@ def _draw(k: int) -> str:
         y{k} AS (SELECT o, {second} AS m FROM w{k}), d{k} AS (SELECT o, xor(m, m >> 31) AS draw FROM y{k})"""
 
 
+def _leb(value: str) -> str:
+    """Hexadecimal of a number below 16,384 as LEB128 in SQL."""
+    return f"CASE WHEN {value} < 128 THEN lpad(to_hex({value}), 2, '0') ELSE lpad(to_hex(({value}) % 128 + 128), 2, '0') || lpad(to_hex(({value}) // 128), 2, '0') END"
+
+
 def _tlv(tag: int, value: str | None) -> str:
     """Hexadecimal of a tag, a length and a value that is itself hexadecimal in SQL."""
     return f"'{tag:02x}00000000'" if value is None else f"'{tag:02x}' || lpad(to_hex(length({value}) // 2), 8, '0') || {value}"
@@ -411,7 +419,14 @@ ORACLE_SQL = {
         g AS (SELECT *, label >= 1 AND clearance >= 12 AND label + clearance < outer_ AS good FROM p)
         SELECT p_partkey, CASE WHEN good THEN CAST(label AS INT) END AS label_radius, CASE WHEN good THEN CAST(label + clearance AS INT) END AS inner_radius, CASE WHEN good THEN CAST(outer_ AS INT) END AS outer_radius FROM g""",
     "codec_metadata": """SELECT p_partkey, '{"m":"' || p_brand || '","nc":' || p_size || ',"lm":' || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || ',"fp":' || p_partkey || ',"mr":' || p_partkey % 7 || ',"acv":' || p_partkey % 3 || ',"fl":' || p_partkey * 2 || '}' AS json, 7 AS members FROM part""",
-    "chunk_aads": "SELECT p_partkey, 9 + strlen(p_name) AS n, sha256(encode('aad-1') || unhex(lpad(to_hex(strlen(p_name)), 8, '0')) || encode(p_name)) AS aad_sha256 FROM part",
+    "chunk_aads": f"""WITH {_STREAMS}, b AS (SELECT o, string_agg({_leb("len")} || CASE WHEN idx >= p THEN '01' ELSE '00' END, '' ORDER BY idx) AS entries FROM t JOIN e USING (o) GROUP BY o),
+        d AS (SELECT *, CASE WHEN s = 6 THEN '000120' ELSE lpad(to_hex(strlen('Side ' || o || '-1')), 4, '0') || hex(encode('Side ' || o || '-1')) END AS one,
+            CASE WHEN s = 6 THEN '000120' ELSE lpad(to_hex(strlen('Side ' || o || '-2')), 4, '0') || hex(encode('Side ' || o || '-2')) END AS two, CASE WHEN s = 5 THEN p - 2 ELSE p - 1 END AS late FROM e JOIN b USING (o)),
+        m AS (SELECT o, unhex('020E02' || '011F' || '0004' || hex(encode('ECDC')) || '0000BB80' || '02' || lpad(to_hex(samples + 9), 8, '0') || '00000005' || lpad(to_hex(samples), 8, '0') || '00000002' || hex(encode('{{}}'))
+            || 'FF' || '0004' || hex(encode('NOTE')) || CASE WHEN o % 2 = 0 THEN '06' || '0000BB80' || '02' ELSE '00' END || lpad(to_hex(n), 4, '0') || entries
+            || CASE WHEN p >= 3 THEN '0002' || one || '00' || {_leb("p - 2")} || two || {_leb("late")} || {_leb("p - late")} ELSE '0001' || one || '00' || {_leb("p")} END
+            || CASE WHEN p >= 3 AND s <> 4 THEN '0001' || {_leb("p - 2")} || '0100' ELSE '0000' END || CASE WHEN s = 2 THEN '00' ELSE '' END) AS meta FROM d)
+        SELECT o AS l_orderkey, octet_length(meta) AS n, octet_length(meta) + 9 AS aad_bytes, sha256(encode('aad-1') || unhex(lpad(to_hex(octet_length(meta)), 8, '0')) || meta) AS aad_sha256 FROM m""",
     "stream_errors": f"WITH {_STREAMS} SELECT o AS l_orderkey, CASE WHEN s = 3 AND total = 1 THEN 'chunk at byte ' || head || ' is empty' ELSE error END AS error FROM e JOIN h USING (o)",
     "stream_entries": f"""WITH {_STREAMS} SELECT o AS l_orderkey, CAST(idx AS INT) AS idx, len AS byte_length, pos AS byte_offset, CAST(idx >= p AS INT) AS descriptor_idx,
         CASE WHEN idx < p THEN samples END AS samples, sha256(repeat(chr(CAST(97 + l_linenumber % 26 AS INT)), len)) AS sha256 FROM t JOIN e USING (o) WHERE error IS NULL""",

@@ -1,5 +1,6 @@
 """Registered queries on the smallest tables against their SQL."""
 
+import hashlib
 import os
 
 import duckdb
@@ -33,3 +34,15 @@ def test_query(spark, tables, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == order
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in order) for r in found.fetchall()), key=repr) and got
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the given tables are not here")
+def test_associated_data_of_every_stream(spark, tables):
+    """Every order's stream, with its metadata as it stands in the bytes."""
+    rows = {r.l_orderkey: r for r in wire.chunk_aads(spark, FOLDER).collect()}
+    made = {int(r.path): bytes(r.content) for r in wire.order_streams(spark, FOLDER).collect()}
+    assert len(rows) == tables.execute("SELECT count(DISTINCT l_orderkey) FROM lineitem").fetchone()[0] and rows.keys() == made.keys()
+    for o, content in made.items():
+        size = int.from_bytes(content[4:8], "big")
+        aad = b"aad-1" + content[4 : 8 + size]
+        assert (rows[o].n, rows[o].aad_bytes, rows[o].aad_sha256) == (size, len(aad), hashlib.sha256(aad).hexdigest())
