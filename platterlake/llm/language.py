@@ -24,8 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The classifier is fitted on about so many labelled rows, as many of each language, chosen by a hash; whole texts.
-LABELLED_ROWS = 10_000
 #: Hashed n-grams of a language.
 TABLE = 65_536
 ORDERS = (1, 2, 3, 4)
@@ -41,8 +39,10 @@ ODD_SHARE = 0.001
 ROOM = 12.0
 #: Words of texts that go through Viterbi together.
 BATCH_WORDS = 250_000
-#: Words whose scores a worker keeps.
+#: Words whose scores, or counts, a worker keeps.
 KEPT_WORDS = 150_000
+#: Ranges that numbers are counted in to find one by its rank.
+CELLS = 4_096
 UNKNOWN = "und"
 # First code points of script ranges, and their names.
 _RANGES = ((0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3130, "hangul"), (0x3190, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"))
@@ -214,19 +214,32 @@ class Labeler:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, Counter] = {}
+    tables: dict[str, np.ndarray] = {}
+    kept = 0
+
+    def fold() -> None:
+        for lang, counted in seen.items():
+            found = list(counted)
+            own = tables.setdefault(lang, np.zeros(TABLE + len(SCRIPTS)))
+            for i in range(0, len(found), 20_000):
+                part = found[i : i + 20_000]
+                place, owner = grams(part)
+                weight = np.fromiter((counted[w] for w in part), dtype=np.float64, count=len(part))
+                own[:TABLE] += np.bincount(place, weights=weight[owner], minlength=TABLE)
+                own[TABLE:] += np.bincount([script(w) for w in part], weights=[counted[w] * len(w) for w in part], minlength=len(SCRIPTS))
+        seen.clear()
+
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-            seen.setdefault(lang.as_py(), Counter()).update(words(text.as_py()))
-    for lang, counted in seen.items():
-        found, scripts = list(counted), np.zeros(len(SCRIPTS))
-        table = np.zeros(TABLE)
-        for i in range(0, len(found), 20_000):
-            part = found[i : i + 20_000]
-            place, owner = grams(part)
-            weight = np.fromiter((counted[w] for w in part), dtype=np.float64, count=len(part))
-            table += np.bincount(place, weights=weight[owner], minlength=TABLE)
-            scripts += np.bincount([script(w) for w in part], weights=[counted[w] * len(w) for w in part], minlength=len(SCRIPTS))
-        both = np.concatenate((table, scripts))
+            own = seen.setdefault(lang.as_py(), Counter())
+            before = len(own)
+            own.update(words(text.as_py()))
+            kept += len(own) - before
+            if kept > KEPT_WORDS:
+                fold()
+                kept = 0
+    fold()
+    for lang, both in tables.items():
         at = np.flatnonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(both[at].astype(np.int64), pa.int64())], names=["lang", "place", "n"])
 
@@ -251,14 +264,15 @@ def sample(ready: DataFrame, rows: int, id_col: str, text_col: str, lang_col: st
     return ready.where(F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 1) < F.try_element_at(limit, lang))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = LABELLED_ROWS) -> Model:
-    """Fit on at most about ``rows`` labelled rows that are not held out.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int | None = None) -> Model:
+    """Fit on all labelled rows that are not held out, or on about ``rows`` of them if a caller wants a quick model.
 
     Rows without a label or a text teach nothing. What comes to the driver is one
     table of fixed size for each language.
     """
     ready = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ready = sample(ready, rows, id_col, text_col, lang_col)
+    if rows is not None:
+        ready = sample(ready, rows, id_col, text_col, lang_col)
     counts = ready.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(_count, "lang string, place int, n bigint")
     found: dict[str, np.ndarray] = {}
     summed = counts.groupBy("lang", "place").agg(F.sum("n").alias("n"))
@@ -299,18 +313,40 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
     return packed.select("row", run(packed["row"].getField(text_col).cast("string")).alias("found"))
 
 
-def least_fit(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = LABELLED_ROWS) -> float | None:
-    """The fit below which a text is in none of the languages, from about ``rows`` labelled rows kept from training.
+def ranked(values: DataFrame, rank: int) -> float:
+    """The number of rank ``rank``, from 0, in the one column of ``values``, none of them null.
+
+    Counted in CELLS ranges from the least to the greatest, then within the range
+    that has it until all in it are equal, so no more than CELLS rows meet.
+    """
+    v = F.col(values.columns[0])
+    bounds = F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")
+    found = values.agg(*bounds).first()
+    while found.low < found.high:
+        cell = F.floor((v - found.low) / (found.high - found.low) * CELLS)
+        for found in values.where(v.between(found.low, found.high)).groupBy(cell.alias("cell")).agg(*bounds).orderBy("cell").collect():
+            if rank < found.n:
+                break
+            rank -= found.n
+    return found.low
+
+
+def least_fit(found: DataFrame, model: Model, id_col: str = "doc_id", lang_col: str = "lang") -> float | None:
+    """The fit below which a text is in none of the languages, from all labelled rows of ``found``, as ``identify`` gives it, kept from training.
 
     As far below the fit that all but ODD_SHARE of them reach as that is below
     their mean, less ROOM by their number: the same rule for any number of them.
-    None if there is not one.
+    None if there is not one. ``found`` is read several times.
     """
-    ready = docs.where(held_out(id_col) & F.col(lang_col).isin(model.languages) & F.col(text_col).isNotNull())
-    ready = sample(ready, rows, id_col, text_col, lang_col)
-    fit = F.col("found.fit")
-    got = identify(ready.select(text_col), model, text_col).agg(F.count(fit).alias("n"), F.avg(fit).alias("mean"), F.percentile(fit, F.lit(ODD_SHARE)).alias("low")).first()
-    return 2 * got.low - got.mean - ROOM / got.n if got.n else None
+    kept = found.where(held_out(f"row.{id_col}") & F.col(f"row.{lang_col}").isin(model.languages) & F.col("found.fit").isNotNull()).select("found.fit")
+    got = kept.agg(F.count("fit").alias("n"), F.avg("fit").alias("mean")).first()
+    if not got.n:
+        return None
+    rank, part = divmod((got.n - 1) * ODD_SHARE, 1)
+    low = ranked(kept, int(rank))
+    if part:
+        low += part * (ranked(kept, int(rank) + 1) - low)
+    return 2 * low - got.mean - ROOM / got.n
 
 
 def fits(least: float | None, penalty: float = SWITCH) -> Column:

@@ -1,12 +1,15 @@
 """HTML extraction on planted pages; language ID by brute force and held-out accuracy."""
 
 import itertools
+import math
 import os
 import random
 import re
 import time
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from platterlake.llm import html_text, language
@@ -206,6 +209,41 @@ def test_sampling_never_comes_to_nothing():
         assert 0.9 * min(n, 2_500) <= found["aa"] * n / 2**63 <= max(1.1 * 2_500, n if n <= 2_500 else 0)
 
 
+def test_all_labelled_rows_count(spark):
+    """More rows than a sample would have: the table and the least fit come from each of them."""
+    rnd = random.Random(12)
+    texts = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 6))) for _ in range(4)) for _ in range(40_000)]
+    docs = spark.createDataFrame([(i, t, "xx" if i % 4 else "yy") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string").repartition(3)
+    own = {x: np.zeros(language.TABLE) for x in ("xx", "yy")}
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            np.add.at(own["xx" if i % 4 else "yy"], language.grams(t.split())[0], 1)
+    model = language.train(docs)
+    scripts = np.zeros((2, len(language.SCRIPTS)))
+    scripts[:, language.SCRIPTS.index("latin")] = 1
+    assert np.array_equal(model.table, language.Model(["xx", "yy"], np.array([own["xx"], own["yy"]]), scripts).table)
+    found = language.identify(docs, model).cache()
+    fits = [r.found.fit for r in found.collect() if zlib.crc32(str(r.row.doc_id).encode()) % 3 == 1]
+    assert len(fits) > 13_000
+    want = 2 * np.percentile(fits, 100 * language.ODD_SHARE) - np.mean(fits) - language.ROOM / len(fits)
+    assert abs(language.least_fit(found, model) - want) < 1e-9
+
+
+def test_words_are_folded_into_tables_when_there_are_many(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(["aa", "bb", "aa"]), pa.array(["one two three", "four five", "one six"])], names=["lang", "text"])
+    whole = [b.to_pylist() for b in language._count(iter([batch, batch]))]
+    monkeypatch.setattr(language, "KEPT_WORDS", 2)
+    assert [b.to_pylist() for b in language._count(iter([batch, batch]))] == whole
+
+
+def test_ranked(spark):
+    rnd = random.Random(13)
+    for values in ([-3.5], [-2.0] * 50, [-99.0, *[-rnd.random() for _ in range(3_000)], -1e-300, 0.0], [1.0, math.nextafter(1.0, 2.0), 1.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        for rank in {0, 1 % len(values), len(values) // 2, len(values) - 1}:
+            assert language.ranked(df, rank) == sorted(values)[rank]
+
+
 def test_spans_where_lower_case_is_longer(spark):
     rows = [(i, "the small house is on the hill " * 3 if i % 2 else "das kleine Haus steht auf dem Berg " * 3, "en" if i % 2 else "de", None) for i in range(60)]
     schema = "doc_id bigint, text string, lang string, found string"
