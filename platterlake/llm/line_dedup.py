@@ -16,7 +16,8 @@ join is done twice over:
 2. The words of the candidates' lines are fetched (all lines are scanned once more;
    a bitmap of fixed size, broadcast, keeps most others out of the shuffle, and the
    join decides). The candidates of a prefix word are cut into tiles of bounded size,
-   and tiles of one word are joined: similarity is verified where two classes meet,
+   those of a common word by ranges of their sizes too, and tiles of one word and of
+   the same or neighbouring ranges are joined: similarity is verified where two classes meet,
    and only a class's number of matches and its earliest one leave the tile. No pair
    is stored, shuffled or made a row.
 
@@ -29,6 +30,9 @@ one stays or not. Blank lines stay.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +49,8 @@ BITMAP_BITS = 1 << 24
 LONG_LINE = 80
 #: Words of the lines of one tile, about.
 TILE_WORDS = 1 << 16
+#: Words of the lines of a prefix word from which its tiles are also cut by size.
+CUT_WORDS = 1 << 12
 _KEY_BITS = 56
 
 
@@ -79,10 +85,20 @@ def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return parts.agg(F.flatten(F.array_sort(F.collect_list(F.struct("part", "levels")))["levels"]).alias("levels"))
 
 
-def hashed(line: Column) -> Column:
-    """The line's distinct words as 56-bit numbers."""
-    each = F.array_distinct(F.transform(F.split(_spaced(line), " "), lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - _KEY_BITS)))
-    return F.array_remove(each, F.shiftrightunsigned(F.xxhash64(F.lit("")), 64 - _KEY_BITS))
+def _number(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 64 - _KEY_BITS)
+
+
+def hashed(line: Column, key: Callable[[Column], Column] | None = None, blank: Column | None = None) -> Column:
+    """The line's distinct words as 56-bit numbers, or as what ``key`` makes of these, which is ``blank`` for no word.
+
+    What Spark interprets, the functions on single elements, is innermost, so the
+    rest is compiled.
+    """
+    each = F.transform(F.split(_spaced(line), " "), _number)
+    if key is not None:
+        each = F.transform(each, key)
+    return F.array_distinct(F.array_remove(each, _number(F.lit("")) if blank is None else blank))
 
 
 def token(key: Column) -> Column:
@@ -96,11 +112,13 @@ def keyed(each: DataFrame, levels: DataFrame) -> DataFrame:
     ``levels`` is read once, as a scalar subquery: its numbers are no part of the plan.
     """
 
-    def key(h: Column) -> Column:
-        level = F.get("levels", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    def key(h: Column, numbers: Column) -> Column:
+        # never null, so that the numbers are sorted and compared as plain ones
+        level = F.coalesce(F.get(numbers, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("tinyint"))
         return F.shiftleft(level.cast("bigint"), _KEY_BITS).bitwiseOR(h)
 
-    sets = each.withColumn("levels", levels.scalar()).withColumn("keys", F.sort_array(F.transform(hashed(F.col("line")), key)))
+    keys = hashed(F.col("line"), lambda h: key(h, F.col("levels")), key(_number(F.lit("")), levels.scalar()))
+    sets = each.withColumn("levels", levels.scalar()).withColumn("keys", F.sort_array(keys))
     size = F.size("keys")
     one = F.lit(1).cast("bigint")
     bit = lambda k: F.call_function("shiftleft", one, k.bitwiseAND(F.lit(63)).cast("int"))
@@ -203,10 +221,13 @@ def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
     met = words.repartition("sig", "size").dropDuplicates(["x", "sig", "size"]).join(points, ["sig", "size"])
     place = F.array_position("prefix", F.col("token")).cast("int")
     rows = met.where(place > 0).select("token", F.struct("x", "sig", "sig2", "size", "at", F.slice("prefix", 1, F.greatest(place - 1, F.lit(0))).alias("early"), "keys").alias("row"))
-    parts = points.groupBy("token").agg(F.ceil(F.sum("size") / TILE_WORDS).alias("parts"))
+    parts = points.groupBy("token").agg(F.ceil(F.sum("size") / TILE_WORDS).alias("parts"), (F.sum("size") > CUT_WORDS).alias("cut"))
     part = F.pmod(F.xxhash64("row.x", "row.sig"), F.col("parts"))
-    tiles = rows.join(parts, "token").groupBy("token", part.alias("part")).agg(F.collect_list("row").alias("rows"))
-    both = tiles.alias("a").join(tiles.alias("b"), F.col("a.token") == F.col("b.token")).select(F.col("a.rows").alias("left"), F.col("b.rows").alias("right"))
+    # A little wider than what two sizes may differ by, so matches are in the same range or in neighbours.
+    band = F.when(F.col("cut"), F.floor(F.log("row.size") / (math.log(den / num) + 1e-6))).otherwise(F.lit(0).cast("bigint"))
+    tiles = rows.join(parts, "token").groupBy("token", band.alias("band"), part.alias("part")).agg(F.collect_list("row").alias("rows"))
+    near = F.abs(F.col("a.band") - F.col("b.band")) <= 1
+    both = tiles.alias("a").join(tiles.alias("b"), (F.col("a.token") == F.col("b.token")) & near).select(F.col("a.rows").alias("left"), F.col("b.rows").alias("right"))
 
     def matched(a: Column) -> Column:
         """How many rows of the right tile match a row of the left one, and the earliest place before its own."""

@@ -74,3 +74,13 @@ def test_classes_that_share_a_signature(spark):
     got = {r.doc: (r.kept, r.links) for r in line_dedup.line_dedup(docs).collect()}
     kept, links = slow(rows), slow_links(rows)
     assert got == {i: (kept[i, 0], links[i, 0]) for i in range(len(rows))}
+
+
+def test_tiles_cut_by_size_lose_no_link(spark, monkeypatch):
+    """Lines of every size from 1 to 60, each the one before and a word, meet at the ends of the size ranges: 4 to 5, 8 to 10 and so on."""
+    monkeypatch.setattr(line_dedup, "CUT_WORDS", 0)
+    found = ["\n".join(" ".join(f"c{i}" for i in range(n)) for n in range(1, 61)), *texts()[:20]]
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id bigint, text string")
+    got = line_dedup.line_dedup(docs).collect()
+    assert {(r.doc, r.line_no): r.links for r in got} == slow_links(found)
+    assert {(r.doc, r.line_no): r.kept for r in got if found[r.doc].split("\n")[r.line_no].strip()} == {k: v for k, v in slow(found).items() if found[k[0]].split("\n")[k[1]].strip()}
