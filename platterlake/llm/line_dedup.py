@@ -209,6 +209,16 @@ def fetch(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     return rows.join(wanted, same)
 
 
+def _before(place: Column) -> list[Column]:
+    """l1, l2, r1, r2: the two rarest words of ``prefix`` before a place, as numbers; where there is none, a left one and a right one differ."""
+    return [F.when(place > i, F.get("prefix", F.lit(i - 1)).cast("bigint")).otherwise(F.lit(none << 32)).alias(f"{side}{i}") for side, shift in (("l", 0), ("r", 2)) for i in (1, 2) for none in (i + shift,)]
+
+
+def _anew(a: Column | dict[str, Column], b: Column | dict[str, Column]) -> Column:
+    """False only if the classes share one of the two rarest words before this one, so have been compared at a rarer word."""
+    return (a["l1"] != b["r1"]) & (a["l2"] != b["r1"]) & (a["l1"] != b["r2"]) & (a["l2"] != b["r2"])
+
+
 def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(x, sig, at, links, earlier) of each class with matches: its first line, how many other classes, and the earliest line of one."""
     num, den = THRESHOLD
@@ -220,7 +230,7 @@ def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
     # rows that repeat a document repeat its lines
     met = words.repartition("sig", "size").dropDuplicates(["x", "sig", "size"]).join(points, ["sig", "size"])
     place = F.array_position("prefix", F.col("token")).cast("int")
-    rows = met.where(place > 0).select("token", F.struct("x", "sig", "sig2", "size", "at", F.slice("prefix", 1, F.greatest(place - 1, F.lit(0))).alias("early"), "keys").alias("row"))
+    rows = met.where(place > 0).select("token", F.struct("x", "sig", "sig2", "size", "at", *_before(place), F.slice("prefix", 1, F.greatest(place - 1, F.lit(0))).alias("early"), "keys").alias("row"))
     parts = points.groupBy("token").agg(F.ceil(F.sum("size") / TILE_WORDS).alias("parts"), (F.sum("size") > CUT_WORDS).alias("cut"))
     part = F.pmod(F.xxhash64("row.x", "row.sig"), F.col("parts"))
     # A little wider than what two sizes may differ by, so matches are in the same range or in neighbours.
@@ -234,10 +244,11 @@ def links(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
 
         def one(s: Column, b: Column) -> Column:
             both = a["size"] + b["size"]
-            similar = (num + den) * F.size(F.array_intersect(a["keys"], b["keys"])) >= num * both
+            # what only one has is little, so this is less work than what both have
+            similar = (num + den) * (a["size"] - F.size(F.array_except(a["keys"], b["keys"]))) >= num * both
             other = (a["x"] != b["x"]) | (a["sig"] != b["sig"])
-            # What turns most pairs away comes first.
-            match = ((num + den) * F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= (den - num) * both) & other & _near(a, b) & ~F.arrays_overlap(a["early"], b["early"]) & similar
+            # What turns most pairs away comes first: near copies meet at many words.
+            match = _anew(a, b) & ((num + den) * F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= (den - num) * both) & other & _near(a, b) & ~F.arrays_overlap(a["early"], b["early"]) & similar
             earlier = F.when(b["at"] < a["at"], F.least(s["earlier"], b["at"])).otherwise(s["earlier"])
             return F.when(match, F.struct((s["n"] + 1).alias("n"), earlier.alias("earlier"))).otherwise(s)
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from platterlake.llm import line_dedup
 
 SCHEMA = "doc_id bigint, text string, line string, at string"
@@ -84,3 +86,16 @@ def test_tiles_cut_by_size_lose_no_link(spark, monkeypatch):
     got = line_dedup.line_dedup(docs).collect()
     assert {(r.doc, r.line_no): r.links for r in got} == slow_links(found)
     assert {(r.doc, r.line_no): r.kept for r in got if found[r.doc].split("\n")[r.line_no].strip()} == {k: v for k, v in slow(found).items() if found[k[0]].split("\n")[k[1]].strip()}
+
+
+def test_rarest_words_before_tell_pairs_that_were_compared(spark):
+    """Plain numbers decide for near copies, which share most words; they never turn away a pair that shares no word before this one."""
+    rnd = random.Random(4)
+    found = [(rnd.sample([0, -1, *range(1, 12)], 6), rnd.randint(1, 6)) for _ in range(60)]
+    rows = spark.createDataFrame(found, "prefix array<int>, place int").select("prefix", "place", *line_dedup._before(F.col("place")))
+    a, b = ({c: F.col(f"{s}.{c}") for c in ("l1", "l2", "r1", "r2")} for s in "ab")
+    both = rows.alias("a").crossJoin(rows.alias("b")).select("a.prefix", "a.place", F.col("b.prefix").alias("other"), F.col("b.place").alias("at"), line_dedup._anew(a, b).alias("anew"))
+    got = both.collect()
+    assert len(got) == 3600
+    for r in got:
+        assert r.anew == (not set(r.prefix[: r.place - 1][:2]) & set(r.other[: r.at - 1][:2]))
