@@ -91,22 +91,33 @@ def _number(df: DataFrame, at: str) -> Column:
     return F.unix_date(at) if isinstance(kind, T.DateType) else F.col(at)
 
 
-def as_of(asked: DataFrame, given: DataFrame, keys: Sequence[str], at: str, carry: Sequence[str], ties: Sequence[str] = (), name: str = "found", given_at: str | None = None, inclusive: bool = True, forward: bool = False, within: int | None = None) -> DataFrame:
+def as_of(asked: DataFrame, given: DataFrame, keys: Sequence[str], at: str, carry: Sequence[str], ties: Sequence[str] = (), name: str = "found", given_at: str | None = None, inclusive: bool = True, forward: bool = False, within: int | None = None, then: Sequence[str] = ()) -> DataFrame:
     """``asked`` with ``name``, a struct of ``carry`` of the latest row of ``given`` with its keys at or before its place.
 
     Of rows at one place that with the greatest ``ties``, then ``carry``, is taken.
     ``inclusive`` says whether the same place counts; ``forward`` takes the earliest
     row at or after the place instead; ``within`` is how far away it may be, in the
-    place's units (microseconds of a time, days of a date). A row without one gets
-    null. Rows of ``asked`` all stay, as ``carried`` has it.
+    place's units (microseconds of a time, days of a date). ``then`` are numbers or
+    times of both tables that order the rows of one place: what comes before a row by
+    them is before it. A row without one gets null. Rows of ``asked`` all stay, as
+    ``carried`` has it.
     """
     given_at = given_at or at
     sign = -1 if forward else 1
-    place = F.struct((_number(given, given_at) * sign).alias("at"), *ties, F.struct(*carry).alias("row"))
-    there = given.withColumn("_place", _number(given, given_at) * sign)
-    here = asked.withColumn("_place", _number(asked, at) * sign)
+
+    def placed(df: DataFrame, where: str) -> Column:
+        parts = [(_number(df, c) * sign).alias(n) for c, n in ((where, "at"), *((c, f"then{i}") for i, c in enumerate(then)))]
+        known = F.lit(True)
+        for c in (where, *then):
+            known = known & F.col(c).isNotNull()
+        return F.when(known, F.struct(*parts)) if then else parts[0]
+
+    there = given.withColumn("_place", placed(given, given_at))
+    here = asked.withColumn("_place", placed(asked, at))
+    place = F.struct(F.col("_place").alias("at"), *ties, F.struct(*carry).alias("row"))
     met = carried(here, there, keys, "_place", F.when(F.col("_place").isNotNull(), place), "_best", inclusive=inclusive)
     found = F.col("_best.row")
     if within is not None:
-        found = F.when(F.col("_place") - F.col("_best.at") <= within, found)
+        number = (lambda c: F.col(c)["at"]) if then else F.col
+        found = F.when(number("_place") - number("_best.at") <= within, found)
     return met.withColumn(name, found).drop("_best", "_place")

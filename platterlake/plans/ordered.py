@@ -39,9 +39,9 @@ def purchase_after_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def next_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event with the first error at or after it, whoever's: one key holds all rows."""
+    """Each event with the first error at or after it by time and number, whoever's: one key holds all rows."""
     events = _table(spark, sf_dir, "events").select("event_id", "ts", "event_type", F.lit(1).alias("all"))
-    found = sweep.as_of(events, events.where("event_type = 'error'"), ["all"], "ts", ["event_id"], ties=["event_id"], name="error", forward=True)
+    found = sweep.as_of(events, events.where("event_type = 'error'"), ["all"], "ts", ["event_id"], name="error", forward=True, then=["event_id"])
     return found.select("event_id", F.col("error.event_id").alias("error_id"))
 
 

@@ -46,3 +46,22 @@ def test_associated_data_of_every_stream(spark, tables):
         size = int.from_bytes(content[4:8], "big")
         aad = b"aad-1" + content[4 : 8 + size]
         assert (rows[o].n, rows[o].aad_bytes, rows[o].aad_sha256) == (size, len(aad), hashlib.sha256(aad).hexdigest())
+
+
+def against_sql(spark, folder, name, **made):
+    """A query over made tables against its SQL over the same."""
+    con = duckdb.connect()
+    for table, df in made.items():
+        df.coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
+    got = ALL[name](spark, str(folder))
+    found = con.execute(SQL[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(got.columns)
+    rows = sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr)
+    assert rows and rows == sorted(found.fetchall(), key=repr)
+
+
+def test_next_error_among_events_of_one_time(spark, tmp_path):
+    events = spark.range(200).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id * 37 % 5) AS ts", "id % 7 AS user_id", "CASE WHEN id % 6 = 1 THEN 'error' ELSE 'view' END AS event_type", "1.0D AS value")
+    against_sql(spark, tmp_path, "next_error", events=events)

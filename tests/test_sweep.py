@@ -72,6 +72,23 @@ def test_as_of_equals_all_pairs(spark, forward, inclusive, within):
     assert sorted((r.row, r.near and r.near.row) for r in got) == sorted((x[1], best(x)) for x in asked)
 
 
+@pytest.mark.parametrize(("forward", "inclusive", "within"), [(False, True, None), (True, True, None), (True, False, None), (True, True, 1), (False, False, 0)])
+def test_as_of_by_what_orders_one_place(spark, forward, inclusive, within):
+    rng = random.Random(11)
+    rows = [(rng.choice("uv"), None if rng.random() < 0.05 else rng.randint(0, 4), None if rng.random() < 0.05 else i, rng.random() < 0.3) for i in range(150)]
+    df = spark.createDataFrame(rows, "k string, at bigint, id bigint, good boolean")
+
+    def best(x):
+        sign = -1 if forward else 1
+        near = [(sign * y[1], sign * y[2]) for y in rows if y[3] and y[0] == x[0] and None not in y[1:3]]
+        here = None if None in x[1:3] else (sign * x[1], sign * x[2])
+        top = max((y for y in near if here and (y < here or (inclusive and y == here))), default=None)
+        return None if top is None or (within is not None and here[0] - top[0] > within) else sign * top[1]
+
+    got = sweep.as_of(df, df.where("good"), ["k"], "at", ["id"], forward=forward, inclusive=inclusive, within=within, then=["id"]).collect()
+    assert sorted(((r.k, r["at"], r.id, r.found and r.found.id) for r in got), key=repr) == sorted(((*x[:3], best(x)) for x in rows), key=repr)
+
+
 def test_hot_place_and_empty_tables(spark):
     rows = spark.range(3000).select(F.lit(1).alias("k"), F.lit(5).cast("bigint").alias("at"), "id")
     got = sweep.as_of(rows, rows, ["k"], "at", ["id"]).select("found.id").distinct().collect()
