@@ -50,11 +50,11 @@ def _digest() -> Column:
 
 
 def receipt_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Receipts, repeats and late rows of the events, replayed as a stream in four steps into a table."""
+    """Receipts, repeats and late rows of all events, replayed as a stream in four steps into a table."""
     events = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     folder = f"{sweep.shared_folder(spark)}/replay-{uuid.uuid4().hex}"
-    arriving = receipts.replay(events, "event_id", f"{folder}/in", 4)
-    receipts.append(receipts.receipts(arriving, _digest(), "event_id", "ts", HORIZON, DELAY), f"{folder}/out", f"{folder}/state").awaitTermination()
+    found = lambda arriving: receipts.receipts(arriving, _digest(), "event_id", "ts", HORIZON, DELAY, forget=False)
+    receipts.replay(events, "event_id", f"{folder}/in", 4, lambda arriving: receipts.append(found(arriving), f"{folder}/out", f"{folder}/state"))
     return spark.read.schema(receipts.SCHEMA).parquet(f"{folder}/out").select("digest", F.col("seq").alias("event_id"), "status")
 
 

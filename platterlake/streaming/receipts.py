@@ -7,21 +7,28 @@ arrival numbers, so the outcome does not depend on how they fall into batches, a
 ``classified`` gives the same for a table. What one digest leaves behind is one
 number, and a timer forgets it once the watermark has passed its horizon: whatever
 is not dropped after that is a receipt again. Rows behind the watermark never come
-to the state; ``dropped`` counts them.
+to the state; ``dropped`` counts them. A stream that is to lose no row has no
+watermark and forgets nothing. Digests share the state's keys by their hash, so a
+batch calls Python once for each of ``BUCKETS``, however many digests it holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 RECEIPT, REPEAT, LATE = "receipt", "repeat", "late"
 SCHEMA = "digest string, seq bigint, ts timestamp, status string"
+#: Keys of the state; a checkpoint goes on only with the number it began with.
+BUCKETS = 1024
+#: What a bucket keeps: its digests, and the newest time of each in microseconds.
+_KEPT = pa.schema([("digest", pa.string()), ("at", pa.int64())])
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,42 +45,79 @@ def classified(rows: DataFrame, digest: Column, seq: str, ts: str, horizon: int,
 
 
 class _Receipts(StatefulProcessor):
-    """Keeps the newest time of a digest, in microseconds."""
+    """Keeps the newest time of each digest of a bucket."""
 
-    def __init__(self, horizon: int, delay: int) -> None:
-        self.horizon, self.delay = horizon * 1_000_000, delay * 1_000_000
+    def __init__(self, horizon: int, delay: int, forget: bool) -> None:
+        self.horizon, self.delay, self.forget = horizon * 1_000_000, delay * 1_000_000, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", "at bigint")
+        self.state = handle.getValueState("kept", "rows binary")
+
+    def _kept(self) -> pd.Series:
+        if not self.state.exists():
+            return pd.Series(np.array([], np.int64), pd.Index([], dtype=object))
+        rows = pa.ipc.open_stream(bytes(self.state.get()[0])).read_all()
+        return pd.Series(rows["at"].to_numpy(), pd.Index(rows["digest"].to_pandas(), dtype=object))
+
+    def _keep(self, kept: pd.Series) -> None:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, _KEPT) as stream:
+            stream.write_table(pa.table([pa.array(kept.index, pa.string()), pa.array(kept.to_numpy(), pa.int64())], schema=_KEPT))
+        self.state.update((out.getvalue().to_pybytes(),))
+
+    def _wake(self, kept: pd.Series) -> None:
+        """One timer, for the digest that is forgotten first."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if len(kept):
+            self.handle.registerTimer(int((kept.min() + self.horizon) // 1000 + 1))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        """Rows of a digest in one batch, which the trigger bounds."""
-        new = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+        """Rows of a bucket in one batch, which the trigger bounds."""
+        new = pd.concat(list(rows), ignore_index=True)
+        codes, digests = pd.factorize(new["digest"])
+        order = np.lexsort((new["seq"].to_numpy(), codes))
+        new, codes = new.iloc[order], codes[order]
         at = new["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        lowest = np.iinfo(np.int64).min // 2
-        before = self.newest.get()[0] if self.newest.exists() else lowest
-        newest = np.maximum.accumulate(np.concatenate(([before], at)))
-        gone = at - newest[:-1]
+        kept, lowest = self._kept(), np.iinfo(np.int64).min // 2
+        before = kept.reindex(digests, fill_value=lowest).to_numpy()
+        newest = pd.Series(at).groupby(codes).cummax().to_numpy()
+        first = np.concatenate(([True], codes[1:] != codes[:-1]))
+        gone = at - np.maximum(before[codes], np.where(first, lowest, np.concatenate(([lowest], newest[:-1]))))
         status = np.where(gone > self.horizon, RECEIPT, np.where(gone < -self.delay, LATE, REPEAT))
-        self.newest.update((int(newest[-1]),))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int((newest[-1] + self.horizon) // 1000 + 1))
-        yield pd.DataFrame({"digest": key[0], "seq": new["seq"].to_numpy(), "ts": new["ts"].to_numpy(), "status": status})
+        last = np.concatenate((first[1:], [True]))
+        now = pd.Series(np.maximum(before, newest[last]), pd.Index(digests, dtype=object))
+        kept = pd.concat([kept[~kept.index.isin(now.index)], now])
+        self._keep(kept)
+        if self.forget:
+            self._wake(kept)
+        yield pd.DataFrame({"digest": new["digest"].to_numpy(), "seq": new["seq"].to_numpy(), "ts": new["ts"].to_numpy(), "status": status})
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        self.newest.clear()
+        kept = self._kept()
+        kept = kept[(kept + self.horizon) // 1000 + 1 > timerValues.getCurrentWatermarkInMs()]
+        if len(kept):
+            self._keep(kept)
+        else:
+            self.state.clear()
+        self._wake(kept)
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def receipts(rows: DataFrame, digest: Column, seq: str, ts: str, horizon: int, delay: int) -> DataFrame:
-    """As ``classified``, of a stream: each row once, when it arrives."""
-    ready = _ready(rows, digest, seq, ts).withWatermark("ts", f"{delay} seconds")
-    return ready.groupBy("digest").transformWithStateInPandas(_Receipts(horizon, delay), SCHEMA, "Append", "EventTime")
+def receipts(rows: DataFrame, digest: Column, seq: str, ts: str, horizon: int, delay: int, forget: bool = True) -> DataFrame:
+    """As ``classified``, of a stream: each row once, when it arrives.
+
+    Without ``forget`` there is no watermark: no row is dropped, however far behind,
+    and the state keeps a number for every digest there ever was.
+    """
+    ready = _ready(rows, digest, seq, ts).withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(BUCKETS)).cast("int"))
+    if forget:
+        ready = ready.withWatermark("ts", f"{delay} seconds")
+    return ready.groupBy("bucket").transformWithStateInPandas(_Receipts(horizon, delay, forget), SCHEMA, "Append", "EventTime" if forget else "None")
 
 
 def append(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -95,11 +139,16 @@ def dropped(query: StreamingQuery) -> int:
     return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
-def replay(table: DataFrame, order: str, folder: str, parts: int) -> DataFrame:
-    """A stream of the rows of a table as they would have arrived: written in so many steps by ``order``, read a step or less at a time."""
+def replay(table: DataFrame, order: str, folder: str, parts: int, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """The rows of a table as they would have arrived: written in so many steps by ``order``, each taken up by ``run`` as one batch.
+
+    ``run`` starts a query over the stream of the folder that ends when it has taken
+    what is there, and goes on from its checkpoint. A step is a batch whatever number
+    of files it has, so no file of a step overtakes another.
+    """
     spark, cuts = table.sparkSession, table.stat.approxQuantile(order, [k / parts for k in range(1, parts)], 0.01)
     edges = [None, *sorted(set(cuts)), None]
     for low, high in zip(edges, edges[1:], strict=False):
         own = table if low is None else table.where(F.col(order) > low)
         (own if high is None else own.where(F.col(order) <= high)).write.mode("append").parquet(folder)
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        run(spark.readStream.schema(table.schema).parquet(folder)).awaitTermination()

@@ -65,3 +65,9 @@ def against_sql(spark, folder, name, **made):
 def test_next_error_among_events_of_one_time(spark, tmp_path):
     events = spark.range(200).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id * 37 % 5) AS ts", "id % 7 AS user_id", "CASE WHEN id % 6 = 1 THEN 'error' ELSE 'view' END AS event_type", "1.0D AS value")
     against_sql(spark, tmp_path, "next_error", events=events)
+
+
+def test_receipts_of_events_whose_times_begin_again(spark, tmp_path):
+    """No row is lost, however far it is behind what came in the steps before."""
+    events = spark.range(600).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id % 100 * 1700 + id * 37 % 11) AS ts", "id * 13 % 17 AS user_id", "CASE WHEN id % 6 = 1 THEN 'error' ELSE 'view' END AS event_type", "1.0D AS value")
+    against_sql(spark, tmp_path, "receipt_replay", events=events)

@@ -150,3 +150,21 @@ def test_rows_without_digest_number_or_time(spark):
     rows = [(None, START, "a", 1), (1, None, "a", 1), (2, START, None, 1), (3, START, "a", None), (4, START, "a", 1)]
     assert [r[1::2] for r in outcome(receipts.classified(spark.createDataFrame(rows, SCHEMA), F.col("d"), "seq", "ts", 9, 9))] == [(3, "receipt"), (4, "repeat")]
     assert receipts.classified(spark.createDataFrame([], SCHEMA), F.col("d"), "seq", "ts", 9, 9).collect() == []
+
+
+def test_many_digests_in_a_bucket_and_what_is_forgotten(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, START + datetime.timedelta(seconds=7 * k - rng.randint(0, 3000) * (rng.random() < 0.3)), f"d{rng.randint(0, 60)}", 1) for k in range(900)]
+    monkeypatch.setattr(receipts, "BUCKETS", 3)
+    for a in (0, 300, 600):
+        run(spark, str(tmp_path), rows[a : a + 300])
+    want = outcome(receipts.classified(spark.createDataFrame(rows, SCHEMA), F.col("d"), "seq", "ts", 900, 7200))
+    assert outcome(spark.read.parquet(f"{tmp_path}/out")) == want and {s for *_, s in want} == {"receipt", "repeat"}
+    # all but the last digests are forgotten once the watermark has passed their horizons
+    last = [(1000, START + datetime.timedelta(days=2), "d0", 1)]
+    query = run(spark, str(tmp_path), last)
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 3
+    assert outcome(spark.read.parquet(f"{tmp_path}/out").where("seq = 1000"))[0][3] == "receipt"
+    again = run(spark, str(tmp_path), [(1001 + k, START + datetime.timedelta(days=2, seconds=60 * k), f"d{k}", 1) for k in range(3)])
+    assert receipts.dropped(again) == 0
+    assert [r[1::2] for r in outcome(spark.read.parquet(f"{tmp_path}/out").where("seq > 1000"))] == [(1001, "repeat"), (1002, "receipt"), (1003, "receipt")]
