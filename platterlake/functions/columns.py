@@ -89,12 +89,12 @@ def unsigned(value: Column, width: int) -> Column:
 
 
 def varuint(value: Column) -> Column:
-    """Canonical LEB128 of a number from 0 to 2**63 - 1."""
+    """Canonical LEB128 of a number from 0 to 2**63 - 1; null of a null."""
     v = value.cast("bigint")
     size = F.greatest(F.ceil(F.length(F.bin(v)) / 7), F.lit(1)).cast("int")
     byte = lambda i: F.shiftrightunsigned(v, 7 * i).bitwiseAND(F.lit(127)) if isinstance(i, int) else F.call_function("shiftrightunsigned", v, 7 * i).bitwiseAND(F.lit(127))
     each = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.lpad(F.hex(byte(i) + F.when(i < size - 1, 128).otherwise(0)), 2, "0"))
-    return F.unhex(F.array_join(each, ""))
+    return F.when(v.isNotNull(), F.unhex(F.array_join(each, "")))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -5,7 +5,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from platterlake.functions import columns, identifiers
 from platterlake.plans import ordered, queries, summaries, wire
 
 FOLDER = "/root/testdata/sf0.001"
@@ -71,3 +73,27 @@ def test_receipts_of_events_whose_times_begin_again(spark, tmp_path):
     """No row is lost, however far it is behind what came in the steps before."""
     events = spark.range(600).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id % 100 * 1700 + id * 37 % 11) AS ts", "id * 13 % 17 AS user_id", "CASE WHEN id % 6 = 1 THEN 'error' ELSE 'view' END AS event_type", "1.0D AS value")
     against_sql(spark, tmp_path, "receipt_replay", events=events)
+
+
+def test_numbers_beyond_63_bits_are_rows_without_a_number(spark, tmp_path):
+    """The SQL ends in an error where a product is beyond 63 bits; it is asked for the others."""
+    keys = [(o, k) for o in (0, 1, 2, 2**21, 2**31 - 1, 2**31, 3 * 10**9, 2**40) for k in (0, 1, 2, 3, 2**40)]
+    keys = [(o + i, k) for i, (o, k) in enumerate(keys)]
+    spark.createDataFrame(keys, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r for r in wire.varuint_scan(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE orders (o_orderkey BIGINT, o_custkey BIGINT)")
+    con.executemany("INSERT INTO orders VALUES (?, ?)", [(o, k) for o, k in keys if o * o * k < 2**63])
+    want = {r[0]: r for r in con.execute(SQL["varuint_scan"]).fetchall()}
+    assert got.keys() == {o for o, _ in keys} and 0 < len(want) < len(keys)
+    for o, r in got.items():
+        assert tuple(r) == want.get(o, (o, None, None, None))
+
+
+@pytest.mark.parametrize("millis", [2**48 - 1, 2**48, 2**48 + 7, 3_257_812 * 86_400_007])
+def test_times_of_identifiers_have_48_bits(spark, millis):
+    """As the format has it: what is beyond 48 bits of a time is not in the identifier."""
+    text = spark.range(1).select(columns.typed_id("trk", F.lit(millis), F.unhex(F.lit("ab" * 10))).alias("id"))
+    got = text.select("id", columns.ulid_millis(F.substring("id", 5, 26)).alias("millis"), identifiers.kind(F.col("id")).alias("kind")).first()
+    assert identifiers.to_bytes(got.id) == (millis % 2**48).to_bytes(6, "big") + b"\xab" * 10
+    assert (got.millis, got.kind) == (millis % 2**48, "track")
