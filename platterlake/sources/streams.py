@@ -36,6 +36,8 @@ _GAP = [("idx", pa.int32()), ("first_rev", pa.int64()), ("rev_count", pa.int64()
 _CHUNK = [("idx", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("payload_start", pa.int64()), ("payload_end", pa.int64()), ("crc32", pa.int64()), ("nonce", pa.binary()), ("crc_ok", pa.bool_())]
 _LISTS = {"payload_descriptors": _DESCRIPTOR, "entries": _ENTRY, "tracks": _TRACK, "track_gaps": _GAP, "chunks": _CHUNK}
 ARROW = pa.schema([("path", pa.string()), ("stream_len", pa.int64()), ("encrypted", pa.bool_()), *((k, pa.list_(pa.struct(v))) for k, v in _LISTS.items()), ("error", pa.string())])
+#: Bytes a batch of parsed files may take, about, and what one nested row takes as a dictionary: a file more than that is a batch of its own.
+BATCH_BYTES, NESTED_BYTES = 32 << 20, 500
 _SQL = {pa.int32(): "int", pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary", pa.bool_(): "boolean"}
 SCHEMA = ", ".join([*(f"{n} {_SQL[ARROW.field(n).type]}" for n in ("path", "stream_len", "encrypted")), *(f"{k} array<struct<{', '.join(f'{n}: {_SQL[t]}' for n, t in v)}>>" for k, v in _LISTS.items()), "error string"])
 
@@ -174,23 +176,32 @@ def parse(data: bytes) -> dict:
     return out
 
 
-def parsed(files: DataFrame, parser: Callable[[bytes], dict] = parse, path: str = "path", content: str = "content", arrow: pa.Schema = ARROW, schema: str = SCHEMA) -> DataFrame:
-    """Rows of ``arrow`` from (path, content); a file that does not parse has only path, length and error."""
+def parsed_batches(batches: Iterator[pa.RecordBatch], parser: Callable[[bytes], dict], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Parsed files of batches of (path, content), in as many batches as their nested rows ask for.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for name, data in zip(batch.column(0), batch.column(1), strict=True):
-                raw = data.as_py()
-                row = {"path": name.as_py(), "stream_len": None if raw is None else len(raw)}
-                try:
-                    row |= parser(raw or b"")
-                except WireError as e:
-                    row["error"] = str(e)
-                rows.append(row)
+    A task so holds a bounded number of these however many files came in a batch.
+    """
+    for batch in batches:
+        rows, held = [], 0
+        for name, data in zip(batch.column(0), batch.column(1), strict=True):
+            raw = data.as_py()
+            row = {"path": name.as_py(), "stream_len": None if raw is None else len(raw)}
+            try:
+                row |= parser(raw or b"")
+            except WireError as e:
+                row["error"] = str(e)
+            rows.append(row)
+            held += len(raw or b"") + NESTED_BYTES * sum(len(v) for v in row.values() if isinstance(v, list))
+            if held >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                rows, held = [], 0
+        if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return files.select(path, content).mapInArrow(run, schema)
+
+def parsed(files: DataFrame, parser: Callable[[bytes], dict] = parse, path: str = "path", content: str = "content", arrow: pa.Schema = ARROW, schema: str = SCHEMA) -> DataFrame:
+    """Rows of ``arrow`` from (path, content); a file that does not parse has only path, length and error."""
+    return files.select(path, content).mapInArrow(lambda batches: parsed_batches(batches, parser, arrow), schema)
 
 
 def _playable(e: Column) -> Column:

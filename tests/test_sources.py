@@ -6,6 +6,7 @@ import zlib
 from hashlib import sha256, sha512
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from platterlake.functions import columns, geometry, palettes, signatures, wheel, wire
@@ -343,3 +344,16 @@ def test_payload_as_an_image(spark):
     direct = lambda d: np.frombuffer(d + bytes(-len(d) % 3), np.uint8).reshape(-1, 3)
     row = images.payload_blocks(files(spark, drawn(s, (), direct))).first()
     assert images.png_pixels(bytes(row.content))[..., :3].tobytes()[:20] == bytes(range(20))
+
+
+def test_batches_are_bounded_by_their_nested_rows(monkeypatch):
+    files = [(f"p{i}", None if i == 5 else b"" if i == 6 else stream((1,) * 120, (("T", 0, 120),), ())) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([p for p, _ in files]), pa.array([b for _, b in files], pa.binary())], ["path", "content"])
+    whole = list(streams.parsed_batches(iter([batch]), streams.parse, streams.ARROW))
+    monkeypatch.setattr(streams, "BATCH_BYTES", 600 * streams.NESTED_BYTES)
+    cut = list(streams.parsed_batches(iter([batch]), streams.parse, streams.ARROW))
+    nested = [sum(len(r[k] or ()) for r in b.to_pylist() for k in streams._LISTS) for b in cut]
+    # a stream has 120 entries, 120 chunks, a track and a descriptor: three reach the bound
+    assert len(whole) == 1 and len(cut) > 10 and max(nested) <= 3 * 242
+    assert [r for b in cut for r in b.to_pylist()] == whole[0].to_pylist() and whole[0].num_rows == 40
+    assert list(streams.parsed_batches(iter([batch.slice(0, 0)]), streams.parse, streams.ARROW)) == []
